@@ -93,10 +93,15 @@ def reference_flags(
                 salt=True,
             ).withColumn(reference.flag, F.coalesce(reference.flag, F.lit(False)))
         else:
+            # The child's keys get names the parent does not have at any level of its plan:
+            # an outer reference to a name that both sides know would bind to the parent.
+            outer = [f"_child_key_{i}" for i in range(len(child_keys))]
             found = parent
-            for key, name in zip(child_keys, names):
+            for key, name in zip(outer, names):
                 found = found.where(F.col(name) == F.col(key).outer())
-            child = child.select("*", F.coalesce(found.exists(), F.lit(False)).alias(reference.flag))
+            child = child.select("*", *[F.col(c).alias(o) for c, o in zip(child_keys, outer)]).select(
+                *child.columns, F.coalesce(found.exists(), F.lit(False)).alias(reference.flag)
+            )
     return child
 
 

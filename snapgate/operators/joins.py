@@ -42,7 +42,7 @@ def _stable_salt(df: DataFrame, slices: Column) -> Column:
         f.name for f in df.schema.fields
         if not isinstance(f.dataType, (T.MapType, T.VariantType, T.StructType, T.ArrayType))
     ]
-    mixed = F.xxhash64(*hashable) + F.xxhash64(F.spark_partition_id())
+    mixed = F.xxhash64(*hashable).bitwiseXOR(F.xxhash64(F.spark_partition_id()))
     return F.pmod(mixed, slices.cast("bigint")).cast("int")
 
 
