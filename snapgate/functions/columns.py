@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import json
+from collections.abc import Iterable, Sequence
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,3 +83,12 @@ def as_text(name: str) -> Column:
 def one_row_per(records: Iterable[Column]) -> Column:
     """Turn several same-shaped structs of one aggregate row into one row each."""
     return F.inline(F.array(*records))
+
+
+def literal_rows(
+    spark: SparkSession, names: Sequence[str], rows: Iterable[Sequence[str]]
+) -> DataFrame:
+    """A small table of texts written in the program, as one literal of the plan."""
+    listed = [{name: value for name, value in zip(names, row)} for row in rows]
+    shape = f"ARRAY<STRUCT<{', '.join(f'{name}: STRING' for name in names)}>>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(listed)), shape)))

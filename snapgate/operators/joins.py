@@ -31,7 +31,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_slice: int) -> DataFra
         .where(rows > rows_per_slice)
         .orderBy(rows.desc(), *keys)
         .limit(HOT_KEY_LIMIT)
-        .select(*keys, F.ceil(rows / rows_per_slice).cast("int").alias("_slices"))
+        .select(*[F.col(k).alias(f"_hot_key_{i}") for i, k in enumerate(keys)], F.ceil(rows / rows_per_slice).cast("int").alias("_slices"))
     )
 
 
@@ -71,18 +71,22 @@ def balanced_join(
         return child.join(renamed, matches, how).drop(*parent_keys)
 
     present = child.where(" AND ".join(f"`{c}` IS NOT NULL" for c in child_keys))
+    # Both sides join the very same hot-key table, so it is computed and broadcast once.
     hot = F.broadcast(hot_keys(present, child_keys, rows_per_slice))
+    hot_names = [f"_hot_key_{i}" for i in range(len(on))]
+
+    def with_slices(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return df.join(hot, [F.col(k) == F.col(h) for k, h in zip(keys, hot_names)], "left")
+
     any_null = F.lit(False)
     for c in child_keys:
         any_null = any_null | F.col(c).isNull()
     slices = F.when(any_null, _NULL_SLICES).otherwise(F.coalesce("_slices", F.lit(1)))
-    salted_child = child.join(hot, child_keys, "left")
-    salted_child = salted_child.withColumn("_salt", _stable_salt(child, slices))
-
-    hot_parent = hot.withColumnsRenamed(dict(zip(child_keys, parent_keys)))
-    salted_parent = renamed.join(hot_parent, parent_keys, "left").withColumn(
-        "_parent_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1))
-    ).drop("_slices")
+    salted_child = with_slices(child, child_keys).withColumn("_salt", _stable_salt(child, slices))
+    numbers = F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)
+    salted_parent = with_slices(renamed, parent_keys).select(
+        *renamed.columns, F.explode(numbers).alias("_parent_salt")
+    )
     matches = [F.col(c) == F.col(k) for c, k in zip(child_keys, parent_keys)]
     matches.append(F.col("_salt") == F.col("_parent_salt"))
     extra = [] if how in ("left_semi", "left_anti") else [

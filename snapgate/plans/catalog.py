@@ -94,9 +94,9 @@ def _parses(column: str, type_: str = "TIMESTAMP") -> str:
 
 
 def _whole(column: str) -> str:
-    """Text that is an integer, also when written as a decimal would be."""
-    return (f"{_parses(column, 'BIGINT')} AND "
-            f"try_cast({column} AS DECIMAL(38,18)) = try_cast({column} AS BIGINT)")
+    """Text that is an integer. A fraction does not parse as BIGINT, so no comparison with
+    the decimal value is needed."""
+    return _parses(column, "BIGINT")
 
 
 def _amount(column: str) -> str:
@@ -161,7 +161,7 @@ ORDER_ITEMS = (
     _Numbered("ORDER-ITEMS").non_empty().keyed("order_id", "order_item_id")
     .present("product_id", "seller_id", "shipping_limit_date", "price", "freight_value")
     .valid("The position is a positive integer.",
-           f"{_whole('order_item_id')} AND try_cast(order_item_id AS BIGINT) > 0")
+           "try_cast(order_item_id AS BIGINT) > 0")
     .valid("The shipping limit parses.", _parses("shipping_limit_date"))
     .valid("Price and freight are amounts.", _each(
         ("price", "freight_value"), "try_cast({c} AS DECIMAL(38,18)) >= 0"))
@@ -172,9 +172,9 @@ ORDER_PAYMENTS = (
     _Numbered("ORDER-PAYMENTS").non_empty().keyed("order_id", "payment_sequential")
     .present("payment_type", "payment_installments", "payment_value")
     .valid("The position is a positive integer.",
-           f"{_whole('payment_sequential')} AND try_cast(payment_sequential AS BIGINT) > 0")
+           "try_cast(payment_sequential AS BIGINT) > 0")
     .valid("Instalments are a non-negative integer.",
-           f"{_whole('payment_installments')} AND try_cast(payment_installments AS BIGINT) >= 0")
+           "try_cast(payment_installments AS BIGINT) >= 0")
     .valid("The value is an amount.", _amount("payment_value"))
     .count("The value is zero.", "try_cast(payment_value AS DECIMAL(38,18)) = 0")
     .count("No instalments.", "try_cast(payment_installments AS BIGINT) = 0")

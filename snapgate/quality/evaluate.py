@@ -8,6 +8,7 @@ values ever reaches the driver. The parts are unioned; nothing runs until an act
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,12 +16,11 @@ from pyspark.sql import functions as F
 
 from snapgate.contracts import require_columns
 from snapgate.functions.columns import (
-    NULL_MARK,
     any_of,
     as_text,
     count_where,
     groupable,
-    one_row_per,
+    literal_rows,
 )
 from snapgate.quality.rules import (
     AllowedValuesRule,
@@ -54,26 +54,40 @@ class QualityRejected(ValueError):
         super().__init__("blocking quality rules failed: " + ", ".join(rule_ids))
 
 
-def _texts(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def _text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _texts(values) -> str:
+    return f"array({', '.join(map(_text, values))})"
 
 
 def _record(
-    position: int, rule: Rule, metric: Column, failed: Column, expectation: str, **observed: Column
-) -> Column:
-    """One rule's evidence as a struct; observed values become JSON with sorted keys."""
-    shown = F.struct(*[observed[name].alias(name) for name in sorted(observed)])
-    return F.struct(
-        F.lit(position).alias("position"),
-        F.lit(rule.rule_id).alias("rule_id"),
-        F.lit(rule.version).cast("bigint").alias("rule_version"),
-        F.lit(str(rule.category)).alias("category"),
-        F.lit(str(rule.severity)).alias("severity"),
-        F.when(failed, F.lit(str(Status.FAIL))).otherwise(F.lit(str(Status.PASS))).alias("status"),
-        metric.cast("bigint").alias("metric"),
-        F.to_json(shown).alias("observed_value"),
-        F.lit(expectation).alias("expected_condition"),
-    )
+    position: int, rule: Rule, metric: str, failed: str, expectation: str, **observed: str
+) -> str:
+    """One rule's evidence as a SQL struct; observed values become JSON with sorted keys.
+
+    Contracts have many rules, and one SQL text per part is much cheaper to turn into a
+    plan than thousands of column objects.
+    """
+    shown = ", ".join(f"'{name}', {observed[name]}" for name in sorted(observed))
+    fields = {
+        "position": str(position),
+        "rule_id": _text(rule.rule_id),
+        "rule_version": f"{rule.version}L",
+        "category": _text(rule.category),
+        "severity": _text(rule.severity),
+        "status": f"if({failed}, '{Status.FAIL}', '{Status.PASS}')",
+        "metric": f"CAST({metric} AS BIGINT)",
+        "observed_value": f"to_json(named_struct({shown}))",
+        "expected_condition": _text(expectation),
+    }
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+
+def _one_row_per(records: Iterable[str]) -> Column:
+    return F.expr(f"inline(array({', '.join(records)}))")
 
 
 def _row_condition(rule: Rule) -> Column | None:
@@ -95,11 +109,13 @@ def _row_condition(rule: Rule) -> Column | None:
     raise TypeError(f"unsupported rule type: {type(rule).__name__}")
 
 
-def _row_record(position: int, rule: Rule, metric: Column) -> Column:
-    failed = metric > 0
+def _row_record(position: int, rule: Rule, metric: str) -> str:
+    failed = f"{metric} > 0"
     match rule:
         case NonEmptyRule():
-            return _record(position, rule, metric, metric == 0, "row_count > 0", row_count=metric)
+            return _record(
+                position, rule, metric, f"{metric} = 0", "row_count > 0", row_count=metric
+            )
         case NotNullRule():
             return _record(
                 position, rule, metric, failed, "the columns hold no NULL",
@@ -108,7 +124,7 @@ def _row_record(position: int, rule: Rule, metric: Column) -> Column:
         case AllowedValuesRule():
             return _record(
                 position, rule, metric, failed, f"{rule.column} holds approved values only",
-                column=F.lit(rule.column), invalid_row_count=metric,
+                column=_text(rule.column), invalid_row_count=metric,
             )
         case PredicateRule():
             return _record(
@@ -116,14 +132,14 @@ def _row_record(position: int, rule: Rule, metric: Column) -> Column:
             )
         case _:
             return _record(
-                position, rule, metric, F.lit(False), rule.expectation, observed_row_count=metric
+                position, rule, metric, "false", rule.expectation, observed_row_count=metric
             )
 
 
 def _row_level(df: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
     """All row-level rules in one pass over the input."""
     counts = df.agg(*[count_where(_row_condition(r)).alias(f"m{i}") for i, r in rules])
-    return counts.select(one_row_per(_row_record(i, r, F.col(f"m{i}")) for i, r in rules))
+    return counts.select(_one_row_per(_row_record(i, r, f"m{i}") for i, r in rules))
 
 
 def _uniqueness(df: DataFrame, columns: tuple[str, ...], rules: list[tuple[int, Rule]]) -> DataFrame:
@@ -133,12 +149,11 @@ def _uniqueness(df: DataFrame, columns: tuple[str, ...], rules: list[tuple[int,
         count_where(F.col("_n") > 1).alias("groups"),
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("excess"),
     )
-    return totals.select(one_row_per(
+    return totals.select(_one_row_per(
         _record(
-            i, rule, F.col("groups"), F.col("groups") > 0, "the columns form a unique key",
-            columns=_texts(columns),
-            duplicate_group_count=F.col("groups"),
-            duplicate_excess_row_count=F.col("excess"),
+            i, rule, "groups", "groups > 0", "the columns form a unique key",
+            columns=_texts(columns), duplicate_group_count="groups",
+            duplicate_excess_row_count="excess",
         )
         for i, rule in rules
     ))
@@ -147,15 +162,13 @@ def _uniqueness(df: DataFrame, columns: tuple[str, ...], rules: list[tuple[int,
 def _coverage(df: DataFrame, position: int, rule: ExpectedCombinationsRule) -> DataFrame:
     """Expected against observed tuples by one grouping over both; the list of missing
     tuples is bounded by the contract's own list."""
-    spark = df.sparkSession
     names = [f"v{i}" for i in range(len(rule.columns))]
     observed = df.select(
         *[as_text(c).alias(n) for c, n in zip(rule.columns, names)],
         F.lit(1).alias("seen"), F.lit(0).alias("wanted"),
     )
-    wanted = spark.createDataFrame(
-        [(*combination, 0, 1) for combination in rule.expected],
-        ", ".join([*(f"{n} string" for n in names), "seen int", "wanted int"]),
+    wanted = literal_rows(df.sparkSession, names, rule.expected).select(
+        "*", F.lit(0).alias("seen"), F.lit(1).alias("wanted")
     )
     pairs = observed.unionByName(wanted).groupBy(*names).agg(
         F.max("seen").alias("seen"), F.max("wanted").alias("wanted")
@@ -166,13 +179,12 @@ def _coverage(df: DataFrame, position: int, rule: ExpectedCombinationsRule) -> D
         count_where(F.col("wanted") == 1).alias("expected"),
         F.sort_array(F.collect_list(F.when(missing, F.array(*names)))).alias("missing"),
     )
-    return totals.select(one_row_per([
+    return totals.select(_one_row_per([
         _record(
-            position, rule, F.size("missing"), F.size("missing") > 0,
+            position, rule, "size(missing)", "size(missing) > 0",
             "every requested combination is present",
-            expected_combination_count=F.col("expected"),
-            missing_combinations=F.col("missing"),
-            observed_combination_count=F.col("observed"),
+            expected_combination_count="expected", missing_combinations="missing",
+            observed_combination_count="observed",
         )
     ]))
 
@@ -231,29 +243,21 @@ def key_evidence(results: DataFrame) -> DataFrame:
     A tuple is proven when both a blocking not-null and a blocking uniqueness rule on
     exactly that tuple passed. No proven tuple, or several, gives an empty list.
     """
-    blocking = results.where(
-        (F.col("status") == str(Status.PASS)) & (F.col("severity") == str(Severity.ERROR))
-    )
     observed = F.col("observed_value")
-    proven = (
-        blocking.select(
-            "run_id", "dataset",
-            F.get_json_object(observed, "$.columns").alias("key"),
-            F.get_json_object(observed, "$.null_row_count").isNotNull().alias("present"),
-            F.get_json_object(observed, "$.duplicate_group_count").isNotNull().alias("unique"),
-        )
-        .groupBy("run_id", "dataset", "key")
-        .agg((F.bool_or("present") & F.bool_or("unique")).alias("proven"))
-    )
-    none = F.lit("[]")
-    per_run = proven.groupBy("run_id", "dataset").agg(
-        count_where(F.col("proven")).alias("n"),
-        F.max(F.when(F.col("proven"), F.col("key"))).alias("key"),
-    )
-    runs = results.select("run_id", "dataset").distinct()
-    return runs.join(per_run, ["run_id", "dataset"], "left").select(
+    blocking = (F.col("status") == str(Status.PASS)) & (F.col("severity") == str(Severity.ERROR))
+    # Rows that prove nothing keep their run in the result under a NULL key.
+    parts = results.select(
         "run_id", "dataset",
-        F.when(F.col("n") == 1, F.col("key")).otherwise(none).alias("key_columns"),
+        F.when(blocking, F.get_json_object(observed, "$.columns")).alias("key"),
+        (blocking & F.get_json_object(observed, "$.null_row_count").isNotNull()).alias("present"),
+        (blocking & F.get_json_object(observed, "$.duplicate_group_count").isNotNull())
+        .alias("unique"),
+    )
+    proven = F.bool_or("present") & F.bool_or("unique") & F.col("key").isNotNull()
+    per_key = parts.groupBy("run_id", "dataset", "key").agg(proven.alias("proven"))
+    the_only = F.when(count_where(F.col("proven")) == 1, F.max(F.when(F.col("proven"), F.col("key"))))
+    return per_key.groupBy("run_id", "dataset").agg(
+        F.coalesce(the_only, F.lit("[]")).alias("key_columns")
     )
 
 

@@ -24,6 +24,7 @@ def local_session(app: str, cores: int | str = "*", **conf: str) -> SparkSession
         **SESSION_DEFAULTS,
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.shuffle.partitions": "8",
         **conf,
     }
