@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapgate.contracts import stamp_ingestion
+from snapgate.contracts import ContractError, stamp_ingestion
 from snapgate.operators.decode import (
     StatisticsSource,
     decode_header_rows,
@@ -69,6 +69,8 @@ def weather_rows(
     responses: DataFrame, latitude: float, longitude: float, request_id: str
 ) -> DataFrame:
     """Daily rows of weather responses, the day's payload as VARIANT."""
+    if not (-90 <= latitude <= 90 and -180 <= longitude <= 180):
+        raise ContractError(f"no such place: {latitude}, {longitude}")
     days = transpose_arrays(responses, "payload_json", "daily", "time", {
         "temperature_2m_mean": "DOUBLE", "rain_sum": "DOUBLE",
     })
@@ -77,8 +79,6 @@ def weather_rows(
         F.lit(float(latitude)).alias("requested_latitude"),
         F.lit(float(longitude)).alias("requested_longitude"),
         F.lit(request_id).alias("request_id"),
-    ).where(
-        F.lit(-90 <= latitude <= 90 and -180 <= longitude <= 180)
     )
     return land_payload(keyed, "payload_json")
 

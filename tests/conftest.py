@@ -14,7 +14,7 @@ def spark(tmp_path_factory):
     session = local_session(
         "tests", 4,
         **{
-            "spark.sql.shuffle.partitions": "4",
+            "spark.sql.shuffle.partitions": "2",
             "spark.sql.warehouse.dir": str(folder / "warehouse"),
             "spark.checkpoint.dir": str(folder / "shared"),
             "spark.sql.catalogImplementation": "in-memory",

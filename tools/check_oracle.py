@@ -1,6 +1,6 @@
 """Run registered queries and their oracles side by side and compare rows and types.
 
-    python tools/check_oracle.py [sf_dir] [query ...]
+    python -m tools.check_oracle [sf_dir] [query ...]
 """
 
 from __future__ import annotations
@@ -13,11 +13,7 @@ from decimal import Decimal
 from pathlib import Path
 
 import duckdb
-
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
-
-from snapgate.queries import ORACLES, QUERIES  # noqa: E402
-from snapgate.session import local_session  # noqa: E402
+from pyspark.sql import DataFrame
 
 _TYPES = {
     "string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
@@ -25,7 +21,14 @@ _TYPES = {
 }
 
 
-def _value(v):
+def open_tables(folder: str) -> duckdb.DuckDBPyConnection:
+    db = duckdb.connect()
+    for path in Path(folder).glob("*.parquet"):
+        db.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    return db
+
+
+def _value(v: object) -> str:
     if isinstance(v, float):
         return "nan" if math.isnan(v) else repr(v)
     if isinstance(v, Decimal):
@@ -33,52 +36,54 @@ def _value(v):
     return str(v)
 
 
-def _bag(columns, rows):
+def _bag(columns: list[str], rows: list) -> Counter:
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return Counter(tuple(_value(row[i]) for i in order) for row in rows)
 
 
+def compare(df: DataFrame, db: duckdb.DuckDBPyConnection, sql: str) -> list[str]:
+    """Differences in column names, types and the bag of rows."""
+    found = df.collect()
+    wanted = db.execute(sql)
+    types = {d[0]: str(d[1]) for d in wanted.description}
+    columns = [d[0] for d in wanted.description]
+    expected = wanted.fetchall()
+    have = {
+        f.name: _TYPES.get(f.dataType.simpleString(), f.dataType.simpleString().upper())
+        for f in df.schema.fields
+    }
+    problems = []
+    if have != types:
+        problems.append(f"types: ours {sorted(have.items() - types.items())} "
+                        f"oracle {sorted(types.items() - have.items())}")
+    ours, theirs = _bag(df.columns, found), _bag(columns, expected)
+    if ours != theirs:
+        problems.append(f"rows {len(found)} vs {len(expected)}: "
+                        f"ours {list((ours - theirs).items())[:4]} "
+                        f"oracle {list((theirs - ours).items())[:4]}")
+    return problems
+
+
 def main() -> int:
+    sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+    from snapgate.queries import ORACLES, QUERIES
+    from snapgate.session import local_session
+
     args = sys.argv[1:]
     folder = args.pop(0) if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     names = args or list(QUERIES)
-    spark = local_session("check", 8)
-    db = duckdb.connect()
-    for path in Path(folder).glob("*.parquet"):
-        db.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
-    bad = 0
+    spark, db, bad = local_session("check", 8), open_tables(folder), 0
     for name in names:
         start = time.time()
         try:
             df = QUERIES[name](spark, folder)
-            rows = df.collect()
-            took = time.time() - start
+            problems = compare(df, db, ORACLES[name]) if name in ORACLES else []
             if name not in ORACLES:
-                print(f"rows  {name:32} {len(rows):7} rows {took:6.2f}s")
-                continue
-            want = db.execute(ORACLES[name])
-            types = {d[0]: str(d[1]) for d in want.description}
-            columns = [d[0] for d in want.description]
-            expected = want.fetchall()
+                df.count()
         except Exception as error:  # noqa: BLE001
-            bad += 1
-            print(f"ERROR {name}: {str(error)[:600]}")
-            continue
-        have = {f.name: _TYPES.get(f.dataType.simpleString(), f.dataType.simpleString().upper())
-                for f in df.schema.fields}
-        problems = []
-        if have != types:
-            problems.append(f"types spark-only {sorted(have.items() - types.items())} "
-                            f"oracle-only {sorted(types.items() - have.items())}")
-        ours, theirs = _bag(df.columns, rows), _bag(columns, expected)
-        if ours != theirs:
-            problems.append(f"rows {len(rows)} vs {len(expected)}; "
-                            f"ours only {list((ours - theirs).items())[:4]} "
-                            f"theirs only {list((theirs - ours).items())[:4]}")
-        if not rows:
-            problems.append("no rows")
+            problems = [str(error)[:600]]
         bad += bool(problems)
-        print(f"{'BAD  ' if problems else 'ok   '} {name:32} {len(rows):7} rows {took:6.2f}s "
+        print(f"{'BAD' if problems else 'ok ':3} {name:32} {time.time() - start:6.2f}s "
               + " | ".join(problems))
     print(f"{len(names)} queries, {bad} bad")
     return 1 if bad else 0
