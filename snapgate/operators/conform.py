@@ -76,6 +76,7 @@ def reference_flags(
     A small parent becomes a broadcast existence join, so its duplicate keys need no
     removal. A large one is de-duplicated and joined with hot child keys split.
     """
+    original = child
     for reference in references:
         child_keys = [c for c, _ in reference.on]
         parent_keys = [p for _, p in reference.on]
@@ -91,6 +92,7 @@ def reference_flags(
                 parent.distinct().withColumn(reference.flag, F.lit(True)),
                 list(zip(child_keys, names)),
                 salt=True,
+                hot_from=original,
             ).withColumn(reference.flag, F.coalesce(reference.flag, F.lit(False)))
         else:
             # The child's keys get names the parent does not have at any level of its plan:

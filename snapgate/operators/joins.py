@@ -54,12 +54,14 @@ def balanced_join(
     *,
     rows_per_slice: int = ROWS_PER_SLICE,
     salt: bool | None = None,
+    hot_from: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``child`` to ``parent`` on (child column, parent column) pairs.
 
     ``how`` is left, inner, left_semi or left_anti. The parent should hold one row per
     key when its columns are wanted, and share no column name with the child other than
-    the key. ``salt`` overrides the size check.
+    the key. ``salt`` overrides the size check. ``hot_from`` is a cheaper table with the
+    same child keys, such as the child before earlier joins, to count hot keys in.
     """
     child_keys = [c for c, _ in on]
     parent_keys = [f"_parent_key_{i}" for i in range(len(on))]
@@ -70,7 +72,8 @@ def balanced_join(
         matches = [F.col(c) == F.col(k) for c, k in zip(child_keys, parent_keys)]
         return child.join(renamed, matches, how).drop(*parent_keys)
 
-    present = child.where(" AND ".join(f"`{c}` IS NOT NULL" for c in child_keys))
+    counted = child if hot_from is None else hot_from
+    present = counted.where(" AND ".join(f"`{c}` IS NOT NULL" for c in child_keys))
     # Both sides join the very same hot-key table, so it is computed and broadcast once.
     hot = F.broadcast(hot_keys(present, child_keys, rows_per_slice))
     hot_names = [f"_hot_key_{i}" for i in range(len(on))]

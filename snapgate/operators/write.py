@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,11 +30,13 @@ def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFram
 def date_scope(
     column: str, start: date, end: date, **equal: object
 ) -> Column:
-    """A closed date range, optionally with exact values of further columns."""
+    """A range of whole days, both ends included, optionally with exact values of further
+    columns. It compares the column as it is, so scans receive the filter; a timestamp of
+    the last day is inside."""
     if start > end:
         raise ContractError("the start of a date scope must not be after its end")
-    scope = F.col(column).between(F.lit(start), F.lit(end))
-    return all_of([scope, *(F.col(c) == F.lit(v) for c, v in equal.items())])
+    days = [F.col(column) >= F.lit(start), F.col(column) < F.lit(end + timedelta(days=1))]
+    return all_of([*days, *(F.col(c) == F.lit(v) for c, v in equal.items())])
 
 
 def rows_outside(df: DataFrame, scope: Column) -> DataFrame:

@@ -18,10 +18,17 @@ from snapgate.operators.decode import (
     request_grid,
     transpose_arrays,
 )
+from snapgate.operators.joins import balanced_join
 from snapgate.operators.write import require_rows, require_scopes
 from snapgate.plans import catalog, datasets, sinks
 from snapgate.plans.publish import ControlTables, Published, merge_checked
 from snapgate.session import shared_folder
+from snapgate.sources.files import (
+    LEDGER_SCHEMA,
+    file_hashes,
+    read_fuel_prices,
+    unseen_content,
+)
 from snapgate.sources.jdbc import in_window, read_window
 
 # Labels under which the statistics service names the observation keys.
@@ -65,6 +72,45 @@ def _replace_fuel_prices(
     return staged.count()
 
 
+def load_fuel_files(
+    spark: SparkSession, folder: str, table: str, ledger: str, glob: str = "*.csv"
+) -> int:
+    """Load the files whose content was not loaded before; returns how many.
+
+    Of several copies of a content the first by name is loaded. A content is one partition
+    of the table and is entered in the ledger after it was written, so a load that broke in
+    between is simply repeated. Only paths and hashes of new files come to the driver.
+    """
+    if not spark.catalog.tableExists(ledger):
+        spark.createDataFrame([], LEDGER_SCHEMA).write.format("parquet").saveAsTable(ledger)
+    fresh = (
+        unseen_content(file_hashes(spark, folder, glob), spark.table(ledger))
+        .groupBy("content_hash").agg(F.min(F.struct("source_file", "file_path")).alias("first"))
+        .select("content_hash", "first.*")
+    )
+    chosen = fresh.collect()
+    if not chosen:
+        return 0
+    hash_of = spark.createDataFrame(
+        [(row.content_hash, row.file_path) for row in chosen], "content_hash string, path string"
+    )
+    prices = read_fuel_prices(spark, [row.source_file for row in chosen])
+    # One row per new file, next to rows of prices.
+    rows = balanced_join(prices, hash_of, [("file_path", "path")], "inner").drop("file_path")
+    if spark.catalog.tableExists(table):
+        columns = spark.table(table).columns
+        (rows.select(*columns).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").insertInto(table))
+    else:
+        rows.write.format("parquet").partitionBy("content_hash").saveAsTable(table)
+    loaded = spark.table(table).where(F.col("content_hash").isin([row.content_hash for row in chosen]))
+    entries = loaded.groupBy(F.col("source_file"), "content_hash").agg(
+        F.count(F.lit(1)).alias("row_count")
+    ).withColumn("status", F.lit("SUCCESS"))
+    sinks.append(entries, ledger)
+    return len(chosen)
+
+
 def weather_rows(
     responses: DataFrame, latitude: float, longitude: float, request_id: str
 ) -> DataFrame:

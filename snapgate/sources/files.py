@@ -77,7 +77,10 @@ def read_fuel_prices(spark: SparkSession, path: str | Sequence[str]) -> DataFram
     raw = (
         spark.read.schema(schema).option("header", True).option("sep", ";")
         .option("encoding", "UTF-8").option("enforceSchema", True).csv(path)
-        .select("*", F.col("_metadata.file_name").alias("source_file"))
+        .select(
+            "*", F.col("_metadata.file_name").alias("source_file"),
+            F.col("_metadata.file_path").alias("file_path"),
+        )
     )
     return cleansed(
         raw,
@@ -93,10 +96,14 @@ LEDGER_SCHEMA = "source_file string, content_hash string, row_count bigint, stat
 
 
 def file_hashes(spark: SparkSession, path: str | Sequence[str], glob: str = "*") -> DataFrame:
-    """SHA-256 of each file. A file is read whole by one task, as any whole-file hash is."""
+    """SHA-256 of each file. A file is read whole by one task, as any whole-file hash is,
+    and must be smaller than 2 GiB, the reader's limit for one value."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     return files.select(
-        F.col("path").alias("source_file"), F.sha2("content", 256).alias("content_hash")
+        F.col("path").alias("source_file"),
+        # The form in which other readers report the same file.
+        F.col("_metadata.file_path").alias("file_path"),
+        F.sha2("content", 256).alias("content_hash"),
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapgate.contracts import ContractError
+from snapgate.operators.write import date_scope
 
 _REQUIRED = ("url", "user", "password", "driver")
 
@@ -55,14 +56,12 @@ def read_table(
 def in_window(
     df: DataFrame, column: str, start: date, end: date, source_system: str
 ) -> DataFrame:
-    """Rows of the closed date range with the scope date and the source named.
+    """Rows of a range of whole days with the scope date and the source named.
 
     The filter is on the source column, so a file or JDBC scan receives it.
     """
-    if start > end:
-        raise ContractError("the start of a window must not be after its end")
     return (
-        df.where(F.col(column).between(F.lit(start), F.lit(end)))
+        df.where(date_scope(column, start, end))
         .withColumn("dt_base", F.col(column).cast("date"))
         .withColumn("source_system", F.lit(source_system))
     )

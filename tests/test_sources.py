@@ -131,6 +131,34 @@ def test_window_reaches_the_scan(spark, tmp_path, rows):
     assert collected(df, "v", "dt_base", "source_system") == [
         (2, date(2016, 1, 4), "db"), (3, date(2016, 6, 30), "db")]
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(data_coleta" in plan and "LessThanOrEqual(data_coleta" in plan
+    assert "GreaterThanOrEqual(data_coleta" in plan and "LessThan(data_coleta" in plan
     with pytest.raises(ContractError):
         jdbc.in_window(df, "data_coleta", date(2016, 1, 2), date(2016, 1, 1), "db")
+
+
+def test_window_includes_the_last_day_of_a_timestamp(rows):
+    df = rows([("2016-06-30 23:59:59",), ("2016-07-01 00:00:00",)], "s string").selectExpr(
+        "CAST(s AS TIMESTAMP) AS at")
+    assert jdbc.in_window(df, "at", date(2016, 6, 30), date(2016, 6, 30), "db").count() == 1
+
+
+def _ledger_rows(spark, ledger):
+    return collected(spark.table(ledger).selectExpr("row_count", "status"))
+
+
+def test_files_are_loaded_once_by_content(spark, tmp_path):
+    from snapgate.plans.feeds import load_fuel_files
+
+    line = "SE;SP;X;P;1;R;1;;C;1;GASOLINA;04/01/2016;3,5;;R$;B"
+    folder = tmp_path / "in"
+    write(folder / "a.csv", f"{FUEL_HEADING}\n{line}\n{line}\n")
+    write(folder / "copy.csv", f"{FUEL_HEADING}\n{line}\n{line}\n")
+    assert load_fuel_files(spark, str(folder), "fuel_source", "fuel_ledger") == 1
+    assert _ledger_rows(spark, "fuel_ledger") == [(2, "SUCCESS")]
+    assert load_fuel_files(spark, str(folder), "fuel_source", "fuel_ledger") == 0
+    write(folder / "b ção.csv", f"{FUEL_HEADING}\n{line}\n")
+    assert load_fuel_files(spark, str(folder), "fuel_source", "fuel_ledger") == 1
+    assert _ledger_rows(spark, "fuel_ledger") == [(1, "SUCCESS"), (2, "SUCCESS")]
+    assert spark.table("fuel_source").count() == 3
+    assert collected(spark.table("fuel_source").select("source_file").distinct()) == [
+        ("a.csv",), ("b ção.csv",)]
