@@ -68,6 +68,11 @@ FUEL_PRICE_COLUMNS = (
 )
 
 
+def _plain_name(name: Column) -> Column:
+    """A file name without the percent-encoding readers report it in; a plus is a plus."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def read_fuel_prices(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Semicolon-separated fuel price files, typed, with the name of their file.
 
@@ -78,7 +83,7 @@ def read_fuel_prices(spark: SparkSession, path: str | Sequence[str]) -> DataFram
         spark.read.schema(schema).option("header", True).option("sep", ";")
         .option("encoding", "UTF-8").option("enforceSchema", True).csv(path)
         .select(
-            "*", F.col("_metadata.file_name").alias("source_file"),
+            "*", _plain_name(F.col("_metadata.file_name")).alias("source_file"),
             F.col("_metadata.file_path").alias("file_path"),
         )
     )

@@ -156,9 +156,9 @@ def test_files_are_loaded_once_by_content(spark, tmp_path):
     assert load_fuel_files(spark, str(folder), "fuel_source", "fuel_ledger") == 1
     assert _ledger_rows(spark, "fuel_ledger") == [(2, "SUCCESS")]
     assert load_fuel_files(spark, str(folder), "fuel_source", "fuel_ledger") == 0
-    write(folder / "b ção.csv", f"{FUEL_HEADING}\n{line}\n")
+    write(folder / "b ção+1.csv", f"{FUEL_HEADING}\n{line}\n")
     assert load_fuel_files(spark, str(folder), "fuel_source", "fuel_ledger") == 1
     assert _ledger_rows(spark, "fuel_ledger") == [(1, "SUCCESS"), (2, "SUCCESS")]
     assert spark.table("fuel_source").count() == 3
     assert collected(spark.table("fuel_source").select("source_file").distinct()) == [
-        ("a.csv",), ("b ção.csv",)]
+        ("a.csv",), ("b ção+1.csv",)]
