@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapgate.contracts import ContractError, TableContract
+from snapgate.functions.columns import as_text, literal_rows
 from snapgate.quality.evaluate import measure
 from snapgate.quality.rules import (
     Category,
@@ -65,3 +66,31 @@ def table_assertions(
     if some:
         holds = F.when(rule.isin(*some), metric > 0).otherwise(holds)
     return results.select(rule.alias("assertion"), "metric", holds.alias("holds"))
+
+
+def coverage_assertions(
+    df: DataFrame, group: str, expected_rows: Mapping[str, int | None]
+) -> DataFrame:
+    """Rows per value of a column against what is expected: one row per observed or
+    expected value. A value that is not listed, does not occur, or has another number of
+    rows does not hold; an expected number of None means at least one row.
+    """
+    listed = literal_rows(
+        df.sparkSession, ["value", "rows"],
+        [(v, None if n is None else str(n)) for v, n in expected_rows.items()],
+    )
+    observed = df.groupBy(as_text(group).alias("value")).agg(F.count(F.lit(1)).alias("seen"))
+    both = observed.select(
+        "value", "seen", F.lit(None).cast("bigint").alias("rows"), F.lit(False).alias("listed")
+    ).unionByName(listed.select(
+        "value", F.lit(0).cast("bigint").alias("seen"), F.col("rows").cast("bigint"),
+        F.lit(True).alias("listed"),
+    ))
+    values = both.groupBy("value").agg(
+        F.sum("seen").alias("row_count"), F.max("rows").alias("expected_rows"),
+        F.bool_or("listed").alias("listed"),
+    )
+    enough = F.coalesce(F.col("row_count") == F.col("expected_rows"), F.col("row_count") > 0)
+    return values.select(
+        "value", "row_count", "expected_rows", (F.col("listed") & enough).alias("holds")
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapgate.operators import profile
-from snapgate.plans.assertions import table_assertions as assertions
+from snapgate.plans import assertions
 from snapgate.queries.conforming import silver_customers
 from snapgate.queries.registry import Tables, query
 from snapgate.queries.snapshots import snapshot, snapshot_sql
@@ -340,8 +340,26 @@ FROM (SELECT 'rows' AS assertion, count(*) AS metric FROM s
 """)
 def table_assertions(t: Tables) -> DataFrame:
     """Assertions over the conformed customers in one pass and one key count."""
-    return assertions(
+    return assertions.table_assertions(
         silver_customers(t), ["customer_id"],
         patterns={"customer_zip_code_prefix": "^[0-9]{5}$"},
         some={"leading_zero": "customer_zip_code_prefix LIKE '0%'"},
     )
+
+
+_EXPECTED_YEARS = {"1994": None, "1995": None, "1996": 1, "1997": None, "1998": None,
+                   "1999": None, "2000": None}
+
+
+@query(f"""
+SELECT coalesce(o.y, e.y) AS value, coalesce(o.n, 0) AS row_count, e.n AS expected_rows,
+       e.y IS NOT NULL AND coalesce(o.n, 0) > 0 AND (e.n IS NULL OR e.n = o.n) AS holds
+FROM (SELECT CAST(year(o_orderdate) AS VARCHAR) AS y, count(*) AS n FROM orders GROUP BY 1) o
+FULL JOIN (SELECT * FROM (VALUES {', '.join(
+    f"('{y}', CAST({'NULL' if n is None else n} AS BIGINT))" for y, n in _EXPECTED_YEARS.items())})
+    v(y, n)) e ON o.y = e.y
+""")
+def coverage_assertions(t: Tables) -> DataFrame:
+    """Orders per year against expected years: one is absent, one differs, one is extra."""
+    orders = t.orders.select(F.year("o_orderdate").alias("order_year"))
+    return assertions.coverage_assertions(orders, "order_year", _EXPECTED_YEARS)
