@@ -98,9 +98,7 @@ def load_fuel_files(
     # One row per new file, next to rows of prices.
     rows = balanced_join(prices, hash_of, [("file_path", "path")], "inner").drop("file_path")
     if spark.catalog.tableExists(table):
-        columns = spark.table(table).columns
-        (rows.select(*columns).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").insertInto(table))
+        sinks.insert_partitions(rows, table)
     else:
         rows.write.format("parquet").partitionBy("content_hash").saveAsTable(table)
     loaded = spark.table(table).where(F.col("content_hash").isin([row.content_hash for row in chosen]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from snapgate.operators.runlog import STATE_SCHEMA, Run, Stage, latest_runs, run
 from snapgate.operators.write import EmptyScope, check_keys
 from snapgate.plans import sinks
 from snapgate.quality.evaluate import (
+    EVIDENCE_COLUMNS,
     EVIDENCE_KEYS,
     EVIDENCE_SCHEMA,
     QualityRejected,
@@ -29,16 +30,38 @@ from snapgate.sources.files import read_csv_snapshot
 
 @dataclass(frozen=True)
 class ControlTables:
-    """Where evidence and run states go. Both are append-only, so concurrent pipelines
-    never rewrite each other's rows; readers take the latest row per key."""
+    """Where evidence and run states go, one partition per run.
+
+    A pipeline only ever rewrites the partition of its own run, through a staging folder of
+    its own, so concurrent pipelines do not meet and a repeated write changes nothing.
+    """
 
     evidence: str = "quality_results"
     runs: str = "execution_runs"
 
     def create(self, spark: SparkSession) -> None:
-        for table, schema in ((self.evidence, EVIDENCE_SCHEMA), (self.runs, STATE_SCHEMA)):
+        for table, schema, partition in (
+            (self.evidence, EVIDENCE_SCHEMA, ("dataset", "run_id")),
+            (self.runs, STATE_SCHEMA, ("run_id",)),
+        ):
             if not spark.catalog.tableExists(table):
-                spark.createDataFrame([], schema).write.format("parquet").saveAsTable(table)
+                empty = spark.createDataFrame([], schema)
+                empty.write.format("parquet").partitionBy(*partition).saveAsTable(table)
+
+    def store_evidence(self, spark: SparkSession, results: DataFrame, run_id: str, dataset: str) -> None:
+        """Upsert one evaluation's evidence; the plan of ``results`` runs once."""
+        known = evidence_of(spark, self, run_id, dataset)
+        sinks.overwrite_partitions(
+            spark, latest_evidence(known.unionByName(results)), self.evidence
+        )
+
+
+def evidence_of(
+    spark: SparkSession, control: ControlTables, run_id: str, dataset: str
+) -> DataFrame:
+    return spark.table(control.evidence).select(*EVIDENCE_COLUMNS).where(
+        (F.col("run_id") == run_id) & (F.col("dataset") == dataset)
+    )
 
 
 def latest_evidence(results: DataFrame) -> DataFrame:
@@ -56,11 +79,12 @@ def current_runs(spark: SparkSession, control: ControlTables) -> DataFrame:
 
 @dataclass
 class _Recorder:
-    """Keeps one run's state and appends every change to the run log."""
+    """Keeps one run's states and stores every change in the run log."""
 
     spark: SparkSession
     control: ControlTables
     run: Run
+    states: list[Run] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         self.control.create(self.spark)
@@ -68,7 +92,8 @@ class _Recorder:
 
     def record(self, run: Run) -> None:
         self.run = run
-        sinks.append(run_states(self.spark, run), self.control.runs)
+        self.states.append(run)
+        sinks.insert_partitions(run_states(self.spark, *self.states), self.control.runs)
 
 
 @dataclass(frozen=True)
@@ -89,11 +114,10 @@ def _checked(
     spark, control, run = recorder.spark, recorder.control, recorder.run
     recorder.record(run.at(Stage.QUALITY))
     evidence = evaluate(staged, quality, run_id=run.run_id, scope=scope)
-    sinks.append(evidence, control.evidence)
-    stored = latest_evidence(spark.table(control.evidence).where(
-        (F.col("run_id") == run.run_id) & (F.col("dataset") == quality.dataset)
-        & (F.col("evaluation_scope") == scope)
-    ))
+    control.store_evidence(spark, evidence, run.run_id, quality.dataset)
+    stored = evidence_of(spark, control, run.run_id, quality.dataset).where(
+        F.col("evaluation_scope") == scope
+    )
     verdict = outcome(stored).first().outcome
     rows = staged.count()  # answered from file footers
     recorder.record(recorder.run.judged(verdict, rows))

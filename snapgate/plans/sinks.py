@@ -94,13 +94,23 @@ def _is_delta(spark: SparkSession, table: str) -> bool:
     return any(row.data_type == "delta" for row in detail.collect())
 
 
-def _overwrite_partitions(spark: SparkSession, rows: DataFrame, table: str) -> DataFrame:
-    """Replace exactly the partitions that occur in ``rows``, staged because they are also read."""
-    staged = stage(rows, shared_folder(spark, "rewrite"))
+def insert_partitions(rows: DataFrame, table: str) -> None:
+    """Replace exactly the partitions that occur in ``rows``.
+
+    Dynamic overwrite stages in a folder of its own job, so jobs on other partitions of the
+    table may run at the same time. ``rows`` must not read the table.
+    """
+    columns = rows.sparkSession.table(table).columns
     (
-        staged.select(*spark.table(table).columns).write.mode("overwrite")
+        rows.select(*columns).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").insertInto(table)
     )
+
+
+def overwrite_partitions(spark: SparkSession, rows: DataFrame, table: str) -> DataFrame:
+    """``insert_partitions`` for rows computed from the table itself, staged first."""
+    staged = stage(rows, shared_folder(spark, "rewrite"))
+    insert_partitions(staged, table)
     return staged
 
 
@@ -121,7 +131,7 @@ def merge_table(spark: SparkSession, table: str, batch: DataFrame, keys: Sequenc
         return
     staged = stage(batch.withColumn(MONTH, month_of()), shared_folder(spark, "batch"))
     touched = spark.table(table).where(F.col(MONTH).isin(_months_in(staged)))
-    _overwrite_partitions(spark, upsert(touched, staged, keys), table)
+    overwrite_partitions(spark, upsert(touched, staged, keys), table)
 
 
 def replace_window(
@@ -145,6 +155,6 @@ def replace_window(
     touched = spark.table(table).where(F.col(MONTH).between(first, last))
     months = _months_in(touched)
     rows = replace_where(touched, batch.withColumn(MONTH, month_of(column)), scope)
-    written = _overwrite_partitions(spark, rows, table)
+    written = overwrite_partitions(spark, rows, table)
     for month in sorted(set(months) - set(_months_in(written))):
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({MONTH} = '{month}')")

@@ -132,6 +132,16 @@ def test_keyless_snapshot_keeps_duplicates(spark, rows, names):
     assert published.key == () and spark.table(table).count() == 2
 
 
+def test_repeated_run_replaces_its_evidence(spark, rows, names):
+    _, control = names
+    with pytest.raises(QualityRejected):
+        publish(spark, customers(rows, {"zip": "bad"}), names, run_id="r")
+    publish(spark, customers(rows, {}), names, run_id="r")
+    publish(spark, customers(rows, {}), names, run_id="r", scope='{"part":2}')
+    stored = spark.table(control.evidence)
+    assert stored.count() == 10 and stored.where("status = 'FAIL'").count() == 0
+
+
 def test_land_csv(spark, tmp_path, names):
     table, control = names
     (tmp_path / "sellers.csv").write_text(
