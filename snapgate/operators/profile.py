@@ -122,6 +122,17 @@ def low_cardinality_columns(profile: DataFrame, limit: int = LOW_CARDINALITY) ->
     return profile.where(F.col("distinct_non_null") <= limit).select("column")
 
 
+def low_cardinality_distributions(
+    df: DataFrame, columns: Sequence[str] | None = None, limit: int = LOW_CARDINALITY
+) -> DataFrame:
+    """Rows per value of every column with few values. Which columns these are is known
+    before values are grouped, so the values of the other columns are never shuffled."""
+    few = low_cardinality_columns(profile_columns(df, columns), limit)
+    # One row per column at most.
+    cells = _cells(df, columns).join(F.broadcast(few), "column", "left_semi")
+    return cells.groupBy("column", "value").agg(row_count().alias("row_count"))
+
+
 def key_stats(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows, distinct complete key tuples, rows with a NULL key part, with a blank one."""
     keys = checked_names("keys", keys)

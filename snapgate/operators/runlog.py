@@ -1,4 +1,4 @@
-"""Run log: append-only state rows per run, the latest state, and its evidence."""
+"""Run log: one row per state of a run, the latest state, and its evidence."""
 
 from __future__ import annotations
 
@@ -126,9 +126,9 @@ def start_run(
 
 
 def run_states(spark: SparkSession, *states: Run) -> DataFrame:
-    """Run states as rows to append to the run log."""
+    """Run states as rows of the run log."""
     rows = [tuple(str(v) if isinstance(v, StrEnum) else v for v in asdict(s).values()) for s in states]
-    return spark.createDataFrame(rows, STATE_SCHEMA)
+    return spark.createDataFrame(rows, STATE_SCHEMA).coalesce(1)
 
 
 def latest_runs(states: DataFrame, order: str = "state_number") -> DataFrame:

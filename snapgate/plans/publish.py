@@ -88,11 +88,16 @@ class _Recorder:
 
     def __post_init__(self) -> None:
         self.control.create(self.spark)
-        self.record(self.run)
+        first, self.states = self.run, []
+        self.record(first)
 
-    def record(self, run: Run) -> None:
+    def note(self, run: Run) -> None:
+        """A state that the next ``record`` stores along with its own."""
         self.run = run
         self.states.append(run)
+
+    def record(self, run: Run) -> None:
+        self.note(run)
         sinks.insert_partitions(run_states(self.spark, *self.states), self.control.runs)
 
 
@@ -120,7 +125,7 @@ def _checked(
     )
     verdict = outcome(stored).first().outcome
     rows = staged.count()  # answered from file footers
-    recorder.record(recorder.run.judged(verdict, rows))
+    recorder.note(recorder.run.judged(verdict, rows))
     failed = failed_blocking_rules(stored)
     if failed:
         error = QualityRejected(failed)

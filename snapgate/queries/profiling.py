@@ -58,6 +58,17 @@ def low_cardinality(t: Tables) -> DataFrame:
     return profile.low_cardinality_columns(stats)
 
 
+@query("""
+WITH s AS (SELECT lang, source, text, CAST(doc_id AS VARCHAR) AS doc_id FROM documents)
+SELECT 'lang' AS "column", lang AS value, count(*) AS row_count FROM s GROUP BY lang
+UNION ALL
+SELECT 'source', source, count(*) FROM s GROUP BY source
+""")
+def low_cardinality_distributions(t: Tables) -> DataFrame:
+    """Value counts of the document columns with at most fifty values."""
+    return profile.low_cardinality_distributions(t.documents, ["lang", "source", "text", "doc_id"])
+
+
 @query("""
 SELECT count(*) AS row_count,
        (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem

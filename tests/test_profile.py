@@ -13,7 +13,7 @@ from snapgate.plans.assertions import check_schema, table_assertions
 from snapgate.contracts import Column, ContractError, TableContract
 
 PROPERTY = settings(
-    max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+    max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 TEXTS = st.lists(st.sampled_from([None, "", " ", "a", " a", "A", "b", "x" * 100]), max_size=12)
 
 

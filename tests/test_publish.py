@@ -292,3 +292,44 @@ def test_create_table_detects_drift(spark, names):
     sinks.create_table(spark, datasets.CUSTOMERS, table)
     with pytest.raises(ContractError):
         sinks.create_table(spark, datasets.SELLERS, table)
+
+
+def test_snapshots_to_conformed_tables(spark, tmp_path, names):
+    """CSV files through landing and every conformed table, then a rejected orphan."""
+    from snapgate.plans.pipelines import CONFORMED, conform_all, conform_dataset, land_dataset
+
+    tag, control = names
+    lines = {
+        "customers": ["customer_id,customer_unique_id,customer_zip_code_prefix,customer_city,customer_state",
+                      "c1,person-1,01234,são paulo,SP", "c2,person-1,01234,são paulo,SP"],
+        "sellers": ["seller_id,seller_zip_code_prefix,seller_city,seller_state", "s1,01234,x,SP"],
+        "category_translation": ["product_category_name,product_category_name_english",
+                                 "beleza_saude,health_beauty"],
+        "products": ["product_id,product_category_name,product_name_lenght,product_description_lenght,"
+                     "product_photos_qty,product_weight_g,product_length_cm,product_height_cm,"
+                     "product_width_cm", "p1,beleza_saude,1,2,3,100,1,1,1"],
+        "orders": ["order_id,customer_id,order_status,order_purchase_timestamp,order_approved_at,"
+                   "order_delivered_carrier_date,order_delivered_customer_date,"
+                   "order_estimated_delivery_date",
+                   "o1,c1,delivered,2017-01-01 08:00:00,,,,2017-02-01 00:00:00"],
+        "order_items": ["order_id,order_item_id,product_id,seller_id,shipping_limit_date,price,"
+                        "freight_value", "o1,1,p1,s1,2017-01-05 00:00:00,10.50,2.25"],
+    }
+    tables = {name: f"{tag}_{name}" for name in [*lines, *CONFORMED]}
+    for name, text in lines.items():
+        (tmp_path / f"{name}.csv").write_text("\n".join(text) + "\n", encoding="utf-8")
+        land_dataset(spark, name, str(tmp_path / f"{name}.csv"), tables[name], control=control)
+    published = conform_all(spark, tables, control=control)
+    assert {n: (p.outcome, p.row_count) for n, p in published.items()} == {
+        n: ("PASSED", 2 if n == "silver_customers" else 1) for n in CONFORMED}
+    item = spark.table(tables["silver_order_items"]).first()
+    assert (item.order_item_id, str(item.price)) == (1, "10.50")
+    assert spark.table(tables["silver_products"]).first().product_category_name_english == "health_beauty"
+
+    (tmp_path / "orders2.csv").write_text(
+        lines["orders"][0] + "\n" + lines["orders"][1].replace("c1", "nobody") + "\n")
+    land_dataset(spark, "orders", str(tmp_path / "orders2.csv"), tables["orders"], control=control)
+    with pytest.raises(QualityRejected) as error:
+        conform_dataset(spark, "silver_orders", tables, control=control)
+    assert error.value.rule_ids == ["SILVER-ORDERS-DQ05"]
+    assert spark.table(tables["silver_orders"]).first().customer_id == "c1"

@@ -12,7 +12,7 @@ from snapgate.operators import relate, write
 DDL = "k int, d int, v int"
 KEYED = st.dictionaries(st.integers(0, 8), st.tuples(st.integers(0, 9), st.integers(0, 3)), max_size=8)
 PROPERTY = settings(
-    max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+    max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
 def as_rows(table):
