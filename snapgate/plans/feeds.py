@@ -156,6 +156,13 @@ def municipality_rows(responses: DataFrame, snapshot_date: date, request_id: str
     return rows.withColumn("request_id", F.lit(request_id))
 
 
+def ingest_municipalities(
+    spark: SparkSession, rows: DataFrame, table: str, control: ControlTables = ControlTables()
+) -> Published:
+    """Upsert a municipality snapshot; an empty one is an error."""
+    return merge_checked(spark, rows, datasets.MUNICIPALITIES, None, table, control=control)
+
+
 def observation_rows(responses: DataFrame, request_id: str) -> DataFrame:
     """Observations of statistics responses, keyed by municipality, year and variable."""
     records = decode_header_rows(responses.select("payload_json"), "payload_json")

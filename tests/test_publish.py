@@ -280,6 +280,17 @@ def test_weather_ingest_and_reprocess(spark, rows, names):
             spark, weather(rows, ["2017-01-05"]).where("false"), table, *window, -23.5, -46.6)
 
 
+def test_municipality_snapshot_is_upserted_and_never_empty(spark, rows, names):
+    table, control = names
+    df = rows([('[{"id": 1, "nome": "A"}, {"id": 2, "nome": "B"}]',)], "payload_json string")
+    batch = feeds.municipality_rows(df, date(2024, 1, 1), "r")
+    feeds.ingest_municipalities(spark, batch, table, control)
+    assert collected(spark.table(table), "municipality_code") == [("1",), ("2",)]
+    with pytest.raises(EmptyScope):
+        feeds.ingest_municipalities(spark, batch.where("false"), table, control)
+    assert spark.table(table).count() == 2
+
+
 @pytest.mark.parametrize("latitude, longitude", [(91, 0), (0, -181)])
 def test_weather_coordinates_are_checked(rows, latitude, longitude):
     with pytest.raises(ContractError):
