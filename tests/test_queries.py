@@ -8,11 +8,10 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as entry_module  # noqa: E402
+from snapgate.queries import ORACLES, QUERIES  # noqa: E402
 from tools.check_oracle import compare, open_tables  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = entry_module.queries()
-ORACLES = entry_module.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +37,8 @@ def test_entry(spark):
 def test_only_the_inventory_has_no_oracle():
     assert set(QUERIES) - set(ORACLES) == {"file_inventory_of_tables"}
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_entry_offers_every_query():
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(ORACLES) <= set(entry_module.oracle_sql())
