@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapgate.llm import sharding, simhash
+from snapgate.llm import pivots, sharding, simhash
 from snapgate.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -29,3 +29,9 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"),
                         F.col("component").alias("component_id"))
+
+
+@query()
+def op8_pivots(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and component of every vector."""
+    return pivots.near_vectors(table(spark, folder, "embeddings"))
