@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapgate.llm import pivots, sharding, simhash
+from snapgate.llm import pivots, sharding, simhash, url_templates
 from snapgate.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -35,3 +35,77 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op8_pivots(spark: SparkSession, folder: str) -> DataFrame:
     """Links and component of every vector."""
     return pivots.near_vectors(table(spark, folder, "embeddings"))
+
+
+# The tree of paths, to the depth at which the table's longest path ends.
+_URL_SQL = r"""
+WITH RECURSIVE cut AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+fits AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND prefix(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND prefix(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/') THEN 'org/' END AS rule
+  FROM cut),
+labels AS (
+  SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said
+  FROM fits),
+paths AS (
+  SELECT host, path, count(*) AS pages, count(*) FILTER (said = 'allow') AS good, count(said) AS labelled,
+    list_filter(string_split(path, '/'), lambda s: s <> '') AS segments
+  FROM labels GROUP BY host, path),
+tree AS (
+  SELECT 0 AS level, host, path, pages, segments, '' AS template FROM paths
+  UNION ALL
+  SELECT level + 1, host, path, pages, segments, template || CASE
+      WHEN segment IS NULL THEN ''
+      WHEN regexp_matches(segment, '[0-9]') OR (children > 8 AND children > 0.5 * total)
+      THEN '/*' || regexp_extract(segment, '(\.[A-Za-z]+)$', 1)
+      ELSE '/' || segment END
+  FROM (
+    SELECT *, max(child) OVER (PARTITION BY host, template) AS children,
+      sum(CASE WHEN segment IS NOT NULL THEN pages END) OVER (PARTITION BY host, template) AS total
+    FROM (
+      SELECT *, dense_rank() OVER (PARTITION BY host, template, segment IS NULL ORDER BY segment)
+        * (segment IS NOT NULL)::INT AS child
+      FROM (SELECT *, segments[level + 1] AS segment FROM tree)))
+  WHERE level < (SELECT max(len(segments)) FROM paths)),
+ended AS (SELECT * FROM tree WHERE level = (SELECT coalesce(max(len(segments)), 0) FROM paths)),
+own AS (
+  SELECT e.host, template, sum(good)::DOUBLE AS good, sum(labelled)::DOUBLE AS labelled
+  FROM ended e JOIN paths p ON e.host = p.host AND e.path = p.path GROUP BY ALL),
+hosts AS (
+  SELECT *, sum(good) OVER (PARTITION BY host) AS host_good,
+    sum(labelled) OVER (PARTITION BY host) AS host_labelled,
+    CASE WHEN sum(labelled) OVER () > 0 THEN sum(good) OVER () / sum(labelled) OVER () ELSE 1.0 END AS prior
+  FROM own),
+tested AS (
+  SELECT *, CASE
+    WHEN labelled = 0 OR host_labelled = labelled OR host_good = 0 OR host_good = host_labelled THEN false
+    ELSE (good / labelled - (host_good - good) / (host_labelled - labelled)) ** 2
+      / (host_good / host_labelled * (1 - host_good / host_labelled)
+         * (1 / labelled + 1 / (host_labelled - labelled))) > 3.84 END AS differs
+  FROM hosts),
+judged AS (
+  SELECT host, template, CASE WHEN differs THEN (good + 2.0 * prior) / (labelled + 2.0)
+    ELSE (sum(good) FILTER (NOT differs) OVER (PARTITION BY host) + 2.0 * prior)
+      / (sum(labelled) FILTER (NOT differs) OVER (PARTITION BY host) + 2.0) END AS purity
+  FROM tested)
+SELECT page_id, l.host, l.path, rule,
+  coalesce(said, CASE WHEN purity >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict, e.template
+FROM labels l JOIN ended e ON l.host = e.host AND l.path = e.path
+JOIN judged j ON e.host = j.host AND e.template = j.template
+"""
+
+
+@query(_URL_SQL)
+def op10_url_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Rule and verdict of every page."""
+    return url_templates.judge(table(spark, folder, "pages")).select(
+        "page_id", "host", "path", "rule", "verdict", "template")
