@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapgate.llm import pivots, sharding, simhash, url_templates
+from snapgate.llm import mixing, pivots, sharding, simhash, url_templates
 from snapgate.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -23,6 +23,14 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query()
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    return mixing.balance(table(spark, folder, "documents")).select(
+        "doc_id", "size", "source_size", "target",
+        (F.col("copies") * F.col("size")).cast("bigint").alias("taken"))
+
+
 @query()
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
