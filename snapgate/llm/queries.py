@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapgate.llm import mixing, pivots, sharding, simhash, url_templates
+from snapgate.llm import mixing, pivots, quality, sharding, simhash, url_templates
 from snapgate.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -31,6 +31,17 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("copies") * F.col("size")).cast("bigint").alias("taken"))
 
 
+@query()
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document by a network trained without the held-out labels."""
+    docs = table(spark, folder, "documents")
+    network = quality.fit(docs, table(spark, folder, "labels"))
+    scored = quality.score(docs.select("doc_id", "text"), network)
+    return scored.select(
+        "doc_id", quality.held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 @query()
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
