@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapgate.llm import mixing, pivots, quality, sharding, simhash, url_templates
+from snapgate.llm import decontaminate, mixing, pivots, quality, sharding, simhash, url_templates
 from snapgate.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -50,6 +50,14 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
+@query()
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and the benchmark items that occur in them; clean documents give no row."""
+    found = decontaminate.occurrences(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "windows", "edits")
+
+
 @query()
 def op8_pivots(spark: SparkSession, folder: str) -> DataFrame:
     """Links and component of every vector."""
