@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,3 +137,9 @@ def op10_url_templates(spark: SparkSession, folder: str) -> DataFrame:
     """Rule and verdict of every page."""
     return url_templates.judge(table(spark, folder, "pages")).select(
         "page_id", "host", "path", "rule", "verdict", "template")
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    return corpus_pipeline.run(spark, folder)
