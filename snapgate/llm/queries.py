@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapgate.llm import decontaminate, mixing, pivots, quality, sharding, simhash, url_templates
+from snapgate.llm import decontaminate, mixing, pivots, quality, sharding, simhash, url_templates, warc
 from snapgate.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -65,6 +65,71 @@ def op8_pivots(spark: SparkSession, folder: str) -> DataFrame:
     return pivots.near_vectors(table(spark, folder, "embeddings"))
 
 
+_WARC_SQL = r"""
+WITH page AS (
+  SELECT page_id, coalesce(url, '') AS uri, coalesce(html, '') AS html,
+    md5(concat_ws('|', 'response', coalesce(page_id::VARCHAR, ''), coalesce(url, ''))) AS d FROM pages),
+response AS (
+  SELECT page_id, uri, html,
+    '<urn:uuid:' || concat_ws('-', d[1:8], d[9:12], d[13:16], d[17:20], d[21:32]) || '>' AS refers_to,
+    regexp_extract(uri, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) AS origin,
+    coalesce(nullif(regexp_extract(uri, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/(?:[^?#]*/)?)', 1), ''), '/') AS folder,
+    regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1) AS hrefs,
+    regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1) AS title,
+    regexp_extract(html, '(?i)<html\b[^>]*?\blang\s*=\s*"([^"]*)"', 1) AS language,
+    regexp_replace(regexp_replace(regexp_replace(html,
+      '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>'
+      || '|<template\b.*?</template\s*>|<title\b.*?</title\s*>', ' ', 'g'),
+      '(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form'
+      || '|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)'
+      || '\b[^>]*>', chr(10), 'g'),
+      '<[/!?a-zA-Z][^>]*>', '', 'g') AS shown
+  FROM page),
+decoded AS (
+  SELECT *, list_transform([title, shown] || hrefs, lambda t: string_split(t, '&')[1] || array_to_string(
+    list_transform(string_split(t, '&')[2:], lambda s: coalesce(
+      CASE regexp_extract(s, '^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);', 1)
+        WHEN 'amp' THEN '&' WHEN 'lt' THEN '<' WHEN 'gt' THEN '>' WHEN 'quot' THEN '"' WHEN 'apos' THEN chr(39)
+        WHEN 'nbsp' THEN ' ' WHEN 'copy' THEN '©' WHEN 'reg' THEN '®' WHEN 'middot' THEN '·' END
+      || s[instr(s, ';') + 1:], '&' || s)), '')) AS t
+  FROM response),
+folded AS (
+  SELECT *, list_transform([regexp_replace(t[1], chr(10), ' ', 'g'), t[2]], lambda x: regexp_replace(regexp_replace(
+    regexp_replace(x, '[ \t\r\f\x0B]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'),
+    '^[ \n]+|[ \n]+$', '', 'g')) AS f,
+    list_transform(t[3:], lambda x: CASE
+      WHEN regexp_matches(x, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN x
+      WHEN prefix(x, '//') THEN regexp_extract(uri, '^([a-zA-Z][a-zA-Z0-9+.-]*:)', 1) || x
+      WHEN prefix(x, '/') THEN origin || x
+      WHEN prefix(x, '#') OR prefix(x, '?') THEN regexp_extract(uri, '^([^?#]*)', 1) || x
+      ELSE origin || folder || x END) AS outlinks
+  FROM decoded),
+record AS (
+  SELECT page_id, refers_to, uri, html, outlinks, 'conversion' AS record_type,
+    'text/plain; charset=utf-8' AS content_type, f[2] AS block FROM folded
+  UNION ALL
+  SELECT page_id, refers_to, uri, html, outlinks, 'metadata', 'application/warc-fields', array_to_string(
+    ['source-header: HTTP/1.1 200 OK', 'source-header: Content-Type: text/html; charset=utf-8',
+     'source-header: Content-Length: ' || octet_length(encode(html)), 'title: ' || f[1], 'language: ' || language]
+    || list_transform(outlinks, lambda x: 'outlink: ' || x), chr(13) || chr(10)) || chr(13) || chr(10)
+  FROM folded),
+named AS (SELECT *, md5(record_type || '|' || refers_to) AS d FROM record)
+SELECT page_id, record_type,
+  '<urn:uuid:' || concat_ws('-', d[1:8], d[9:12], d[13:16], d[17:20], d[21:32]) || '>' AS record_id,
+  refers_to, uri AS target_uri, content_type, octet_length(encode(block))::BIGINT AS content_length,
+  'sha256:' || sha256(block) AS block_digest, 'sha256:' || sha256(html) AS payload_digest,
+  len(outlinks)::INT AS link_count
+FROM named
+"""
+
+
+@query(_WARC_SQL)
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata and conversion records of every page, blocks as digests."""
+    made = warc.derivatives(warc.responses(table(spark, folder, "pages")))
+    return made.drop("date", "block")
+
+
 # The tree of paths, to the depth at which the table's longest path ends.
 _URL_SQL = r"""
 WITH RECURSIVE cut AS (
