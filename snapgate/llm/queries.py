@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapgate.llm import decontaminate, mixing, pivots, quality, sharding, simhash, url_templates, warc
+from snapgate.llm import decontaminate, line_dedup, mixing, pivots, quality, sharding, simhash, url_templates, warc
 from snapgate.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -32,6 +32,13 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("copies") * F.col("size")).cast("bigint").alias("taken"))
 
 
+@query()
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines that an earlier line matches, as a digest."""
+    made = line_dedup.without_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query()
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score of every document by a network trained without the held-out labels."""
