@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapgate.llm import decontaminate, line_dedup, mixing, pivots, quality, sharding, simhash, url_templates, warc
+from snapgate.llm import decontaminate, line_dedup, mixing, pivots, quality, sharding, simhash, suffix_dedup, url_templates, warc
 from snapgate.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -50,6 +50,13 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+@query()
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the bytes of 200-byte strings that occur twice, as a digest."""
+    made = suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query()
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
