@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapgate.contracts import ContractError, checked_names
-from snapgate.functions.columns import all_of
 
 
 def land_payload(df: DataFrame, json_column: str, *, payload: str = "payload") -> DataFrame:
@@ -23,15 +22,40 @@ def payload_field(payload: str, path: str, type: str = "string") -> Column:
     return F.try_variant_get(F.col(payload), path, type)
 
 
-def transposable(parsed: Column, index: str, lists: Sequence[str]) -> Column:
-    """TRUE when a block of parallel lists can be cut into rows: a non-empty index list of
-    ISO dates, and every present list as long as the index."""
-    size = F.size(parsed[index])
-    dates_ok = F.forall(parsed[index], lambda d: F.try_to_date(d, "yyyy-MM-dd").isNotNull())
-    lengths_ok = all_of(
-        parsed[name].isNull() | (F.size(parsed[name]) == size) for name in lists
-    )
-    return F.coalesce((size > 0) & dates_ok & lengths_ok, F.lit(False))
+_FIELDS = "MAP<STRING, VARIANT>"
+_LIST = "ARRAY<VARIANT>"
+
+
+def _fields(variant: Column) -> Column:
+    """An object's fields with their values as they are; NULL for anything else."""
+    return F.try_variant_get(variant, "$", _FIELDS)
+
+
+def _as_list(variant: Column) -> Column:
+    """A list's elements; NULL for anything that is no list."""
+    return F.try_variant_get(variant, "$", _LIST)
+
+
+def _object(entries: Column) -> Column:
+    """JSON text of an object from (key, value) entries, each value already JSON text."""
+    quoted = F.transform(entries, lambda e: F.concat(
+        F.regexp_replace(F.to_json(F.array(e["key"])), r"^\[|\]$", ""), F.lit(":"), e["value"]))
+    return F.concat(F.lit("{"), F.array_join(quoted, ","), F.lit("}"))
+
+
+def _json(variant: Column) -> Column:
+    return F.coalesce(F.to_json(variant), F.lit("null"))
+
+
+def transposable(fields: Column, index: str) -> Column:
+    """TRUE when a block of parallel lists, given as its fields, can be cut into rows: a
+    non-empty index list of ISO dates, and every list of the block as long as the index."""
+    days = _as_list(F.try_element_at(fields, F.lit(index)))
+    dates_ok = F.forall(days, lambda d: F.try_to_date(
+        F.try_variant_get(d, "$", "string"), "yyyy-MM-dd").isNotNull())
+    lengths_ok = F.forall(F.map_values(fields), lambda v: F.coalesce(
+        F.size(_as_list(v)) == F.size(days), F.lit(True)))
+    return F.coalesce((F.size(days) > 0) & dates_ok & lengths_ok, F.lit(False))
 
 
 def transpose_arrays(
@@ -44,40 +68,45 @@ def transpose_arrays(
     *,
     check: bool = True,
 ) -> DataFrame:
-    """One row per entry of ``block.index``: ``dt_base``, each list's value at that entry,
-    each scalar of the block repeated, and the per-day payload as JSON text.
+    """One row per entry of ``block.index``: ``dt_base``, each named list's value at that
+    entry, each named scalar of the block, and the day's payload as JSON text.
 
-    Other top-level fields of the response stay in every day's payload. A response whose
-    lists disagree in length, or whose dates do not parse, fails the job when ``check``
-    is set and otherwise yields no rows; filter with ``transposable`` to keep such rows.
+    The day's payload is the response as received, with every list of the block, named or
+    not, replaced by its element of that day; all other fields keep their place and type. A
+    response whose lists disagree in length, or whose dates do not parse, fails the job when
+    ``check`` is set and otherwise yields no rows.
     """
-    scalars = dict(scalars or {})
-    fields = [f"`{index}`: ARRAY<STRING>"]
-    fields += [f"`{name}`: ARRAY<{t}>" for name, t in lists.items()]
-    fields += [f"`{name}`: {t}" for name, t in scalars.items()]
-    shape = f"STRUCT<`{block}`: STRUCT<{', '.join(fields)}>>"
-    parsed = df.withColumn("_block", F.from_json(payload_json, shape)[block])
-    usable = transposable(F.col("_block"), index, list(lists))
+    parsed = df.withColumn("_response", _fields(F.try_parse_json(payload_json)))
+    parsed = parsed.withColumn("_block", _fields(F.try_element_at("_response", F.lit(block))))
+    usable = transposable(F.col("_block"), index)
     if check:
         parsed = parsed.withColumn("_block", F.when(usable, F.col("_block")).otherwise(
             F.raise_error(F.lit("response lists cannot be cut into daily rows"))
         ))
     else:
         parsed = parsed.where(usable)
-    # The rest of the response as text, so its unknown fields need no schema.
-    rest = F.map_filter(
-        F.from_json(payload_json, "MAP<STRING, STRING>"), lambda k, _: k != block
-    )
-    entries = F.posexplode(f"_block.{index}").alias("_pos", "_day")
-    rows = parsed.withColumn("_rest", rest).select("*", entries)
-    values = {n: F.get(F.col(f"_block.{n}"), F.col("_pos")) for n in lists}
-    values |= {n: F.col(f"_block.{n}") for n in scalars}
-    daily = F.struct(F.col("_day").alias(index), *[v.alias(n) for n, v in values.items()])
+    days = _as_list(F.element_at("_block", F.lit(index)))
+    rows = parsed.select("*", F.posexplode(days).alias("_pos", "_day"))
+    at = F.coalesce("_pos", F.lit(0))
+
+    def value(name: str, type_: str, *, listed: bool) -> Column:
+        whole = F.try_element_at("_block", F.lit(name))
+        return F.try_variant_get(F.get(_as_list(whole), at) if listed else whole, "$", type_).alias(name)
+
+    daily = F.transform(F.map_entries("_block"), lambda e: F.struct(
+        e["key"].alias("key"),
+        _json(F.when(_as_list(e["value"]).isNotNull(), F.get(_as_list(e["value"]), at))
+              .otherwise(e["value"])).alias("value")))
+    rows = rows.withColumn("_daily", _object(daily))
+    payload = F.transform(F.map_entries("_response"), lambda e: F.struct(
+        e["key"].alias("key"),
+        F.when(e["key"] == block, F.col("_daily")).otherwise(_json(e["value"])).alias("value")))
     return rows.select(
         *[c for c in df.columns if c != payload_json],
-        F.to_date("_day", "yyyy-MM-dd").alias("dt_base"),
-        *[v.alias(n) for n, v in values.items()],
-        F.to_json(F.struct(F.col("_rest").alias("response"), daily.alias(block))).alias(payload_json),
+        F.to_date(F.try_variant_get("_day", "$", "string"), "yyyy-MM-dd").alias("dt_base"),
+        *[value(n, t, listed=True) for n, t in lists.items()],
+        *[value(n, t, listed=False) for n, t in (scalars or {}).items()],
+        _object(payload).alias(payload_json),
     )
 
 
@@ -124,7 +153,8 @@ def extract_observations(
     df: DataFrame, record: str, code: str, year: str, variable: str
 ) -> DataFrame:
     """Key columns of an observation from a labelled record: code, year, variable and the
-    first day of the year. Checks belong to rules; see ``observation_problem``."""
+    first day of the year, NULL where the year is none. ``check_observations`` or rules
+    refuse such rows."""
     reference_year = F.try_element_at(F.col(record), F.lit(year))
     digits = F.when(reference_year.rlike("^[0-9]{1,4}$"), reference_year).cast("int")
     return df.select(
@@ -141,21 +171,44 @@ def extract_observations(
 OBSERVATION_CHECKS = {
     "code is present": "trim(municipality_code) <> ''",
     "year is numeric": "reference_year RLIKE '^[0-9]+$'",
+    "year has a date": "dt_base IS NOT NULL",
     "variable is present": "trim(variable_code) <> ''",
 }
 
 
-def extract_snapshot(df: DataFrame, payload_json: str, snapshot_date: Column) -> DataFrame:
-    """One row per object of a JSON list: its ``id`` as code and the snapshot date."""
-    parsed = F.from_json(payload_json, "ARRAY<STRING>")
-    rows = df.select(
-        *[c for c in df.columns if c != payload_json], F.explode(parsed).alias("_item")
-    )
+def check_observations(df: DataFrame) -> None:
+    """Refuse observations with a blank code or variable or a year that is none."""
+    counts = df.agg(*[
+        F.count_if(~F.coalesce(F.expr(check), F.lit(False))).alias(name)
+        for name, check in OBSERVATION_CHECKS.items()
+    ]).first().asDict()
+    broken = {name: n for name, n in counts.items() if n}
+    if broken:
+        raise ContractError(f"observations break {broken}")
+
+
+def extract_snapshot(
+    df: DataFrame, payload_json: str, snapshot_date: Column, *, check: bool = True
+) -> DataFrame:
+    """One row per object of a JSON list: its ``id`` as code and the snapshot date.
+
+    A response that is not a list of objects, or an object whose id is absent or blank,
+    fails the job when ``check`` is set and otherwise yields no row. An empty list is a
+    list without rows.
+    """
+    keep = [c for c in df.columns if c != payload_json]
+    items = _as_list(F.try_parse_json(payload_json))
+    if check:
+        items = F.coalesce(items, F.raise_error(F.lit("response is not a list")))
+    rows = df.select(*keep, F.explode(items).alias("payload"))
+    code = F.try_variant_get("payload", "$.id", "string")
+    usable = F.coalesce(F.trim(code) != "", F.lit(False))
+    if check:
+        code = F.when(usable, code).otherwise(F.raise_error(F.lit("an item has no id")))
+    else:
+        rows = rows.where(usable)
     return rows.select(
-        *[c for c in df.columns if c != payload_json],
-        F.get_json_object("_item", "$.id").alias("municipality_code"),
-        snapshot_date.alias("dt_base"),
-        F.parse_json("_item").alias("payload"),
+        *keep, code.alias("municipality_code"), snapshot_date.alias("dt_base"), "payload",
     )
 
 

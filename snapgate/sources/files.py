@@ -23,20 +23,21 @@ def read_csv_snapshot(
 ) -> DataFrame:
     """A delimited snapshot with header, every value as the text it is, plus ``source_file``.
 
-    The header decides the columns; a missing required one is an error, further ones are
-    kept. Multi-line files are read by one task each, which the format forces, so large
-    snapshots should come as many files.
+    One header names the columns: a missing required one is an error, further ones are
+    kept. The same names become an explicit schema of texts against which the reader holds
+    the header of every file, so a file whose columns stand in another order fails the read
+    instead of landing values under wrong names. Multi-line files are read by one task each,
+    which the format forces, so large snapshots should come as many files.
     """
     checked_names("required", required)
-    reader = (
-        spark.read.option("header", True).option("inferSchema", False)
-        .option("sep", sep).option("encoding", "UTF-8").option("multiLine", multiline)
-    )
+    options = {"header": True, "sep": sep, "encoding": "UTF-8", "multiLine": multiline}
     if escape is not None:
-        reader = reader.option("escape", escape)
-    df = reader.csv(path)
-    require_columns(df, required, f"snapshot {path}")
-    return df.select("*", F.col("_metadata.file_path").alias("source_file"))
+        options["escape"] = escape
+    header = spark.read.options(inferSchema=False, **options).csv(path).schema
+    texts = T.StructType([T.StructField(name, T.StringType()) for name in header.names])
+    landed = spark.read.schema(texts).options(enforceSchema=False, **options).csv(path)
+    require_columns(landed, required, f"snapshot {path}")
+    return landed.select("*", F.col("_metadata.file_path").alias("source_file"))
 
 
 def cleansed(
@@ -47,7 +48,7 @@ def cleansed(
     blank_to_null: Sequence[str] = (),
 ) -> DataFrame:
     """Typed columns from locale-formatted text: dates by pattern, decimals written with a
-    comma, blanks as NULL. Text that does not parse becomes NULL, never an error."""
+    comma, blanks as NULL. Text that does not parse becomes NULL; ``cleansing_failed`` finds it."""
     changes: dict[str, Column] = {}
     for name in blank_to_null:
         changes[name] = F.nullif(F.col(name), F.lit(""))
@@ -60,6 +61,23 @@ def cleansed(
     return df.withColumns(changes)
 
 
+def cleansing_failed(
+    *, dates: Mapping[str, str] | None = None, decimals: Mapping[str, str] | None = None
+) -> Column:
+    """Whether raw text that is not blank does not parse as ``cleansed`` would read it."""
+    failed = F.lit(False)
+    for name, pattern in (dates or {}).items():
+        failed = failed | (~is_nothing(name) & F.try_to_date(F.col(name), pattern).isNull())
+    for name, to in (decimals or {}).items():
+        point = F.replace(F.col(name), F.lit(","), F.lit("."))
+        failed = failed | (~is_nothing(name) & point.try_cast(to).isNull())
+    return failed
+
+
+def is_nothing(name: str) -> Column:
+    return F.coalesce(F.trim(name) == "", F.lit(True))
+
+
 # The published layout of the fuel price files.
 FUEL_PRICE_COLUMNS = (
     "regiao_sigla", "estado_sigla", "municipio", "revenda", "cnpj_revenda", "nome_rua",
@@ -73,26 +91,33 @@ def _plain_name(name: Column) -> Column:
     return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
 
-def read_fuel_prices(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def file_name(path: Column) -> Column:
+    """The last part of a path as readers report it, decoded."""
+    return _plain_name(F.element_at(F.split(path, "/"), -1))
+
+
+def read_fuel_prices(
+    spark: SparkSession, path: str | Sequence[str], glob: str = "*"
+) -> DataFrame:
     """Semicolon-separated fuel price files, typed, with the name of their file.
 
-    The files carry display headings, so columns are named by position.
+    The files carry display headings, so columns are named by position. ``cast_failed``
+    says whether a date or price of the row does not parse.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in FUEL_PRICE_COLUMNS])
     raw = (
         spark.read.schema(schema).option("header", True).option("sep", ";")
+        .option("pathGlobFilter", glob)
         .option("encoding", "UTF-8").option("enforceSchema", True).csv(path)
         .select(
             "*", _plain_name(F.col("_metadata.file_name")).alias("source_file"),
             F.col("_metadata.file_path").alias("file_path"),
         )
     )
-    return cleansed(
-        raw,
-        dates={"data_coleta": "dd/MM/yyyy"},
-        decimals={"valor_venda": "decimal(38,18)", "valor_compra": "decimal(38,18)"},
-        blank_to_null=("complemento",),
-    )
+    dates = {"data_coleta": "dd/MM/yyyy"}
+    decimals = {"valor_venda": "decimal(38,18)", "valor_compra": "decimal(38,18)"}
+    flagged = raw.withColumn("cast_failed", cleansing_failed(dates=dates, decimals=decimals))
+    return cleansed(flagged, dates=dates, decimals=decimals, blank_to_null=("complemento",))
 
 
 # -- content ledger -------------------------------------------------------------------
@@ -154,8 +179,13 @@ def inventory_totals(inventory: DataFrame) -> DataFrame:
 
 
 def _headings(sep: str) -> Column:
-    names = F.split(F.min_by("value", "position"), f"\\Q{sep}\\E")
-    return F.transform(names, lambda c: F.btrim(c, F.lit('"'))).alias("columns")
+    """Names of the first line; a separator between quotes belongs to its name."""
+    outside = f'\\Q{sep}\\E(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    names = F.split(F.min_by("value", "position"), outside)
+    quoted = r'^\s*"(.*)"\s*$'
+    return F.transform(names, lambda c: F.when(
+        F.rlike(c, F.lit(quoted)), F.replace(F.regexp_extract(c, quoted, 1), F.lit('""'), F.lit('"'))
+    ).otherwise(c)).alias("columns")
 
 
 def profile_files(

@@ -12,6 +12,8 @@ from snapgate.contracts import ContractError
 from snapgate.operators.write import date_scope
 
 _REQUIRED = ("url", "user", "password", "driver")
+# Rows per round trip; drivers default to ten or to all rows at once.
+FETCH_ROWS = 10_000
 
 
 def checked_options(options: Mapping[str, str]) -> dict[str, str]:
@@ -23,14 +25,17 @@ def checked_options(options: Mapping[str, str]) -> dict[str, str]:
 
 
 def month_predicates(column: str, start: date, end: date) -> list[str]:
-    """Disjoint predicates, one per calendar month, that cover the closed range."""
+    """Disjoint predicates, one per calendar month, that cover the range of whole days.
+
+    A month ends before the next day begins, so times of its last day are inside.
+    """
     if start > end:
         raise ContractError("the start of a window must not be after its end")
     predicates, first = [], start
     while first <= end:
         next_month = (first.replace(day=1) + timedelta(days=32)).replace(day=1)
-        last = min(end, next_month - timedelta(days=1))
-        predicates.append(f"{column} >= DATE '{first}' AND {column} <= DATE '{last}'")
+        after = min(end + timedelta(days=1), next_month)
+        predicates.append(f"{column} >= DATE '{first}' AND {column} < DATE '{after}'")
         first = next_month
     return predicates
 
@@ -41,16 +46,30 @@ def read_table(
     table: str,
     *,
     predicates: Sequence[str] | None = None,
+    split: tuple[str, object, object, int] | None = None,
+    fetch_rows: int = FETCH_ROWS,
 ) -> DataFrame:
-    """A table or parenthesised subquery. Each predicate becomes one parallel read, so
-    they must be disjoint and cover what is wanted."""
-    settings = checked_options(options)
+    """A table or parenthesised subquery, read over several connections.
+
+    Each of ``predicates`` becomes one parallel read, so they must be disjoint and cover
+    what is wanted. ``split`` names a number, date or timestamp column, its lowest and
+    highest value and the number of reads; rows outside the bounds are read as well. With
+    neither, one connection reads everything, which suits small tables only.
+    """
+    settings = {"fetchsize": str(fetch_rows), **checked_options(options)}
     if predicates:
         properties = {k: v for k, v in settings.items() if k != "url"}
         return spark.read.jdbc(
             settings["url"], table, predicates=list(predicates), properties=properties
         )
-    return spark.read.format("jdbc").options(**settings).option("dbtable", table).load()
+    reader = spark.read.format("jdbc").options(**settings).option("dbtable", table)
+    if split:
+        column, low, high, reads = split
+        reader = (
+            reader.option("partitionColumn", column).option("lowerBound", str(low))
+            .option("upperBound", str(high)).option("numPartitions", str(reads))
+        )
+    return reader.load()
 
 
 def in_window(

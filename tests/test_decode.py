@@ -33,9 +33,42 @@ def test_transpose_zips_lists_repeats_scalars_and_keeps_the_rest(rows):
     assert [(r.id, r.dt_base, r.temperature_2m_mean, r.rain_sum, r.model) for r in found] == [
         (0, date(2017, 1, 1), 20.5, 0.0, "era5"), (0, date(2017, 1, 2), None, 1.5, "era5")]
     payload = json.loads(found[1].payload_json)
-    assert payload["daily"] == {"time": "2017-01-02", "rain_sum": 1.5, "model": "era5"}
-    assert payload["response"]["timezone"] == "America/Sao_Paulo"
-    assert json.loads(payload["response"]["daily_units"]) == {"rain_sum": "mm"}
+    day = {"time": "2017-01-02", "temperature_2m_mean": None, "rain_sum": 1.5, "model": "era5"}
+    assert payload == {**WEATHER, "daily": day}
+
+
+def test_fields_nobody_named_stay_in_the_payload(rows):
+    more = {**WEATHER["daily"], "wind": [3, 4.25], "note": "x \"y\""}
+    df = responses(rows, {**WEATHER, "daily": more, "elevation": {"m": [760, 1]}})
+    days = [json.loads(r.payload_json) for r in transpose(df).orderBy("dt_base").collect()]
+    assert [d["daily"]["wind"] for d in days] == [3, 4.25]
+    assert all(d["daily"]["note"] == 'x "y"' and d["elevation"] == {"m": [760, 1]} for d in days)
+    landed = decode.land_payload(transpose(df), "payload_json")
+    assert collected(landed, decode.payload_field("payload", "$.latitude", "double")) == [(-23.5,), (-23.5,)]
+    short = responses(rows, {**WEATHER, "daily": {**more, "wind": [3]}})
+    with pytest.raises(PySparkException):
+        transpose(short).collect()
+
+
+@pytest.mark.parametrize("text", ['{"error": "x"}', "no json", '[{"name": "x"}]', '[{"id": " "}]', "[1]"])
+def test_malformed_snapshots_are_refused(rows, text):
+    df = rows([('[{"id": 1}, {"id": "2"}]',), (text,)], "payload_json string")
+    day = F.lit("2024-01-01").cast("date")
+    with pytest.raises(PySparkException):
+        decode.extract_snapshot(df, "payload_json", day).collect()
+    found = decode.extract_snapshot(df, "payload_json", day, check=False)
+    assert collected(found, "municipality_code") == [("1",), ("2",)]
+
+
+@pytest.mark.parametrize("code,year,variable", [
+    (" ", "2016", "37"), (None, "2016", "37"), ("1", "abc", "37"), ("1", "20160", "37"), ("1", "2016", "")])
+def test_broken_observations_are_refused(rows, code, year, variable):
+    payload = [{"D1C": feeds.CODE_LABEL, "D2C": feeds.YEAR_LABEL, "D3C": feeds.VARIABLE_LABEL},
+               {"D1C": code, "D2C": year, "D3C": variable}, {"D1C": "2", "D2C": "2016", "D3C": "37"}]
+    found = feeds.observation_rows(responses(rows, payload), "r")
+    with pytest.raises(ContractError, match="1"):
+        decode.check_observations(found)
+    decode.check_observations(found.where("municipality_code = '2'"))
 
 
 @pytest.mark.parametrize("daily", [
@@ -84,7 +117,8 @@ def test_observations(rows):
         ("3550308", "2016", "37", date(2016, 1, 1)), (" ", "20x6", "37", None)], key=repr)
     bad = {name: df.where(f"NOT coalesce({check}, false)").count()
            for name, check in decode.OBSERVATION_CHECKS.items()}
-    assert bad == {"code is present": 1, "year is numeric": 1, "variable is present": 0}
+    assert bad == {"code is present": 1, "year is numeric": 1, "year has a date": 1,
+                   "variable is present": 0}
     values = df.select(decode.payload_field("payload", "$.Valor"))
     assert collected(values) == [("...",), ("1000",)]
 

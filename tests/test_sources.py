@@ -108,13 +108,20 @@ def test_responses_come_from_files(spark, tmp_path):
 
 def test_month_predicates_cover_the_window_once():
     assert jdbc.month_predicates("d", date(2015, 12, 30), date(2016, 2, 1)) == [
-        "d >= DATE '2015-12-30' AND d <= DATE '2015-12-31'",
-        "d >= DATE '2016-01-01' AND d <= DATE '2016-01-31'",
-        "d >= DATE '2016-02-01' AND d <= DATE '2016-02-01'"]
+        "d >= DATE '2015-12-30' AND d < DATE '2016-01-01'",
+        "d >= DATE '2016-01-01' AND d < DATE '2016-02-01'",
+        "d >= DATE '2016-02-01' AND d < DATE '2016-02-02'"]
     with pytest.raises(ContractError):
         jdbc.month_predicates("d", date(2016, 1, 2), date(2016, 1, 1))
 
 
+def test_month_predicates_keep_the_end_of_every_last_day(rows):
+    times = rows([(f"2016-0{m}-{d} 23:59:59",) for m, d in ((1, 31), (2, 29), (3, 31))], "s string")
+    at = times.selectExpr("CAST(s AS TIMESTAMP) AS d")
+    predicates = jdbc.month_predicates("d", date(2016, 1, 1), date(2016, 3, 31))
+    assert [at.where(p).count() for p in predicates] == [1, 1, 1]
+
+
 def test_jdbc_options_are_required():
     options = {"url": "jdbc:x", "user": "u", "password": "p", "driver": "d"}
     assert jdbc.checked_options(options) == options
@@ -142,6 +149,37 @@ def test_window_includes_the_last_day_of_a_timestamp(rows):
     assert jdbc.in_window(df, "at", date(2016, 6, 30), date(2016, 6, 30), "db").count() == 1
 
 
+def test_snapshots_with_another_column_order_are_refused(spark, tmp_path):
+    write(tmp_path / "s" / "a.csv", "id,name,city\n1,ana,spo\n")
+    write(tmp_path / "s" / "b.csv", "city,id,name\nrio,2,bia\n")
+    landed = files.read_csv_snapshot(spark, str(tmp_path / "s"), ["id", "name", "city"])
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        landed.collect()
+
+
+def test_quoted_headings_hold_separators(spark, tmp_path):
+    write(tmp_path / "h" / "a.csv", 'id,"a,b","say ""x""", plain\n1,2,3,4\n')
+    found = files.profile_files(spark, str(tmp_path / "h")).collect()
+    assert [(r.row_count, r.column_count, r.columns) for r in found] == [
+        (1, 4, ["id", "a,b", 'say "x"', " plain"])]
+
+
+def test_files_with_bad_values_stop_the_load_and_empty_files_are_entered(spark, tmp_path):
+    from snapgate.plans.feeds import load_fuel_files
+
+    line = "SE;SP;X;P;1;R;1;;C;1;GASOLINA;04/01/2016;3,5;;R$;B"
+    folder = tmp_path / "in"
+    write(folder / "bad.csv", f"{FUEL_HEADING}\n{line.replace('3,5', 'cheap')}\n")
+    with pytest.raises(ContractError, match="bad.csv"):
+        load_fuel_files(spark, str(folder), "fuel_bad", "fuel_bad_ledger")
+    assert _ledger_rows(spark, "fuel_bad_ledger") == []
+    write(folder / "bad.csv", f"{FUEL_HEADING}\n{line}\n")
+    write(folder / "none.csv", f"{FUEL_HEADING}\n")
+    assert load_fuel_files(spark, str(folder), "fuel_bad", "fuel_bad_ledger") == 2
+    assert _ledger_rows(spark, "fuel_bad_ledger") == [(0, "SUCCESS"), (1, "SUCCESS")]
+    assert load_fuel_files(spark, str(folder), "fuel_bad", "fuel_bad_ledger") == 0
+
+
 def _ledger_rows(spark, ledger):
     return collected(spark.table(ledger).selectExpr("row_count", "status"))
 
