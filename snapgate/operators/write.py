@@ -94,7 +94,7 @@ def require_rows(df: DataFrame, what: str) -> None:
 
 def require_scopes(df: DataFrame, expected: DataFrame, columns: Sequence[str], what: str) -> None:
     """Refuse when any expected scope, such as a requested period, has no rows."""
-    absent = missing_combinations(df, expected, columns).orderBy(*columns).limit(20).collect()
-    if absent:
-        shown = [tuple(row) for row in absent]
-        raise EmptyScope(f"{what} has no rows for {shown}")
+    absent = missing_combinations(df, expected, columns)
+    shown = [tuple(row) for row in absent.orderBy(*columns).limit(20).collect()]
+    if shown:
+        raise EmptyScope(f"{what} has no rows for {absent.count()} scopes, such as {shown}")

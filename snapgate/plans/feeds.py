@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from snapgate.contracts import ContractError, stamp_ingestion
 from snapgate.operators.decode import (
     StatisticsSource,
+    check_observations,
     decode_header_rows,
     extract_observations,
     extract_snapshot,
@@ -26,6 +27,7 @@ from snapgate.session import shared_folder
 from snapgate.sources.files import (
     LEDGER_SCHEMA,
     file_hashes,
+    file_name,
     read_fuel_prices,
     unseen_content,
 )
@@ -46,7 +48,6 @@ def fuel_price_window(
     ``source`` is any table of prices, for example ``sources.jdbc.read_table``.
     """
     window = in_window(source, "data_coleta", start, end, source_system)
-    require_rows(window, f"fuel prices from {start} to {end}")
     return _replace_fuel_prices(spark, window, table, start, end)
 
 
@@ -55,19 +56,19 @@ def fuel_price_window_jdbc(
     start: date, end: date, source_system: str,
 ) -> int:
     window = read_window(spark, options, source_table, "data_coleta", start, end, source_system)
-    require_rows(window, f"fuel prices from {start} to {end}")
     return _replace_fuel_prices(spark, window, table, start, end)
 
 
 def _replace_fuel_prices(
     spark: SparkSession, window: DataFrame, table: str, start: date, end: date
 ) -> int:
+    """The source is read once, into the stage; what is checked is what is written."""
     contract = datasets.FUEL_PRICES
-    columns = [c.name for c in contract.columns]
     contract.check_batch(window)
-    batch = stamp_ingestion(window.select(*columns))
-    sinks.create_table(spark, sinks.by_month(contract), table)
+    batch = stamp_ingestion(window.select(*[c.name for c in contract.columns]))
     staged = sinks.stage(batch, shared_folder(spark, "window"))
+    require_rows(staged, f"fuel prices from {start} to {end}")
+    sinks.create_table(spark, sinks.by_month(contract), table)
     sinks.replace_window(spark, table, staged, start, end)
     return staged.count()
 
@@ -79,34 +80,41 @@ def load_fuel_files(
 
     Of several copies of a content the first by name is loaded. A content is one partition
     of the table and is entered in the ledger after it was written, so a load that broke in
-    between is simply repeated. Only paths and hashes of new files come to the driver.
+    between is simply repeated. A date or price that does not parse stops the load before
+    anything is written. Every new file is entered, also one without rows. New files are
+    told by a join on their paths; neither paths nor hashes come to the driver.
     """
     if not spark.catalog.tableExists(ledger):
         spark.createDataFrame([], LEDGER_SCHEMA).write.format("parquet").saveAsTable(ledger)
-    fresh = (
+    fresh = sinks.stage(
         unseen_content(file_hashes(spark, folder, glob), spark.table(ledger))
         .groupBy("content_hash").agg(F.min(F.struct("source_file", "file_path")).alias("first"))
-        .select("content_hash", "first.*")
+        .select("content_hash", F.col("first.source_file").alias("file"), "first.file_path"),
+        shared_folder(spark, "fresh"),
     )
-    chosen = fresh.collect()
-    if not chosen:
+    count = fresh.count()
+    if not count:
         return 0
-    hash_of = spark.createDataFrame(
-        [(row.content_hash, row.file_path) for row in chosen], "content_hash string, path string"
-    )
-    prices = read_fuel_prices(spark, [row.source_file for row in chosen])
-    # One row per new file, next to rows of prices.
-    rows = balanced_join(prices, hash_of, [("file_path", "path")], "inner").drop("file_path")
+    prices = read_fuel_prices(spark, folder, glob)
+    # One row per new file, next to rows of prices; rows of other files find no partner.
+    names = fresh.select("content_hash", F.col("file_path").alias("path"))
+    rows = sinks.stage(
+        balanced_join(prices, names, [("file_path", "path")], "inner"), shared_folder(spark, "prices"))
+    failed = rows.where("cast_failed").groupBy("source_file").count().orderBy("source_file")
+    shown = [tuple(r) for r in failed.limit(20).collect()]
+    if shown:
+        raise ContractError(f"dates or prices of fuel files do not parse, by file: {shown}")
+    loaded = rows.drop("cast_failed", "file_path")
     if spark.catalog.tableExists(table):
-        sinks.insert_partitions(rows, table)
+        sinks.insert_partitions(loaded, table)
     else:
-        rows.write.format("parquet").partitionBy("content_hash").saveAsTable(table)
-    loaded = spark.table(table).where(F.col("content_hash").isin([row.content_hash for row in chosen]))
-    entries = loaded.groupBy(F.col("source_file"), "content_hash").agg(
-        F.count(F.lit(1)).alias("row_count")
-    ).withColumn("status", F.lit("SUCCESS"))
+        loaded.write.format("parquet").partitionBy("content_hash").saveAsTable(table)
+    counts = rows.groupBy("content_hash").agg(F.count(F.lit(1)).alias("row_count"))
+    entries = fresh.join(counts, "content_hash", "left").select(
+        file_name(F.col("file")).alias("source_file"), "content_hash",
+        F.coalesce("row_count", F.lit(0)).alias("row_count"), F.lit("SUCCESS").alias("status"))
     sinks.append(entries, ledger)
-    return len(chosen)
+    return count
 
 
 def weather_rows(
@@ -140,11 +148,13 @@ def reprocess_weather(
     spark: SparkSession, rows: DataFrame, table: str, start: date, end: date,
     latitude: float, longitude: float,
 ) -> None:
-    """Replace one location's days of a window; an empty batch is an error."""
-    require_rows(rows, "reprocessed weather")
-    batch = stamp_ingestion(rows)
+    """Replace one location's days of a window; an empty batch is an error. The batch is
+    staged first, and the table is created if it is new."""
+    staged = sinks.stage(stamp_ingestion(rows), shared_folder(spark, "weather"))
+    require_rows(staged, "reprocessed weather")
+    sinks.create_table(spark, sinks.by_month(datasets.WEATHER_DAILY), table)
     sinks.replace_window(
-        spark, table, batch, start, end,
+        spark, table, staged, start, end,
         requested_latitude=float(latitude), requested_longitude=float(longitude),
     )
 
@@ -182,7 +192,8 @@ def ingest_observations(
     """Upsert the observations of the requested periods.
 
     Every requested period (for business activity every period and variable) must have
-    rows. GDP passes its quality gate, which checks coverage itself.
+    rows, and no row may have a blank code or variable or a year that is none. GDP passes
+    its quality gate, which checks all of this itself.
     """
     contract = datasets.LANDED[source.name]
     if source is catalog.GDP_SOURCE:
@@ -195,5 +206,7 @@ def ingest_observations(
     columns = ["reference_year", "variable_code"]
     if source is catalog.POPULATION_SOURCE:
         columns, wanted = columns[:1], wanted.select("reference_year").distinct()
+    rows = sinks.stage(rows, shared_folder(spark, "observations"))
+    check_observations(rows)
     require_scopes(rows, wanted, columns, source.name)
     return merge_checked(spark, rows, contract, None, table, control=control, **publishing)

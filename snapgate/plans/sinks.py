@@ -11,9 +11,10 @@ own MERGE and ``replaceWhere``.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import replace
 from datetime import date
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +40,15 @@ def month_of(column: str = "dt_base") -> Column:
 
 
 def table_folder(spark: SparkSession, table: str) -> str:
-    """A new folder for one version of a table, below the warehouse."""
+    """A new folder for one version of a table, below the warehouse.
+
+    A cluster must name a warehouse that all executors share: the default lies in the
+    driver's working folder and is refused.
+    """
     root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    default = f"{Path.cwd()}/spark-warehouse"
+    if not spark.sparkContext.master.startswith("local") and root.removeprefix("file:") == default:
+        raise ValueError("set spark.sql.warehouse.dir to a folder all executors share")
     return f"{root}/{table.replace('.', '/')}-{uuid.uuid4().hex}"
 
 
@@ -60,24 +68,30 @@ def replace_table(spark: SparkSession, contract: TableContract, table: str, fold
             description=contract.description,
         )
         return
+    evolve_table(spark, contract, table)
+    spark.sql(f"ALTER TABLE {table} SET LOCATION '{folder}'")
+    spark.catalog.refreshTable(table)
+
+
+def evolve_table(spark: SparkSession, contract: TableContract, table: str) -> None:
+    """Add the contract's new nullable columns where it allows so; refuse any other drift."""
     drift = contract.diff(spark.table(table).schema)
     if drift.unexpected or drift.mismatched or (drift.missing and not contract.evolve_nullable):
         raise ContractError(f"{table}: schema drift {drift}")
-    for column in contract.all_columns:
-        if column.name in drift.missing:
-            if not column.nullable:
-                raise ContractError(f"{table}: cannot add required column {column.name}")
-            spark.sql(f"ALTER TABLE {table} ADD COLUMNS (`{column.name}` {column.type})")
-    spark.sql(f"ALTER TABLE {table} SET LOCATION '{folder}'")
-    spark.catalog.refreshTable(table)
+    added = [c for c in contract.all_columns if c.name in drift.missing]
+    required = [c.name for c in added if not c.nullable]
+    if required:
+        raise ContractError(f"{table}: cannot add required columns {required}")
+    if added:
+        listed = ", ".join(f"`{c.name}` {c.type}" for c in added)
+        spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({listed})")
+        spark.catalog.refreshTable(table)
 
 
 def create_table(spark: SparkSession, contract: TableContract, table: str) -> None:
-    """An empty typed table, partitioned as the contract says, unless it exists."""
+    """An empty typed table, partitioned as the contract says; an existing one evolves."""
     if spark.catalog.tableExists(table):
-        drift = contract.diff(spark.table(table).schema)
-        if not drift.compatible:
-            raise ContractError(f"{table}: schema drift {drift}")
+        evolve_table(spark, contract, table)
         return
     writer = contract.empty(spark).write.format("parquet")
     if contract.partition_by:
@@ -119,19 +133,43 @@ def _months_in(df: DataFrame) -> list[str]:
     return sorted(row[0] for row in df.select(MONTH).distinct().collect())
 
 
+def _rewrite_months(
+    spark: SparkSession, table: str, rows: DataFrame, months: Iterable[str]
+) -> None:
+    """Make ``rows``, computed from the table, the content of ``months``. A month that has
+    no rows any more loses its partition."""
+    written = overwrite_partitions(spark, rows, table)
+    for month in sorted(set(months) - set(_months_in(written))):
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({MONTH} = '{month}')")
+
+
 def merge_table(spark: SparkSession, table: str, batch: DataFrame, keys: Sequence[str]) -> None:
-    """Upsert a checked batch. ``keys`` must determine the month for partition rewrites."""
-    if _is_delta(spark, table):
-        batch.createOrReplaceTempView("_batch")
+    """Upsert a checked batch by key.
+
+    Every row needs a ``dt_base``: a batch with a NULL one is refused, since its month would
+    be no partition. A key whose month changes leaves its old month: the months rewritten
+    are those of the batch and those in which the table holds keys of the batch.
+    """
+    if _is_delta(spark, table):  # not run by any test: the format is not installed here
+        view = f"_batch_{uuid.uuid4().hex}"
+        batch.createOrReplaceTempView(view)
         same = " AND ".join(f"t.`{k}` = s.`{k}`" for k in keys)
-        spark.sql(
-            f"MERGE INTO {table} t USING _batch s ON {same} "
-            "WHEN MATCHED THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *"
-        )
+        try:
+            spark.sql(
+                f"MERGE INTO {table} t USING {view} s ON {same} "
+                "WHEN MATCHED THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *"
+            )
+        finally:
+            spark.catalog.dropTempView(view)
         return
     staged = stage(batch.withColumn(MONTH, month_of()), shared_folder(spark, "batch"))
-    touched = spark.table(table).where(F.col(MONTH).isin(_months_in(staged)))
-    overwrite_partitions(spark, upsert(touched, staged, keys), table)
+    if not staged.where(F.col(MONTH).isNull()).isEmpty():
+        raise ContractError(f"{table}: rows of the batch have no dt_base")
+    stored = spark.table(table)
+    held = stored.select(*keys, MONTH).join(staged.select(*keys), list(keys), "left_semi")
+    months = sorted({*_months_in(staged), *_months_in(held)})
+    touched = stored.where(F.col(MONTH).isin(months))
+    _rewrite_months(spark, table, upsert(touched, staged, keys), months)
 
 
 def replace_window(
@@ -145,7 +183,7 @@ def replace_window(
     """
     scope = date_scope(column, start, end, **equal)
     check_replacement(batch, scope, allow_empty=allow_empty)
-    if _is_delta(spark, table):
+    if _is_delta(spark, table):  # not run by any test: the format is not installed here
         sql = [f"{column} BETWEEN DATE '{start}' AND DATE '{end}'"]
         sql += [f"{c} = {v!r}" for c, v in equal.items()]
         (batch.write.format("delta").mode("overwrite")
@@ -155,6 +193,4 @@ def replace_window(
     touched = spark.table(table).where(F.col(MONTH).between(first, last))
     months = _months_in(touched)
     rows = replace_where(touched, batch.withColumn(MONTH, month_of(column)), scope)
-    written = overwrite_partitions(spark, rows, table)
-    for month in sorted(set(months) - set(_months_in(written))):
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({MONTH} = '{month}')")
+    _rewrite_months(spark, table, rows, months)
