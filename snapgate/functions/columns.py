@@ -17,8 +17,10 @@ NULL_MARK = "<NULL>"
 FIELD_SEPARATOR = "\u001f"
 MOJIBAKE_MARKS = ("�", "Ã", "Â")
 
-# Longer texts are compared by digest so that a shuffle carries 64 characters of them.
-DIGEST_ABOVE = 64
+# Longer texts are compared by digest. The mark makes a digest longer than any text that is
+# compared as it is, so the two never meet.
+PLAIN_LENGTH = 64
+DIGEST_MARK = "sha256:"
 
 
 def any_of(conditions: Iterable[Column]) -> Column:
@@ -57,8 +59,10 @@ def looks_mojibake(c: Column) -> Column:
 
 
 def compact_text(c: Column) -> Column:
-    """The value itself when short, else its SHA-256, for grouping on whole texts."""
-    return F.when(F.length(c) > DIGEST_ABOVE, F.sha2(c, 256)).otherwise(c)
+    """A key that is equal exactly for equal texts: short ones as they are, longer ones as
+    a marked SHA-256, which has more characters than any short one."""
+    digest = F.concat(F.lit(DIGEST_MARK), F.sha2(c, 256))
+    return F.when(F.length(c) > PLAIN_LENGTH, digest).otherwise(c)
 
 
 def groupable(df: DataFrame, columns: Iterable[str] | None = None) -> list[Column]:

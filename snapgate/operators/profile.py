@@ -23,6 +23,7 @@ from snapgate.functions.columns import (
     compact_text,
     count_where,
     groupable,
+    literal_rows,
     is_blank,
     looks_mojibake,
     one_row_per,
@@ -181,26 +182,40 @@ def key_candidates_single(profile: DataFrame) -> DataFrame:
 
 
 def key_candidates_pair(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pairs of complete columns that together are unique, all pairs in one grouping."""
+    """Pairs of complete columns that together are unique, all open pairs in one grouping.
+
+    The profile of the columns, one row each, is taken first and decides most pairs: only
+    complete columns are paired, a pair with a unique column is unique, and a pair whose
+    distinct counts multiply to less than the rows is not. Rows are shuffled for the others.
+    """
     texts, names = _texts(df, columns)
+    known = {r.column: r for r in profile_columns(df, names).collect()}
+    complete = [n for n in names if n in known and known[n].row_count > 0
+                and known[n].nulls == 0 and known[n].blanks == 0]
+    decided, opened = [], []
+    for a, b in combinations(complete, 2):
+        counts = known[a].distinct_non_null, known[b].distinct_non_null
+        if max(counts) == known[a].row_count:
+            decided.append((a, b))
+        elif counts[0] * counts[1] >= known[a].row_count:
+            opened.append((a, b))
+    found = literal_rows(df.sparkSession, ("column_a", "column_b"), decided)
+    if not opened:
+        return found
     pairs = [
-        F.struct(
-            F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-            compact_text(F.col(a)).alias("a"), compact_text(F.col(b)).alias("b"),
-            any_of([F.col(c).isNull() | is_blank(F.col(c)) for c in (a, b)]).alias("incomplete"),
-        )
-        for a, b in combinations(names, 2)
+        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
+                 compact_text(F.col(a)).alias("a"), compact_text(F.col(b)).alias("b"))
+        for a, b in opened
     ]
     groups = (
         texts.select(F.inline(F.array(*pairs)))
-        .groupBy("column_a", "column_b", "a", "b", "incomplete").agg(row_count().alias("n"))
+        .groupBy("column_a", "column_b", "a", "b").agg(row_count().alias("n"))
     )
-    return (
-        groups.groupBy("column_a", "column_b")
-        .agg(F.bool_or("incomplete").alias("incomplete"), F.max("n").alias("n"))
-        .where("NOT incomplete AND n = 1")
+    unique = (
+        groups.groupBy("column_a", "column_b").agg(F.max("n").alias("n")).where("n = 1")
         .select("column_a", "column_b")
     )
+    return found.union(unique)
 
 
 # -- distributions --------------------------------------------------------------------
@@ -279,14 +294,8 @@ def profile_numeric(df: DataFrame, columns: Sequence[str], *, digits: int = 6) -
     ))
 
 
-def _cuts_below(value: Column, step: int) -> Column:
-    """How many of the sorted ``cuts`` are below the value: first among the
-    ``starts`` of blocks of ``step`` cuts, then within one block, which takes far fewer comparisons than all cuts."""
-    def below(cuts: Column) -> Column:
-        return F.size(F.filter(cuts, lambda cut: cut < value))
-
-    first = F.greatest(below(F.col("starts")) - 1, F.lit(0)) * step
-    return F.coalesce(first + below(F.slice("cuts", first + 1, F.lit(step))), F.lit(0))
+# Rank error of the brackets, as the reciprocal of a share of the rows.
+BRACKET_ACCURACY = 20_000
 
 
 def exact_quantiles(
@@ -294,62 +303,43 @@ def exact_quantiles(
     columns: Sequence[str],
     probabilities: Sequence[float] = QUANTILES,
     *,
-    buckets: int = 256,
+    accuracy: int = BRACKET_ACCURACY,
 ) -> DataFrame:
     """Exact discrete quantiles (the smallest value whose rank reaches p·n), distributed.
 
-    Values are counted per (column, value). A deterministic sample of these, the ones with
-    the smallest hashes, cuts the values into ranges; range totals give the range that
-    holds each wanted rank, and only that range is ordered. The sample steers the balance
-    only: the result does not depend on it. All steps read the one shuffle of the counts.
+    A sketch first gives every quantile a bracket of two values that surely holds it: the
+    approximate quantiles two errors below and above. A second pass counts what lies below
+    each bracket and the values inside, about 4/accuracy of the rows or fewer, whatever
+    their distribution; only these are ordered. The result does not depend on the sketch.
     """
-    step = 16
+    wanted = [float(p) for p in probabilities]
+    ends = sorted({min(max(p + side * 2 / accuracy, 0.0), 1.0) for p in wanted for side in (-1, 1)})
     casts = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    counts = (
-        casts.unpivot([], list(columns), "column", "value").where("value IS NOT NULL")
-        .groupBy("column", "value").agg(row_count().alias("n"))
-    )
-    # Bounded by construction; columns share the cuts by their number of distinct values.
-    # Naming n in the order keeps this branch's plan equal to the others', so that Spark
-    # reuses the shuffle.
-    cuts = (
-        counts.orderBy(F.xxhash64("column", "value"), "column", "value", "n")
-        .limit(len(columns) * (buckets - 1))
-        .groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("cuts"))
-        .withColumn("starts", F.filter("cuts", lambda _, i: i % step == 0))
-    )
-    ranged = counts.join(F.broadcast(cuts), "column", "left").select(
-        "column", "value", "n", _cuts_below(F.col("value"), step).alias("range")
-    )
-    # At most one row per cut and column.
-    totals = ranged.groupBy("column", "range").agg(F.sum("n").alias("in_range"))
-    in_order = W.partitionBy("column").orderBy("range")
-    total = F.sum("in_range").over(W.partitionBy("column"))
-    upto = F.sum("in_range").over(in_order)
-    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("p")
-    targets = (
-        totals.select("column", "range", (upto - F.col("in_range")).alias("before"),
-                      upto.alias("upto"), total.alias("total"))
-        .select("*", wanted)
-        .withColumn("rank", F.greatest(F.ceil(F.col("p") * F.col("total")), F.lit(1)))
-        .where("rank > before AND rank <= upto")
-        .groupBy("column", "range").agg(
-            F.first("before").alias("before"),
-            F.collect_list(F.struct("rank", "p")).alias("targets"),
-        )
-    )
-    running = F.sum("n").over(W.partitionBy("column", "range").orderBy("value"))
-    found = (
-        ranged.join(F.broadcast(targets), ["column", "range"])
-        .withColumn("last", F.col("before") + running)
-        .withColumn("hit", F.filter("targets", lambda t: (t["rank"] <= F.col("last"))
-                                    & (t["rank"] > F.col("last") - F.col("n"))))
-        .where(F.size("hit") > 0)
-        .select("column", "value", F.explode("hit.p").alias("p"))
-    )
+    sketch = casts.agg(*[
+        F.struct(F.count(c).alias("total"), F.percentile_approx(c, ends, accuracy).alias("ends")).alias(c)
+        for c in columns
+    ])
+
+    def bracket(c: str, p: float) -> Column:
+        low, high = (ends.index(min(max(p + side * 2 / accuracy, 0.0), 1.0)) for side in (-1, 1))
+        return F.struct(
+            F.lit(c).alias("column"), F.lit(p).alias("p"), F.col(f"{c}.total").alias("total"),
+            F.get(F.col(f"{c}.ends"), F.lit(low)).alias("low"),
+            F.get(F.col(f"{c}.ends"), F.lit(high)).alias("high"))
+
+    # One row per column and probability.
+    brackets = sketch.select(one_row_per(bracket(c, p) for c in columns for p in wanted))
+    cells = casts.unpivot([], list(columns), "column", "value").where("value IS NOT NULL")
+    held = cells.join(F.broadcast(brackets), "column").where("value <= high")
+    folded = held.groupBy("column", "p", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value")).agg(
+        row_count().alias("n"), F.first("total").alias("total"))
+    # What lies below the bracket is one row with value NULL, which comes first.
+    upto = F.sum("n").over(W.partitionBy("column", "p").orderBy(F.asc_nulls_first("value")))
+    reached = folded.withColumn("upto", upto).where(
+        "value IS NOT NULL AND upto >= greatest(ceil(p * total), 1)")
+    found = reached.groupBy("column", "p").agg(F.min("value").alias("value"))
     return found.groupBy("column").agg(*[
-        F.max(F.when(F.col("p") == float(p), F.col("value"))).alias(f"p{round(p * 100)}")
-        for p in probabilities
+        F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"p{round(p * 100)}") for p in wanted
     ])
 
 
@@ -502,20 +492,21 @@ def signature(
 ) -> DataFrame:
     """Rows, distinct row hashes and the exact sum of row hashes, independent of order.
 
-    ``method`` md5 takes the first 60 bits of the row text's MD5, which other engines
-    can compute too.
+    ``method`` md5 counts distinct MD5 digests of the row texts and sums their first 60
+    bits, which other engines can compute too. No SQL engine at hand has ``xxhash64`` as
+    Spark seeds and chains it, so that method is tested against its definition only.
     """
     texts, names = _texts(df, columns)
     cells = [as_text(n) for n in names]
     if method == "xxhash64":
-        row_hash = F.xxhash64(*cells)
+        row_hash, number = F.xxhash64(*cells), F.col("h")
     elif method == "md5":
         text = F.concat_ws(FIELD_SEPARATOR, *cells)
-        row_hash = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+        row_hash, number = F.md5(text), F.conv(F.substring("h", 1, 15), 16, 10)
     else:
         raise ValueError(f"unknown hash method: {method}")
     hashes = texts.select(row_hash.alias("h")).groupBy("h").agg(row_count().alias("n"))
-    weighted = F.col("h").cast("decimal(20,0)") * F.col("n").cast("decimal(18,0)")
+    weighted = number.cast("decimal(20,0)") * F.col("n").cast("decimal(18,0)")
     return hashes.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("row_count"),
         row_count().alias("distinct_hashes"),

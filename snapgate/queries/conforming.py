@@ -25,9 +25,9 @@ def plain_times(df: DataFrame) -> DataFrame:
     ])
 
 
-def _contract_rows(df: DataFrame, contract) -> DataFrame:
-    """The contract's columns without the processing time, which differs per run."""
-    return plain_times(df.select(*[c for c in contract.column_names if c != _PROCESSED]))
+def _contract_rows(df: DataFrame, contract, *flags: str) -> DataFrame:
+    """The contract's columns without the processing time, which differs per run, and flags."""
+    return plain_times(df.select(*[c for c in contract.column_names if c != _PROCESSED], *flags))
 
 
 _ITEM_TYPES = """
@@ -297,14 +297,22 @@ def silver_products(t: Tables) -> DataFrame:
     return _contract_rows(products, datasets.SILVER_PRODUCTS)
 
 
-@query(_ORDERS_SQL)
+def _exists(key: str, table: str) -> str:
+    return f"coalesce({key} IN (SELECT {key} FROM ({snapshot_sql(table)})), false)"
+
+
+@query(f"SELECT *, {_exists('customer_id', 'customers')} AS _customer_exists FROM ({_ORDERS_SQL})")
 def silver_orders(t: Tables) -> DataFrame:
+    """Typed orders and whether their customer exists."""
     orders = silver.orders(snapshot(t, "orders"), snapshot(t, "customers"))
-    return _contract_rows(orders, datasets.SILVER_ORDERS)
+    return _contract_rows(orders, datasets.SILVER_ORDERS, "_customer_exists")
 
 
 @query(f"""
-SELECT order_id, product_id, seller_id, {_ITEM_TYPES}, {_LINEAGE}
+SELECT order_id, product_id, seller_id, {_ITEM_TYPES}, {_LINEAGE},
+       {_exists('order_id', 'orders')} AS _order_exists,
+       {_exists('product_id', 'products')} AS _product_exists,
+       {_exists('seller_id', 'sellers')} AS _seller_exists
 FROM ({snapshot_sql('order_items')})
 """)
 def silver_order_items(t: Tables) -> DataFrame:
@@ -312,4 +320,5 @@ def silver_order_items(t: Tables) -> DataFrame:
         snapshot(t, "order_items"), snapshot(t, "orders"), snapshot(t, "products"),
         snapshot(t, "sellers"),
     )
-    return _contract_rows(items, datasets.SILVER_ORDER_ITEMS)
+    flags = ("_order_exists", "_product_exists", "_seller_exists")
+    return _contract_rows(items, datasets.SILVER_ORDER_ITEMS, *flags)

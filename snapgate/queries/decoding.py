@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from snapgate.functions.columns import all_of
 from snapgate.operators import decode
 from snapgate.plans import catalog, feeds
 from snapgate.queries.registry import Tables, query
@@ -12,11 +13,16 @@ from snapgate.queries.registry import Tables, query
 
 @query("""
 SELECT user_id, CAST(ts AS DATE) AS dt_base, CAST(max(value) AS DOUBLE) AS peak,
-       CAST(count(*) AS BIGINT) AS events, strftime(min(ts), '%Y-%m') AS month
-FROM events GROUP BY 1, 2
+       CAST(count(*) AS BIGINT) AS events, strftime(min(ts), '%Y-%m') AS month,
+       CAST(count(*) + 1 AS BIGINT) AS unnamed, 'a "note"' AS note,
+       '{"daily":{"events":' || count(*) || ',"month":"' || strftime(min(ts), '%Y-%m')
+       || '","note":"a \\"note\\"","time":"' || CAST(ts AS DATE) || '","unnamed":' || count(*) + 1
+       || '},"nested":{"user":[' || user_id || ']},"period":"' || strftime(min(ts), '%Y-%m') || '"}' AS payload
+FROM events GROUP BY 1, 2, CAST(ts AS DATE)
 """)
 def transpose_daily(t: Tables) -> DataFrame:
-    """Monthly responses of parallel lists, cut into daily rows again.
+    """Monthly responses of parallel lists, cut into daily rows again. A list, a scalar and
+    an object that nobody names stay in each day's payload, with their types.
 
     Events are folded per user and day first, so a response never holds more than the
     days of a month.
@@ -35,14 +41,24 @@ def transpose_daily(t: Tables) -> DataFrame:
                 F.transform("d", lambda x: x["day"].cast("string")).alias("time"),
                 F.col("d.peak").alias("peak"), F.col("d.events").alias("events"),
                 F.col("month").alias("month"),
+                F.transform("d", lambda x: x["events"] + 1).alias("unnamed"),
+                F.lit('a "note"').alias("note"),
             ).alias("daily"),
+            F.struct(F.array("user_id").alias("user")).alias("nested"),
         )).alias("payload_json"),
     )
     rows = decode.transpose_arrays(
         responses, "payload_json", "daily", "time",
         {"peak": "DOUBLE", "events": "BIGINT"}, {"month": "STRING"},
     )
-    return rows.select("user_id", "dt_base", "peak", "events", "month")
+    landed = decode.land_payload(rows.withColumn("text", F.col("payload_json")), "payload_json")
+    return landed.select(
+        "user_id", "dt_base", "peak", "events", "month",
+        decode.payload_field("payload", "$.daily.unnamed", "bigint").alias("unnamed"),
+        decode.payload_field("payload", "$.daily.note").alias("note"),
+        # Numbers with a fraction are written differently by the engines.
+        F.regexp_replace("text", '"peak":[^,}]*,', "").alias("payload"),
+    )
 
 
 def _statistics_responses(t: Tables) -> DataFrame:
@@ -54,7 +70,8 @@ def _statistics_responses(t: Tables) -> DataFrame:
     def element(variable: str, value) -> F.Column:
         return F.create_map(
             F.lit("D1C"), F.col("c_custkey").cast("string"),
-            F.lit("D2C"), (F.lit(2000) + F.col("c_nationkey")).cast("string"),
+            F.lit("D2C"), F.when(F.col("c_mktsegment") == "BUILDING", "x").otherwise(
+                (F.lit(2000) + F.col("c_nationkey")).cast("string")),
             F.lit("D3C"), F.lit(variable), F.lit("V"), value,
             F.lit("X9"), F.col("c_mktsegment"),
         )
@@ -66,10 +83,12 @@ def _statistics_responses(t: Tables) -> DataFrame:
 
 
 _OBSERVED = """
-    SELECT CAST(c_custkey AS VARCHAR) AS code, CAST(2000 + c_nationkey AS VARCHAR) AS year,
+    SELECT CAST(c_custkey AS VARCHAR) AS code,
+           CASE WHEN c_mktsegment = 'BUILDING' THEN 'x' ELSE CAST(2000 + c_nationkey AS VARCHAR) END AS year,
            v AS variable,
            CASE v WHEN '37' THEN '...' ELSE CAST(c_nationkey AS VARCHAR) END AS valor,
-           c_mktsegment AS unknown_key, make_date(2000 + c_nationkey, 1, 1) AS dt_base
+           c_mktsegment AS unknown_key,
+           CASE WHEN c_mktsegment <> 'BUILDING' THEN make_date(2000 + c_nationkey, 1, 1) END AS dt_base
     FROM customer, (SELECT unnest(['37', '498']) AS v)"""
 
 
@@ -89,31 +108,40 @@ def header_decode(t: Tables) -> DataFrame:
 
 @query(f"""
 SELECT code AS municipality_code, year AS reference_year, variable AS variable_code, dt_base,
-       valor, 'request-1' AS request_id
+       valor, 'request-1' AS request_id, year <> 'x' AS usable
 FROM ({_OBSERVED})
 """)
 def observation_extract(t: Tables) -> DataFrame:
-    """Observation keys, the first day of the year and the payload as VARIANT."""
+    """Observation keys, the first day of the year and the payload as VARIANT; whether the
+    checks that stop a batch let the row pass."""
     rows = feeds.observation_rows(_statistics_responses(t), "request-1")
     return rows.select(
         "municipality_code", "reference_year", "variable_code", "dt_base",
         decode.payload_field("payload", "$.Valor").alias("valor"), "request_id",
+        all_of(F.coalesce(F.expr(c), F.lit(False)) for c in decode.OBSERVATION_CHECKS.values())
+        .alias("usable"),
     )
 
 
 @query("""
 SELECT CAST(s_suppkey AS VARCHAR) AS municipality_code, DATE '2024-01-01' AS dt_base,
        s_name AS name, CAST(s_nationkey AS INTEGER) AS nested_nation
-FROM supplier
+FROM supplier WHERE s_acctbal >= 0
 """)
 def current_snapshot_extract(t: Tables) -> DataFrame:
-    """Objects of a list response as rows of one snapshot day; nested fields survive."""
+    """Objects of list responses as rows of one snapshot day; nested fields survive. Beside
+    the lists, one per nation, stand responses that are none and items without an id."""
     item = F.struct(
-        F.col("s_suppkey").alias("id"), F.col("s_name").alias("nome"),
+        F.when(F.col("s_acctbal") >= 0, F.col("s_suppkey").cast("string"))
+        .when(F.col("s_acctbal") < -500, " ").alias("id"),
+        F.col("s_name").alias("nome"),
         F.struct(F.col("s_nationkey").alias("nation")).alias("campo-novo"),
     )
-    responses = t.supplier.select(F.to_json(F.array(item)).alias("payload_json"))
-    rows = decode.extract_snapshot(responses, "payload_json", F.lit("2024-01-01").cast("date"))
+    lists = t.supplier.groupBy("s_nationkey").agg(F.collect_list(item).alias("items"))
+    responses = lists.select(F.to_json("items").alias("payload_json")).union(
+        lists.select(F.to_json(F.struct("s_nationkey")))).union(lists.select(F.lit("no JSON")))
+    rows = decode.extract_snapshot(
+        responses, "payload_json", F.lit("2024-01-01").cast("date"), check=False)
     return rows.select(
         "municipality_code", "dt_base",
         decode.payload_field("payload", "$.nome").alias("name"),

@@ -12,7 +12,13 @@ from snapgate.plans import datasets
 from snapgate.queries.registry import Tables, query
 from snapgate.queries.snapshots import snapshot, snapshot_sql
 from snapgate.session import shared_folder
-from snapgate.sources.files import cleansed, file_inventory, read_csv_snapshot, unseen_content
+from snapgate.sources.files import (
+    cleansed,
+    cleansing_failed,
+    profile_files,
+    read_csv_snapshot,
+    unseen_content,
+)
 from snapgate.sources.jdbc import in_window
 
 
@@ -28,7 +34,7 @@ def _written_csv(t: Tables, df: DataFrame, name: str) -> str:
 
 
 @query(f"""
-SELECT customer_id, customer_zip_code_prefix, customer_city,
+SELECT customer_id, customer_unique_id, customer_zip_code_prefix, customer_city,
        nullif(customer_state, '') AS customer_state
 FROM ({snapshot_sql('customers')})
 """)
@@ -38,9 +44,7 @@ def land_csv_snapshot(t: Tables) -> DataFrame:
     names = datasets.source_columns(datasets.CUSTOMERS)
     folder = _written_csv(t, snapshot(t, "customers").select(*names), "customers-csv")
     landed = read_csv_snapshot(t.spark, folder, names)
-    return landed.select(
-        "customer_id", "customer_zip_code_prefix", "customer_city", "customer_state"
-    )
+    return landed.drop("source_file")
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS text_md5 FROM documents")
@@ -53,10 +57,24 @@ def land_multiline_csv(t: Tables) -> DataFrame:
     return landed.select("doc_id", F.md5("text").alias("text_md5"))
 
 
-@query()
-def file_inventory_of_tables(t: Tables) -> DataFrame:
-    """Name and size of every table file; modification times have no oracle."""
-    return file_inventory(t.spark, t.folder, "*.parquet").select("name", "size_bytes")
+_WRITTEN = {"nation": ("n_nationkey", "n_name"), "customer": ("c_custkey", "c_name", "c_acctbal"),
+            "orders": ("o_orderkey", "o_orderdate")}
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{name}' AS dataset, count(*)::BIGINT AS row_count, "
+    f"'{name}, all|{'|'.join(columns)}' AS columns FROM {name}"
+    for name, columns in _WRITTEN.items()))
+def profile_of_written_files(t: Tables) -> DataFrame:
+    """Rows and headings of tables written as CSV; one heading holds the separator."""
+    found = None
+    for name, columns in _WRITTEN.items():
+        table = getattr(t, name).select(F.lit("x").alias(f"{name}, all"), *columns)
+        folder = _written_csv(t, table, name)
+        files = profile_files(t.spark, folder).groupBy("columns").agg(
+            F.sum("row_count").alias("row_count")).select(F.lit(name).alias("dataset"), "row_count", F.array_join("columns", "|").alias("columns"))
+        found = files if found is None else found.union(files)
+    return found
 
 
 @query("""
@@ -77,24 +95,30 @@ SELECT o_orderkey, CAST(o_orderdate AS DATE) AS data_coleta,
        CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DECIMAL(38,18)) AS valor_venda,
        CASE WHEN o_orderstatus = 'P' THEN NULL
             ELSE CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DECIMAL(38,18)) END AS valor_compra,
-       CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderpriority END AS complemento
-FROM orders
+       CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderpriority END AS complemento,
+       false AS cast_failed
+FROM orders WHERE o_orderpriority <> '5-LOW'
+UNION ALL
+SELECT o_orderkey, CAST(o_orderdate AS DATE), NULL, NULL,
+       CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderpriority END,  true
+FROM orders WHERE o_orderpriority = '5-LOW'
 """)
 def decimal_comma_cleanse(t: Tables) -> DataFrame:
-    """Day-first dates, decimal commas and blanks become typed values and NULLs."""
+    """Day-first dates, decimal commas and blanks become typed values and NULLs; a price
+    that does not parse is told apart from an absent one."""
+    low = F.col("o_orderpriority") == "5-LOW"
     comma = F.replace(F.col("o_totalprice").cast("decimal(12,2)").cast("string"), F.lit("."), F.lit(","))
     raw = t.orders.select(
         "o_orderkey",
         F.date_format("o_orderdate", "dd/MM/yyyy").alias("data_coleta"),
-        comma.alias("valor_venda"),
-        F.when(F.col("o_orderstatus") == "P", "").otherwise(comma).alias("valor_compra"),
+        F.when(low, F.lit("cheap")).otherwise(comma).alias("valor_venda"),
+        F.when((F.col("o_orderstatus") == "P") | low, "").otherwise(comma).alias("valor_compra"),
         F.when(F.col("o_orderstatus") == "F", "").otherwise(F.col("o_orderpriority")).alias("complemento"),
     )
-    return cleansed(
-        raw, dates={"data_coleta": "dd/MM/yyyy"},
-        decimals={"valor_venda": "decimal(38,18)", "valor_compra": "decimal(38,18)"},
-        blank_to_null=["complemento"],
-    )
+    dates = {"data_coleta": "dd/MM/yyyy"}
+    decimals = {"valor_venda": "decimal(38,18)", "valor_compra": "decimal(38,18)"}
+    flagged = raw.withColumn("cast_failed", cleansing_failed(dates=dates, decimals=decimals))
+    return cleansed(flagged, dates=dates, decimals=decimals, blank_to_null=["complemento"])
 
 
 @query("""

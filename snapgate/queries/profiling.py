@@ -70,16 +70,17 @@ def low_cardinality_distributions(t: Tables) -> DataFrame:
 
 
 @query("""
+WITH s AS (""" + snapshot_sql("customers") + """)
 SELECT count(*) AS row_count,
-       (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem
-         WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL)) AS distinct_keys,
-       count(*) FILTER (WHERE l_orderkey IS NULL OR l_linenumber IS NULL) AS null_rows,
-       CAST(0 AS BIGINT) AS blank_rows
-FROM lineitem
+       (SELECT count(*) FROM (SELECT DISTINCT customer_unique_id, customer_city FROM s
+         WHERE customer_unique_id IS NOT NULL AND customer_city IS NOT NULL)) AS distinct_keys,
+       count(*) FILTER (WHERE customer_unique_id IS NULL OR customer_city IS NULL) AS null_rows,
+       count(*) FILTER (WHERE trim(customer_unique_id) = '' OR trim(customer_city) = '') AS blank_rows
+FROM s
 """)
 def key_stats(t: Tables) -> DataFrame:
-    """Completeness and distinct values of the item key."""
-    return profile.key_stats(t.lineitem, ["l_orderkey", "l_linenumber"])
+    """Completeness and distinct values of a customer key with NULL and blank parts."""
+    return profile.key_stats(snapshot(t, "customers"), ["customer_unique_id", "customer_city"])
 
 
 _GROUPS = """
@@ -99,10 +100,21 @@ def key_multiplicity(t: Tables) -> DataFrame:
     return profile.key_multiplicity(t.lineitem, ["l_orderkey", "l_linenumber"])
 
 
-@query(_GROUPS.format(more="", table="documents", keys="text, lang"))
+@query(_GROUPS.format(more="", table="documents", keys="text, lang, source, n_chars"))
 def full_row_duplicates(t: Tables) -> DataFrame:
-    """Copies of whole documents, compared by digest."""
-    return profile.key_uniqueness(t.documents.select("text", "lang"))
+    """Copies of whole documents but for their ids, compared by digest."""
+    return profile.key_uniqueness(t.documents.drop("doc_id"))
+
+
+@query(_GROUPS.format(more=", max(n) AS max_group", keys="text", table="""(
+    SELECT text FROM documents UNION ALL SELECT sha256(text) FROM documents WHERE length(text) > 64
+    UNION ALL SELECT 'sha256:' || sha256(text) FROM documents WHERE length(text) > 64)"""))
+def texts_beside_their_digests(t: Tables) -> DataFrame:
+    """Repeats in a column that holds documents and, as texts, their digests."""
+    long = t.documents.where(F.length("text") > 64)
+    texts = t.documents.select("text").union(long.select(F.sha2("text", 256))).union(
+        long.select(F.concat(F.lit("sha256:"), F.sha2("text", 256))))
+    return profile.key_multiplicity(texts)
 
 
 @query("""
@@ -176,18 +188,24 @@ def exact_quantiles(t: Tables) -> DataFrame:
     return profile.exact_quantiles(t.lineitem, ["l_extendedprice", "l_quantity"])
 
 
+_PAYMENTS = f"""
+SELECT *, CASE WHEN payment_type = 'boleto' THEN regexp_extract(payment_value, '^-?[0-9]+')
+               ELSE payment_value END AS cents FROM ({snapshot_sql("order_payments")})"""
+
+
 @query(_each_column("""
 SELECT '{c}' AS "column",
-       count(*) FILTER (WHERE {c} IS NOT NULL AND TRY_CAST({c} AS BIGINT) IS NULL) AS non_integer,
-       CAST(0 AS BIGINT) AS fractional,
-       count(*) FILTER (WHERE TRY_CAST({c} AS BIGINT) <= 0) AS non_positive,
-       min(TRY_CAST({c} AS BIGINT)) AS min_value, max(TRY_CAST({c} AS BIGINT)) AS max_value
-FROM s""", ("payment_sequential", "payment_installments"), snapshot_sql("order_payments")))
+       count(*) FILTER (WHERE {c} IS NOT NULL AND ({c} LIKE '%.%' OR TRY_CAST({c} AS BIGINT) IS NULL)) AS non_integer,
+       count(*) FILTER (WHERE TRY_CAST({c} AS DECIMAL(38,18)) <> floor(TRY_CAST({c} AS DECIMAL(38,18)))) AS fractional,
+       count(*) FILTER (WHERE {c} NOT LIKE '%.%' AND TRY_CAST({c} AS BIGINT) <= 0) AS non_positive,
+       min(TRY_CAST({c} AS BIGINT)) FILTER ({c} NOT LIKE '%.%') AS min_value,
+       max(TRY_CAST({c} AS BIGINT)) FILTER ({c} NOT LIKE '%.%') AS max_value
+FROM s""", ("payment_sequential", "payment_installments", "cents"), _PAYMENTS))
 def integer_shape(t: Tables) -> DataFrame:
-    """Integer shapes of payment positions and instalments."""
-    return profile.integer_shape(
-        snapshot(t, "order_payments"), ["payment_sequential", "payment_installments"]
-    )
+    """Integer shapes of payment positions, instalments, and whole and broken amounts."""
+    cents = F.when(F.col("payment_type") == "boleto", F.regexp_extract("payment_value", r"^-?\d+", 0))
+    payments = snapshot(t, "order_payments").withColumn("cents", cents.otherwise(F.col("payment_value")))
+    return profile.integer_shape(payments, ["payment_sequential", "payment_installments", "cents"])
 
 
 _TIMES = ("order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date")
@@ -273,14 +291,17 @@ def _signature_sql(name: str, table: str, columns: tuple[str, ...]) -> str:
     cells = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '<NULL>')" for c in columns)
     return f"""
 SELECT '{name}' AS dataset, count(*) AS row_count, count(DISTINCT h) AS distinct_hashes,
-       CAST(sum(h) AS DECIMAL(38,0)) AS hash_sum
-FROM (SELECT ('0x' || substr(md5(concat_ws(chr(31), {cells})), 1, 15))::BIGINT AS h FROM {table})"""
+       CAST(sum(('0x' || substr(h, 1, 15))::BIGINT) AS DECIMAL(38,0)) AS hash_sum
+FROM (SELECT md5(concat_ws(chr(31), {cells})) AS h FROM {table})"""
 
 
 _SIGNED = {
     "nation": ("nation", ("n_nationkey", "n_name", "n_regionkey")),
     "customer": ("customer", ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")),
-    "products": (f"({snapshot_sql('products')})", ("product_id", *_NULLABLE)),
+    "products": (f"({snapshot_sql('products')})", (
+        "product_id", "product_category_name", "product_name_lenght", "product_description_lenght",
+        "product_photos_qty", "product_weight_g", "product_length_cm", "product_height_cm",
+        "product_width_cm")),
 }
 
 

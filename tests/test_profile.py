@@ -39,10 +39,10 @@ def test_approximate_profile_matches_on_small_data(rows):
 
 
 @PROPERTY
-@given(values=st.lists(st.integers(-5, 5), min_size=1, max_size=40), buckets=st.sampled_from([2, 4, 256]))
-def test_exact_quantiles_against_brute_force(rows, values, buckets):
+@given(values=st.lists(st.integers(-5, 5), min_size=1, max_size=40), accuracy=st.sampled_from([5, 100, 20_000]))
+def test_exact_quantiles_against_brute_force(rows, values, accuracy):
     df = rows([(float(v), float(abs(v))) for v in values], "x double, y double")
-    found = {r["column"]: r for r in profile.exact_quantiles(df, ["x", "y"], buckets=buckets).collect()}
+    found = {r["column"]: r for r in profile.exact_quantiles(df, ["x", "y"], accuracy=accuracy).collect()}
     for name, data in (("x", sorted(values)), ("y", sorted(map(abs, values)))):
         for p in profile.QUANTILES:
             rank = max(math.ceil(p * len(data)), 1)
