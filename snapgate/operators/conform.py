@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from snapgate.contracts import require_columns
 from snapgate.functions.columns import any_of, cast_failed
 from snapgate.operators.joins import balanced_join
-from snapgate.session import fits_broadcast
 
 
 @dataclass(frozen=True)
@@ -69,41 +68,29 @@ class Reference:
 
 
 def reference_flags(
-    child: DataFrame, references: Sequence[Reference], *, salt: bool | None = None
+    child: DataFrame, references: Sequence[Reference], *, salt: bool = False,
+    hint: str | None = None,
 ) -> DataFrame:
     """Add one never-NULL boolean per reference without changing the child's grain.
 
-    A small parent becomes a broadcast existence join, so its duplicate keys need no
-    removal. A large one is de-duplicated and joined with hot child keys split.
+    Each parent is reduced to its distinct keys and left-joined: one broadcast or one shuffle
+    of the child per reference, as sizes have it, and hot child keys are split by AQE. Since
+    the right side is unique, Catalyst drops a join whose flag nobody reads, so counts over
+    the child's own columns never run it. ``salt`` splits hot keys by a count of its own (see
+    ``balanced_join``), ``hint`` asks for a join strategy.
     """
-    original = child
     for reference in references:
         child_keys = [c for c, _ in reference.on]
         parent_keys = [p for _, p in reference.on]
         require_columns(child, child_keys, "referencing input")
         require_columns(reference.parent, parent_keys, "referenced input")
-        names = [f"_parent_key_{i}" for i in range(len(parent_keys))]
+        names = [f"_referenced_{i}" for i in range(len(parent_keys))]
         parent = reference.parent.select(
             *[F.col(p).alias(n) for p, n in zip(parent_keys, names)]
-        )
-        if salt or (salt is None and not fits_broadcast(parent)):
-            child = balanced_join(
-                child,
-                parent.distinct().withColumn(reference.flag, F.lit(True)),
-                list(zip(child_keys, names)),
-                salt=True,
-                hot_from=original,
-            ).withColumn(reference.flag, F.coalesce(reference.flag, F.lit(False)))
-        else:
-            # The child's keys get names the parent does not have at any level of its plan:
-            # an outer reference to a name that both sides know would bind to the parent.
-            outer = [f"_child_key_{i}" for i in range(len(child_keys))]
-            found = parent
-            for key, name in zip(outer, names):
-                found = found.where(F.col(name) == F.col(key).outer())
-            child = child.select("*", *[F.col(c).alias(o) for c, o in zip(child_keys, outer)]).select(
-                *child.columns, F.coalesce(found.exists(), F.lit(False)).alias(reference.flag)
-            )
+        ).distinct().withColumn(reference.flag, F.lit(True))
+        child = balanced_join(
+            child, parent.hint(hint) if hint else parent, list(zip(child_keys, names)), salt=salt
+        ).withColumn(reference.flag, F.coalesce(reference.flag, F.lit(False)))
     return child
 
 
@@ -122,7 +109,7 @@ def enrich(
     columns: Sequence[str],
     flag: str,
     *,
-    salt: bool | None = None,
+    salt: bool = False,
 ) -> DataFrame:
     """Left-join lookup columns by key and say in ``flag`` whether the key was found."""
     require_columns(df, key, "enriched input")

@@ -1,9 +1,10 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
-A parent side within the broadcast threshold is joined plainly: Catalyst broadcasts it
-and the child is never shuffled. A larger parent is joined on the key plus a salt: keys
-with more rows than one slice should hold are split into slices and only their parent
-rows are repeated, once per slice. NULL keys, which match nothing, are spread as well.
+A join is written plainly: Catalyst broadcasts a small parent, and where it shuffles, AQE
+splits the partitions of hot and of NULL keys. For sessions in which AQE cannot (it is off,
+or the join must keep its partitioning) the join can be salted: keys with more rows than one
+slice should hold are split into slices and only their parent rows are repeated, once per
+slice. NULL keys, which match nothing, are spread as well.
 """
 
 from __future__ import annotations
@@ -14,23 +15,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapgate.session import fits_broadcast
-
 ROWS_PER_SLICE = 2_000_000
-# Bound of the broadcast table of hot keys. A key outside the first 50,000 holds less
-# than 1/50,000 of all rows and is joined unsalted, which is exact as well.
-HOT_KEY_LIMIT = 50_000
 _NULL_SLICES = 4096
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_slice: int) -> DataFrame:
-    """The most frequent keys above ``rows_per_slice`` and how many slices each needs."""
+    """Every key above ``rows_per_slice`` and how many slices it needs; of n rows at most
+    n / rows_per_slice."""
     rows = F.col("_rows")
     return (
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
         .where(rows > rows_per_slice)
-        .orderBy(rows.desc(), *keys)
-        .limit(HOT_KEY_LIMIT)
         .select(*[F.col(k).alias(f"_hot_key_{i}") for i, k in enumerate(keys)], F.ceil(rows / rows_per_slice).cast("int").alias("_slices"))
     )
 
@@ -53,29 +48,24 @@ def balanced_join(
     how: str = "left",
     *,
     rows_per_slice: int = ROWS_PER_SLICE,
-    salt: bool | None = None,
-    hot_from: DataFrame | None = None,
+    salt: bool = False,
 ) -> DataFrame:
     """Join ``child`` to ``parent`` on (child column, parent column) pairs.
 
     ``how`` is left, inner, left_semi or left_anti. The parent should hold one row per
     key when its columns are wanted, and share no column name with the child other than
-    the key. ``salt`` overrides the size check. ``hot_from`` is a cheaper table with the
-    same child keys, such as the child before earlier joins, to count hot keys in.
+    the key.
     """
     child_keys = [c for c, _ in on]
     parent_keys = [f"_parent_key_{i}" for i in range(len(on))]
     renamed = parent.withColumnsRenamed({p: k for (_, p), k in zip(on, parent_keys)})
-    if salt is None:
-        salt = not fits_broadcast(parent)
     if not salt:
         matches = [F.col(c) == F.col(k) for c, k in zip(child_keys, parent_keys)]
         return child.join(renamed, matches, how).drop(*parent_keys)
 
-    counted = child if hot_from is None else hot_from
-    present = counted.where(" AND ".join(f"`{c}` IS NOT NULL" for c in child_keys))
-    # Both sides join the very same hot-key table, so it is computed and broadcast once.
-    hot = F.broadcast(hot_keys(present, child_keys, rows_per_slice))
+    present = child.where(" AND ".join(f"`{c}` IS NOT NULL" for c in child_keys))
+    # Both sides join the very same hot-key table, so its shuffle is run once.
+    hot = hot_keys(present, child_keys, rows_per_slice)
     hot_names = [f"_hot_key_{i}" for i in range(len(on))]
 
     def with_slices(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -210,13 +210,13 @@ FROM lineitem
 """
 
 
-def _item_flags(t: Tables, salt: bool | None) -> DataFrame:
+def _item_flags(t: Tables, hint: str | None) -> DataFrame:
     items = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return reference_flags(items, [
         Reference(t.orders.where("o_orderstatus <> 'P'"), (("l_orderkey", "o_orderkey"),), "order_exists"),
         Reference(t.part.where("p_size <= 45"), (("l_partkey", "p_partkey"),), "product_exists"),
         Reference(t.supplier.where("s_acctbal >= 0"), (("l_suppkey", "s_suppkey"),), "seller_exists"),
-    ], salt=salt)
+    ], hint=hint)
 
 
 @query(_ITEM_FLAGS)
@@ -228,7 +228,7 @@ def ref_flags_items(t: Tables) -> DataFrame:
 @query(_ITEM_FLAGS)
 def ref_flags_items_shuffled(t: Tables) -> DataFrame:
     """The same flags by the path for parents too large to broadcast."""
-    return _item_flags(t, True)
+    return _item_flags(t, "merge")
 
 
 @query("""

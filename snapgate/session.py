@@ -1,11 +1,11 @@
-"""Session defaults, the shared scratch folder, and the broadcast size check."""
+"""Session defaults and the shared scratch folder."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # AQE re-plans joins from run-time sizes and splits skewed shuffle partitions.
 SESSION_DEFAULTS = {
@@ -49,14 +49,3 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether Catalyst's size estimate of ``df`` is within the broadcast threshold.
-
-    This is the same estimate and threshold Catalyst itself broadcasts by, so a
-    plain join written after a positive answer will not shuffle its other side.
-    """
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return 0 <= int(str(size)) <= int(limit)

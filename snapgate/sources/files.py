@@ -139,7 +139,7 @@ def file_hashes(spark: SparkSession, path: str | Sequence[str], glob: str = "*")
 
 def unseen_content(
     candidates: DataFrame, ledger: DataFrame, hash_column: str = "content_hash",
-    *, salt: bool | None = None,
+    *, salt: bool = False,
 ) -> DataFrame:
     """Candidates whose content no successful load has recorded. Copies among the
     candidates are all kept and a much-copied content is split over tasks."""
