@@ -197,11 +197,11 @@ def link_edges(prints: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text",
                     width: int = 3) -> DataFrame:
-    """``(place, key, fp, component)`` for every row of ``df``.
+    """``(place, key, fp, root, component)`` for every row of ``df``.
 
-    ``fp`` is the signed fingerprint, ``component`` the smallest key among all rows reachable
-    over links of at most three bits, ``place`` the row's position in ``df``, stable while
-    ``df`` is read from the same files. Equal fingerprints are folded before anything is
+    ``fp`` is the signed fingerprint; ``root`` and ``component`` are the smallest fingerprint
+    and the smallest key among all rows reachable over links of at most three bits; ``place``
+    is the row's position in ``df``, stable while ``df`` is read from the same files. Equal fingerprints are folded before anything is
     compared. NULL and empty texts have fingerprint zero and link like any other; rows with a
     NULL key take part, their key never names a component that has another (NULL if none
     has); repeated rows stay repeated; an empty table gives no rows.
@@ -215,8 +215,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text",
     rooted = prints.join(tied, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = stored(rooted.join(named, "root").select("fp", "component"), "simhash-components")
-    return made.join(named, "fp").select("place", F.col("key").alias(key), "fp", "component")
+    named = stored(rooted.join(named, "root").select("fp", "root", "component"), "simhash-components")
+    return made.join(named, "fp").select("place", F.col("key").alias(key), "fp", "root", "component")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -226,11 +226,12 @@ def hexadecimal(fp: Column) -> Column:
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """The rows of ``df``, one of each group: that of the smallest key, the first of equals.
+    A group without any key keeps its first row.
 
     ``df`` must be read from files, so that positions agree between two reads.
     """
     found = near_duplicates(df, key, text, width)
-    first = found.groupBy("component").agg(F.min(F.struct(
+    first = found.groupBy("root").agg(F.min(F.struct(
         F.col(key).isNull(), F.col(key), F.col("place"))).alias("first"))
     kept = first.select(F.col("first.place").alias("__place"))
     return df.withColumn("__place", F.monotonically_increasing_id()).join(

@@ -304,7 +304,9 @@ def test_fingerprints_and_components(docs, none):
     assert bag(got.collect()) == bag(want)
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert kept.count() == len({r[2] if r[2] is not None else r for r in got.collect()})
+    assert kept.count() == len({r.root for r in simhash.near_duplicates(docs).collect()})
+    nameless = simhash.stored(docs.withColumn("doc_id", F.lit(None).cast("long")), "test-docs")
+    assert simhash.keep_one(nameless).count() == kept.count()
     assert simhash.near_duplicates(none).count() == 0
     assert simhash.keep_one(none).count() == 0
 
