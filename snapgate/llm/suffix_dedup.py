@@ -26,8 +26,8 @@ LENGTH = 200
 GRAM = 32
 SPAN = LENGTH - GRAM + 1   # grams in a string
 PART = 1 << 22             # start positions of a text that are handled at once
-CHUNK = 3 << 20            # bytes of segments whose suffixes are sorted at once
-CROWD = 10_000             # distinct segments of one anchor beyond which they are cut up
+CHUNK = 1 << 20            # bytes of segments whose suffixes are sorted at once
+CROWD = 3_000              # distinct segments of one anchor beyond which they are cut up
 CUT = 16                   # start positions of a cut-up segment
 _PLACE = np.uint64((1 << 23) - 1)
 
@@ -153,17 +153,24 @@ def repeated_starts(pieces: list[bytes]) -> list[np.ndarray]:
     return [twice[e - m:e - m + k] for e, m, k in zip(ends, lengths, starts, strict=True)]
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch as Python values, one after another: lists of many rows take
+    several times their bytes."""
+    for row in zip(*batch.columns, strict=True):
+        yield tuple(value.as_py() for value in row)
+
+
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The anchor of each segment of (place, text)."""
     for batch in batches:
-        for text in batch.column(1).to_pylist():
+        for _, text in _rows(batch):
             yield pa.RecordBatch.from_arrays([pa.array(segments(text)[0])], names=["anchor"])
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The segments of (place, text), each with a 128-bit digest of its bytes."""
     for batch in batches:
-        for place, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for place, text in _rows(batch):
             anchor, start, starts, offset = segments(text)
             view = memoryview(text)
             digests = [xxhash.xxh3_128_digest(view[s:s + k + LENGTH - 1])
@@ -182,7 +189,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     anchor, and the key then tells the range and the bytes that all its strings share.
     """
     for batch in batches:
-        for place, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for place, text, wanted in _rows(batch):
             rows = []
             for w in wanted:
                 if not w["crowd"]:
@@ -290,21 +297,24 @@ def remove_repeats(df: DataFrame, text: str = "text") -> DataFrame:
 
     @F.arrow_udf("struct<text:binary,n_removed:bigint,n_spans:bigint>")
     def cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
-        made = []
-        for raw, found in zip(texts.to_pylist(), runs.to_pylist(), strict=True):
+        kept, removed, spans = [], [], []
+        for raw, found in ((t.as_py(), r.as_py()) for t, r in zip(texts, runs, strict=True)):
             if not found:
-                made.append({"text": raw, "n_removed": 0, "n_spans": 0})
+                kept.append(raw)
+                removed.append(0)
+                spans.append(0)
                 continue
             edges = np.zeros(len(raw) + 1, dtype=np.int32)
             start = np.array([r["start"] for r in found])
             np.add.at(edges, start, 1)
             np.add.at(edges, start + np.array([r["starts"] for r in found]) + LENGTH - 1, -1)
             gone = np.cumsum(edges[:-1]) > 0
-            made.append({
-                "text": np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes(),
-                "n_removed": int(gone.sum()), "n_spans": len(_runs(gone))})
-        return pa.array(made, pa.struct([
-            ("text", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64())]))
+            kept.append(np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes())
+            removed.append(int(gone.sum()))
+            spans.append(len(_runs(gone)))
+        return pa.StructArray.from_arrays(
+            [pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())],
+            names=["text", "n_removed", "n_spans"])
 
     done = placed.join(spans, "__place", "left").withColumn("__cut", cut("__text", "__runs"))
     return done.select(
