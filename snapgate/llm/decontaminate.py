@@ -9,7 +9,7 @@ the bound are aligned within the band, and only what stays in the budget counts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -142,7 +142,7 @@ def _align(flat: np.ndarray, index: Windows, window: np.ndarray, band: np.ndarra
     return best
 
 
-def scan(texts: list[bytes | None], index: Windows) -> dict[tuple[int, int], list[int]]:
+def scan(texts: Iterable[bytes | None], index: Windows) -> dict[tuple[int, int], list[int]]:
     """``{(text, item): [windows found, fewest edits]}`` for the given texts."""
     found: dict[tuple[int, int], list[int]] = {}
     gap = b"\0" * (WINDOW + BAND + 4 * int(WINDOW * BUDGET))  # no stretch spans two texts
@@ -216,7 +216,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", t
 
         def search(batches: Iterator[pa.RecordBatch], index=index, ids=ids) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = scan(batch.column(2).to_pylist(), index)
+                found = scan((t.as_py() for t in batch.column(2)), index)
                 at = pa.array([d for d, _ in found], pa.int64())
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(at), batch.column(1).take(at),

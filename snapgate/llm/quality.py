@@ -180,6 +180,6 @@ def score(docs: DataFrame, network: Network, *, text: str = "text", name: str =
     """
     @F.arrow_udf("double")
     def scores(texts: pa.Array) -> pa.Array:
-        return pa.array([network.score(t) for t in texts.to_pylist()], pa.float64())
+        return pa.array([network.score(t.as_py()) for t in texts], pa.float64())
 
     return docs.withColumn(name, scores(F.col(text).cast("string").cast("binary")))

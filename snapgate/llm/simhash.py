@@ -95,7 +95,7 @@ def with_fingerprint(df: DataFrame, text: str, name: str, width: int = 3) -> Dat
     """``df`` with the signed 64-bit fingerprint ``name`` of the column ``text``."""
     @F.arrow_udf("long")
     def fingerprints(texts: pa.Array) -> pa.Array:
-        made = [fingerprint(t, width) for t in texts.to_pylist()]
+        made = [fingerprint(t.as_py(), width) for t in texts]
         return pa.array(np.array(made, dtype=np.uint64).view(np.int64))
 
     return df.withColumn(name, fingerprints(F.col(text).cast("binary")))
