@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapgate.llm.common import ascii_lower, stored
+from snapgate.llm.common import stored
 
 # The similarity as a fraction: sets match if DENOMINATOR * shared >= NUMERATOR * joined.
 NUMERATOR, DENOMINATOR = 4, 5
@@ -23,15 +23,27 @@ HASH_BITS = 58
 
 def words(line: Column) -> Column:
     """Hashes of the distinct words of a line, lower-cased, split at ASCII white space."""
-    parts = F.filter(F.split(ascii_lower(line), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.array_distinct(F.transform(
-        parts, lambda w: F.shiftrightunsigned(F.xxhash64(w), 64 - HASH_BITS)))
+    text = F.lower(line)
+    odd = F.contains(text, F.lit("\t"))
+    for other in "\x0b\x0c\r":
+        odd = odd | F.contains(text, F.lit(other))
+    spaced = F.when(odd, F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
+    hashed = F.transform(F.split(spaced, " "), _word_hash)
+    return F.array_remove(F.array_distinct(hashed), _word_hash(F.lit("")))
+
+
+def _word_hash(word: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(word), 64 - HASH_BITS)
+
+
+def _placed(df: DataFrame, text: str) -> DataFrame:
+    return df.select(F.monotonically_increasing_id().alias("place"),
+                     F.split(F.col(text).cast("string"), "\n").alias("lines"))
 
 
 def _lines(df: DataFrame, text: str) -> DataFrame:
     """``place``, ``line`` and ``words`` of every line that has words."""
-    placed = df.select(F.monotonically_increasing_id().alias("place"), F.col(text).cast("string").alias("text"))
-    rows = placed.select("place", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    rows = _placed(df, text).select("place", F.posexplode("lines").alias("line", "text"))
     return rows.select("place", "line", words(F.col("text")).alias("words")).where("size(words) > 0")
 
 
@@ -52,42 +64,61 @@ def _shared(n: Column, m: Column) -> Column:
     return F.ceil(NUMERATOR * (n + m) / (NUMERATOR + DENOMINATOR))
 
 
-def matches(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _parity(sets: Column) -> Column:
+    """64 bits, each the parity of how many words fall on it. Two sets differ in at least as
+    many words as their parities in bits."""
+    one = F.lit(1).cast("bigint")
+    return F.aggregate(sets, F.lit(0).cast("bigint"), lambda seen, w: seen.bitwiseXOR(
+        F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def matches(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """The first line of each distinct set, and those of them that an earlier one matches.
 
     Both have ``place`` and ``line``. Lines of equal sets are folded first, so that a line
     that is very common is one row in all that follows. An ordered word holds its rarity in
     the high bits and its hash in the others, so that a set is one sorted array of numbers.
     """
+    lines = _lines(df, text)
     rarity = _rarity(lines)
-    ordered = F.array_sort(F.transform("words", lambda w: F.shiftleft(F.get(
+    ordered = F.sort_array(F.transform("words", lambda w: F.shiftleft(F.get(
         rarity, F.pmod(w, F.lit(COUNTERS)).cast("int")).cast("bigint"), HASH_BITS).bitwiseOR(w)))
-    sets = lines.select("place", "line", ordered.alias("words"))
-    firsts = stored(sets.groupBy(
-        F.xxhash64("words").alias("h"), F.xxhash64(F.lit("again"), "words").alias("g")).agg(
-        F.min(F.struct("place", "line")).alias("first"), F.first(F.size("words")).alias("n"),
+    sets = lines.select("place", "line", ordered.alias("words")).select(
+        "place", "line", F.size("words").alias("n"),
+        F.xxhash64("words").alias("h"), F.xxhash64(F.lit("again"), "words").alias("g"),
+        _parity(F.col("words")).alias("parity"),
         # As many of the rarest words as a match cannot do without.
-        F.first(F.slice("words", F.lit(1), F.size("words") - F.ceil(
-            F.size("words") * NUMERATOR / DENOMINATOR).cast("int") + 1)).alias("prefix")).select(
-        "first.place", "first.line", "n", "prefix"), "line-sets")
-
-    met = firsts.select("place", "line", "n", F.posexplode("prefix").alias("at", "word"))
+        F.slice("words", F.lit(1), F.size("words") - F.ceil(
+            F.size("words") * NUMERATOR / DENOMINATOR).cast("int") + 1).alias("prefix"))
+    # A place and a line as one number, which folds where the rows are.
+    at = F.col("place").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("line")
+    folded = sets.groupBy("h", "g", "n", "parity", "prefix").agg(F.min(at.cast("decimal(38,0)")).alias("at"))
+    turn = F.lit(1 << 31).cast("decimal(11,0)")
+    place = F.floor(F.col("at") / turn).cast("bigint")
+    firsts = stored(folded.select(
+        place.alias("place"), (F.col("at") % turn).cast("int").alias("line"),
+        "n", "parity", "prefix"), "line-sets")
+
+    met = firsts.select("place", "line", "n", "parity", F.posexplode("prefix").alias("at", "word"))
     left = met.select(*[F.col(c).alias(f"{c}_a") for c in met.columns])
     right = met.select(*[F.col(c).alias(f"{c}_b") for c in met.columns])
     n, m = F.col("n_a"), F.col("n_b")
     later = (F.col("place_a") > F.col("place_b")) | (
         (F.col("place_a") == F.col("place_b")) & (F.col("line_a") > F.col("line_b")))
-    # What can still be shared from this word on must suffice, and the lengths must allow it.
-    rest = 1 + F.least(n - F.col("at_a"), m - F.col("at_b")) - 1
     near = (m * DENOMINATOR >= n * NUMERATOR) & (n * DENOMINATOR >= m * NUMERATOR)
-    before = F.least("at_a", "at_b")
+    # Taken as the first word that both share, this one and those behind it must suffice.
+    rest = F.least(n - F.col("at_a"), m - F.col("at_b"))
+    apart = F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b")))
     pairs = left.join(right, (F.col("word_a") == F.col("word_b")) & later & near
-                      & (rest + before >= _shared(n, m)))
+                      & (rest >= _shared(n, m)) & (apart <= n + m - 2 * _shared(n, m)))
     pairs = stored(pairs.select("place_a", "line_a", "place_b", "line_b").distinct(), "line-pairs")
 
+    # The words of the lines in pairs, from their rows: rows without one are not taken apart.
     ends = pairs.select(F.col("place_a").alias("place"), F.col("line_a").alias("line")).union(
-        pairs.select("place_b", "line_b")).distinct()
-    held = stored(lines.join(ends, ["place", "line"], "left_semi"), "line-candidates")
+        pairs.select("place_b", "line_b")).groupBy("place").agg(F.collect_set("line").alias("wanted"))
+    held = _placed(df, text).join(ends, "place").select(
+        "place", "lines", F.explode("wanted").alias("line"))
+    held = stored(held.select("place", "line", words(F.get("lines", "line")).alias("words")), "line-candidates")
     one = held.select(F.col("place").alias("place_a"), F.col("line").alias("line_a"), F.col("words").alias("words_a"))
     two = held.select(F.col("place").alias("place_b"), F.col("line").alias("line_b"), F.col("words").alias("words_b"))
     shared = F.size(F.array_intersect("words_a", "words_b"))
@@ -109,7 +140,7 @@ def without_repeated_lines(df: DataFrame, text: str = "text") -> DataFrame:
     empty table gives no rows. ``df`` must be read from files, so that positions agree
     between two reads. Words are compared by 58-bit hashes.
     """
-    first, found = matches(_lines(df, text))
+    first, found = matches(df, text)
     kept = first.join(found, ["place", "line"], "left_anti").groupBy("place").agg(
         F.collect_list("line").alias("__kept")).withColumnRenamed("place", "__place")
     keep = [c for c in df.columns if c not in ("n_lines", "n_removed")]

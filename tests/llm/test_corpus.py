@@ -165,7 +165,7 @@ def test_lines_against_every_earlier_line(docs, none):
     for r in rows:
         kept, lines = [], [] if r.text is None else r.text.split("\n")
         for line in lines:
-            w = set(words_of(line))
+            w = {x for x in re.split(r"[\x20\x09-\x0D]+", line.lower()) if x}
             hit = w and any(5 * len(w & v) >= 4 * len(w | v) for v in seen)
             if w:
                 seen.append(w)
