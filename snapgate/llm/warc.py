@@ -16,8 +16,8 @@ CRLF = "\r\n"
 PLAIN = "text/plain; charset=utf-8"
 FIELDS = "application/warc-fields"
 # Content that is not text, elements that end a line, and single passes over what is left.
-_HIDDEN = (r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-           r"|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>|<title\b.*?</title\s*>")
+_HIDDEN = (r"(?is)<(?:!--.*?--|script\b.*?</script\s*|style\b.*?</style\s*"
+           r"|noscript\b.*?</noscript\s*|template\b.*?</template\s*|title\b.*?</title\s*)>")
 _BREAKS = (r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form"
            r"|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)"
            r"\b[^>]*>")
@@ -64,8 +64,9 @@ def decoded(text: Column) -> Column:
 
 def _folded(text: Column) -> Column:
     """White space within lines as one space, blank lines dropped, ends trimmed."""
-    flat = F.regexp_replace(text, r"[ \t\r\f\x0B]+", " ")
-    return F.regexp_replace(F.regexp_replace(flat, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    # Single blanks, the most of them, are left alone.
+    flat = F.regexp_replace(text, r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " ")
+    return F.btrim(F.regexp_replace(flat, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def plain_text(html: Column) -> Column:
