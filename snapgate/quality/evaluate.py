@@ -161,7 +161,8 @@ def _uniqueness(df: DataFrame, columns: tuple[str, ...], rules: list[tuple[int,
 
 def _coverage(df: DataFrame, position: int, rule: ExpectedCombinationsRule) -> DataFrame:
     """Expected against observed tuples by one grouping over both; the list of missing
-    tuples is bounded by the contract's own list."""
+    tuples is bounded by the contract's own list. NULL is read as the text ``<NULL>``, so
+    the two count as one value here."""
     names = [f"v{i}" for i in range(len(rule.columns))]
     observed = df.select(
         *[as_text(c).alias(n) for c, n in zip(rule.columns, names)],
