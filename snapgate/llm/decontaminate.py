@@ -199,7 +199,8 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", t
     The benchmark is searched in blocks of bounded size, each an index sent to the tasks of
     one pass over all documents, so neither side's size is limited.
     """
-    items = benchmark.select(F.col(item).alias("item"), F.col(item_text).cast("string").cast("binary").alias("text"))
+    items = benchmark.select(
+        F.col(item).alias("item"), F.col(item_text).cast("string").cast("binary").alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_BYTES))
     shape = StructType([

@@ -178,7 +178,8 @@ def balance(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
     rows = made.join(repeated, "content", "left").withColumn(
         "row", F.when(F.col("repeated"), F.xxhash64("content", "place")).otherwise(F.col("content")))
     rate = F.when(F.col("size") == 0, 1.0).otherwise(_rate(F.col("multiplier"), F.col("size") / F.col("unit")))
-    rows = rows.withColumnRenamed("source", "of").join(duals, F.equal_null("of", "source")).withColumn("rate", rate)
+    rows = rows.withColumnRenamed("source", "of").join(
+        duals, F.equal_null("of", "source")).withColumn("rate", rate)
     rows = rows.withColumn("whole", F.floor("rate")).withColumn("fraction", F.col("rate") - F.col("whole"))
     rows = rows.withColumn("rank", F.when(F.col("fraction") > 0, _rank(seed, F.col("row"), F.col("fraction"))))
     rows = stored(rows.select("place", "key", "size", "source", "source_size", "target", "whole", "rank"),
@@ -190,7 +191,8 @@ def balance(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
         taken = _rounded(rows, cuts).groupBy("source").agg(
             F.sum(F.col("copies") * F.col("size")).alias("taken")).withColumnRenamed("source", "of")
         rooms = stored(cuts.join(taken, F.equal_null("of", "source"), "left").select(
-            "source", F.floor(F.col("target") + 0.5 - F.coalesce("taken", F.lit(0))).alias("room")), "mix-rooms")
+            "source",
+            F.floor(F.col("target") + 0.5 - F.coalesce("taken", F.lit(0))).alias("room")), "mix-rooms")
         room = rooms.withColumnRenamed("source", "at")
         open_ = _rounded(rows, cuts).where("rank IS NOT NULL AND copies = whole AND size > 0").join(
             room, F.equal_null("at", "source")).where("size <= room").select("source", "rank", "size")

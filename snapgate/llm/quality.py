@@ -134,7 +134,8 @@ def train(texts: list[bytes], labels: list[int], seed: int = 5) -> Network:
                 total = np.bincount(cells, to_chunks[live], 256 * FILTERS).reshape(256, FILTERS)
                 hit = total != 0
                 table_square[j][hit] += total[hit] ** 2
-                net.tables[j][hit] -= (10 * rate * total[hit] / np.sqrt(table_square[j][hit] + 1e-8)).astype(np.float32)
+                step = 10 * rate * total[hit] / np.sqrt(table_square[j][hit] + 1e-8)
+                net.tables[j][hit] -= step.astype(np.float32)
             for p, g, m in zip(("shift", "weights", "bias"),
                                (to_chunks.sum(axis=0), error * pooled + 1e-4 * net.weights, np.array([error])),
                                moments, strict=True):

@@ -201,9 +201,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text",
 
     ``fp`` is the signed fingerprint; ``root`` and ``component`` are the smallest fingerprint
     and the smallest key among all rows reachable over links of at most three bits; ``place``
-    is the row's position in ``df``, stable while ``df`` is read from the same files. Equal fingerprints are folded before anything is
-    compared. NULL and empty texts have fingerprint zero and link like any other; rows with a
-    NULL key take part, their key never names a component that has another (NULL if none
+    is the row's position in ``df``, stable while ``df`` is read from the same files.
+
+    Equal fingerprints are folded before anything is compared. NULL and empty texts have
+    fingerprint zero and link like any other; rows with a NULL key take part, their key never
+    names a component that has another (NULL if none
     has); repeated rows stay repeated; an empty table gives no rows.
     """
     made = with_fingerprint(
