@@ -21,41 +21,45 @@ COUNTERS = 1 << 16
 HASH_BITS = 58
 
 
-def words(line: Column) -> Column:
-    """Hashes of the distinct words of a line, lower-cased, split at ASCII white space."""
-    text = F.lower(line)
+def _split(text: Column) -> Column:
+    """Words of a text, lower-cased, split at ASCII white space; some may be empty."""
+    text = F.lower(text)
     odd = F.contains(text, F.lit("\t"))
-    for other in "\x0b\x0c\r":
+    for other in "\n\x0b\x0c\r":
         odd = odd | F.contains(text, F.lit(other))
-    spaced = F.when(odd, F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
-    hashed = F.transform(F.split(spaced, " "), _word_hash)
-    return F.array_remove(F.array_distinct(hashed), _word_hash(F.lit("")))
+    return F.split(F.when(odd, F.translate(text, "\t\n\x0b\x0c\r", "     ")).otherwise(text), " ")
 
 
 def _word_hash(word: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(word), 64 - HASH_BITS)
 
 
+def words(line: Column, rarity: Column | None = None) -> Column:
+    """The distinct words of a line as hashes, with ``rarity`` below the word's rarity, in
+    order: the rarest first."""
+    def number(word: Column) -> Column:
+        h = _word_hash(word)
+        if rarity is None:
+            return h
+        rare = F.get(rarity, F.pmod(h, F.lit(COUNTERS)).cast("int")).cast("bigint")
+        return F.shiftleft(rare, HASH_BITS).bitwiseOR(h)
+
+    return F.sort_array(F.array_remove(
+        F.array_distinct(F.transform(_split(line), number)), number(F.lit(""))))
+
+
 def _placed(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.monotonically_increasing_id().alias("place"),
                      F.split(F.col(text).cast("string"), "\n").alias("lines"))
 
 
-def _lines(df: DataFrame, text: str) -> DataFrame:
-    """``place``, ``line`` and ``words`` of every line that has words."""
-    rows = _placed(df, text).select("place", F.posexplode("lines").alias("line", "text"))
-    return rows.select("place", "line", words(F.col("text")).alias("words")).where("size(words) > 0")
-
-
-def _rarity(lines: DataFrame) -> Column:
-    """Logarithms of the counts of words by class, as one array of fixed length."""
-    counted = lines.select(F.explode("words").alias("word")).groupBy(
-        F.pmod("word", F.lit(COUNTERS)).alias("at")).agg(F.count("*").alias("n"))
-    none = lines.sparkSession.range(COUNTERS).select(
+def _rarity(df: DataFrame, text: str) -> Column:
+    """Logarithms of the counts of words by class, as one constant array."""
+    counted = df.select(F.explode(_split(F.col(text).cast("string"))).alias("word")).groupBy(
+        F.pmod(_word_hash(F.col("word")), F.lit(COUNTERS)).alias("at")).agg(F.count("*").alias("n"))
+    none = df.sparkSession.range(COUNTERS).select(
         F.col("id").alias("at"), F.lit(0).cast("bigint").alias("n"))
-    counted = counted.union(none).groupBy("at").agg(F.sum("n").alias("n"))
-    counts = sorted(counted.collect())
-    # One number per class, as a constant of the plan.
+    counts = sorted(counted.union(none).groupBy("at").agg(F.sum("n").alias("n")).collect())
     return F.split(F.lit(",".join(str(n.bit_length()) for _, n in counts)), ",").cast("array<int>")
 
 
@@ -65,11 +69,11 @@ def _shared(n: Column, m: Column) -> Column:
 
 
 def _parity(sets: Column) -> Column:
-    """64 bits, each the parity of how many words fall on it. Two sets differ in at least as
+    """32 bits, each the parity of how many words fall on it. Two sets differ in at least as
     many words as their parities in bits."""
-    one = F.lit(1).cast("bigint")
-    return F.aggregate(sets, F.lit(0).cast("bigint"), lambda seen, w: seen.bitwiseXOR(
-        F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))))
+    one = F.lit(1)
+    return F.aggregate(sets, F.lit(0), lambda seen, w: seen.bitwiseXOR(
+        F.call_function("shiftleft", one, w.bitwiseAND(F.lit(31)).cast("int"))))
 
 
 def matches(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
@@ -79,11 +83,9 @@ def matches(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     that is very common is one row in all that follows. An ordered word holds its rarity in
     the high bits and its hash in the others, so that a set is one sorted array of numbers.
     """
-    lines = _lines(df, text)
-    rarity = _rarity(lines)
-    ordered = F.sort_array(F.transform("words", lambda w: F.shiftleft(F.get(
-        rarity, F.pmod(w, F.lit(COUNTERS)).cast("int")).cast("bigint"), HASH_BITS).bitwiseOR(w)))
-    sets = lines.select("place", "line", ordered.alias("words")).select(
+    lines = _placed(df, text).select("place", F.posexplode("lines").alias("line", "text"))
+    sets = lines.select("place", "line", words(F.col("text"), _rarity(df, text)).alias("words"))
+    sets = sets.where("size(words) > 0").select(
         "place", "line", F.size("words").alias("n"),
         F.xxhash64("words").alias("h"), F.xxhash64(F.lit("again"), "words").alias("g"),
         _parity(F.col("words")).alias("parity"),
@@ -99,7 +101,9 @@ def matches(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
         place.alias("place"), (F.col("at") % turn).cast("int").alias("line"),
         "n", "parity", "prefix"), "line-sets")
 
-    met = firsts.select("place", "line", "n", "parity", F.posexplode("prefix").alias("at", "word"))
+    # Lines meet by a short hash of the word; two words of one hash only give more candidates.
+    met = firsts.select("place", "line", "n", "parity", F.posexplode("prefix").alias("at", "word")).withColumn(
+        "word", F.hash("word"))
     left = met.select(*[F.col(c).alias(f"{c}_a") for c in met.columns])
     right = met.select(*[F.col(c).alias(f"{c}_b") for c in met.columns])
     n, m = F.col("n_a"), F.col("n_b")
@@ -108,7 +112,9 @@ def matches(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     near = (m * DENOMINATOR >= n * NUMERATOR) & (n * DENOMINATOR >= m * NUMERATOR)
     # Taken as the first word that both share, this one and those behind it must suffice.
     rest = F.least(n - F.col("at_a"), m - F.col("at_b"))
-    apart = F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b")))
+    # The sign of an int would be counted 33 times.
+    apart = F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b")).cast("bigint").bitwiseAND(
+        F.lit(0xFFFFFFFF)))
     pairs = left.join(right, (F.col("word_a") == F.col("word_b")) & later & near
                       & (rest >= _shared(n, m)) & (apart <= n + m - 2 * _shared(n, m)))
     pairs = stored(pairs.select("place_a", "line_a", "place_b", "line_b").distinct(), "line-pairs")
@@ -119,14 +125,25 @@ def matches(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     held = _placed(df, text).join(ends, "place").select(
         "place", "lines", F.explode("wanted").alias("line"))
     held = stored(held.select("place", "line", words(F.get("lines", "line")).alias("words")), "line-candidates")
-    one = held.select(F.col("place").alias("place_a"), F.col("line").alias("line_a"), F.col("words").alias("words_a"))
-    two = held.select(F.col("place").alias("place_b"), F.col("line").alias("line_b"), F.col("words").alias("words_b"))
+    # Most lines match their first candidate; the other pairs of these need no look.
+    least = F.min(F.struct("place_b", "line_b")).alias("b")
+    first = pairs.groupBy("place_a", "line_a").agg(least).select("place_a", "line_a", "b.*")
+    found = stored(_verified(first, held), "line-matches")
+    others = pairs.join(found, ["place_a", "line_a"], "left_anti").join(
+        first, pairs.columns, "left_anti")
+    found = found.union(_verified(others, held)).select(
+        F.col("place_a").alias("place"), F.col("line_a").alias("line")).distinct()
+    return firsts.select("place", "line"), found
+
+
+def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """``place_a`` and ``line_a`` of the pairs whose sets match, once each."""
+    one, two = (held.select(*[F.col(c).alias(f"{c}_{side}") for c in ("place", "line", "words")])
+                for side in "ab")
     shared = F.size(F.array_intersect("words_a", "words_b"))
     joined = F.size("words_a") + F.size("words_b") - shared
-    found = pairs.join(one, ["place_a", "line_a"]).join(two, ["place_b", "line_b"]).where(
-        shared * DENOMINATOR >= joined * NUMERATOR)
-    found = found.select(F.col("place_a").alias("place"), F.col("line_a").alias("line")).distinct()
-    return firsts.select("place", "line"), found
+    return pairs.join(one, ["place_a", "line_a"]).join(two, ["place_b", "line_b"]).where(
+        shared * DENOMINATOR >= joined * NUMERATOR).select("place_a", "line_a").distinct()
 
 
 def without_repeated_lines(df: DataFrame, text: str = "text") -> DataFrame:

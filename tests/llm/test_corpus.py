@@ -178,6 +178,28 @@ def test_lines_against_every_earlier_line(docs, none):
     assert line_dedup.without_repeated_lines(none).count() == 0
 
 
+def test_edited_lines_match_whatever_their_words(spark):
+    rng = random.Random(12)
+    lines = []
+    for _ in range(12):
+        base = [prose(rng, 1).replace(" ", "") + str(rng.randrange(10 ** 6)) for _ in range(rng.choice((5, 9, 40, 70)))]
+        for _ in range(6):
+            edited = list(base)
+            for _ in range(rng.randrange(1 + len(base) // 6)):
+                edited[rng.randrange(len(base))] = f"new{rng.randrange(10 ** 6)}"
+            lines.append(" ".join(edited))
+    frame = line_dedup.stored(spark.createDataFrame(
+        [(k, line) for k, line in enumerate(lines)], "doc_id long, text string").coalesce(1), "test-docs")
+    seen, want = [], set()
+    for k, line in enumerate(lines):
+        w = set(line.split())
+        if any(5 * len(w & v) >= 4 * len(w | v) for v in seen):
+            want.add(k)
+        seen.append(w)
+    got = line_dedup.without_repeated_lines(frame).where("n_removed = 1")
+    assert {r.doc_id for r in got.collect()} == want and 10 < len(want) < 60
+
+
 def test_quality_learns_and_scores_every_text(spark, docs, none):
     rng = random.Random(1)
     good = [prose(rng, 80) for _ in range(60)]
