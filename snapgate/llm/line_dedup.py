@@ -69,11 +69,11 @@ def _shared(n: Column, m: Column) -> Column:
 
 
 def _parity(sets: Column) -> Column:
-    """32 bits, each the parity of how many words fall on it. Two sets differ in at least as
+    """64 bits, each the parity of how many words fall on it. Two sets differ in at least as
     many words as their parities in bits."""
-    one = F.lit(1)
-    return F.aggregate(sets, F.lit(0), lambda seen, w: seen.bitwiseXOR(
-        F.call_function("shiftleft", one, w.bitwiseAND(F.lit(31)).cast("int"))))
+    one, none = (F.lit(x).cast("bigint") for x in (1, 0))
+    return F.aggregate(sets, none, lambda seen, w: seen.bitwiseXOR(
+        F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def matches(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
@@ -112,9 +112,7 @@ def matches(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     near = (m * DENOMINATOR >= n * NUMERATOR) & (n * DENOMINATOR >= m * NUMERATOR)
     # Taken as the first word that both share, this one and those behind it must suffice.
     rest = F.least(n - F.col("at_a"), m - F.col("at_b"))
-    # The sign of an int would be counted 33 times.
-    apart = F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b")).cast("bigint").bitwiseAND(
-        F.lit(0xFFFFFFFF)))
+    apart = F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b")))
     pairs = left.join(right, (F.col("word_a") == F.col("word_b")) & later & near
                       & (rest >= _shared(n, m)) & (apart <= n + m - 2 * _shared(n, m)))
     pairs = stored(pairs.select("place_a", "line_a", "place_b", "line_b").distinct(), "line-pairs")
