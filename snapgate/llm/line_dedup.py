@@ -104,8 +104,20 @@ def matches(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     # Lines meet by a short hash of the word; two words of one hash only give more candidates.
     met = firsts.select("place", "line", "n", "parity", F.posexplode("prefix").alias("at", "word")).withColumn(
         "word", F.hash("word"))
-    left = met.select(*[F.col(c).alias(f"{c}_a") for c in met.columns])
-    right = met.select(*[F.col(c).alias(f"{c}_b") for c in met.columns])
+    # First every line meets only the earliest line that files each of its words: in a crowd
+    # of near-equal lines nearly all match that one. What is left meets all lines.
+    earliest = met.groupBy("word").agg(F.min(F.struct("place", "line", "n", "parity", "at")).alias("e"))
+    crowd = stored(_matched(_pairs(met, earliest.select("e.*", "word")), df, text), "line-first")
+    left = met.join(crowd, ["place", "line"], "left_anti")
+    found = crowd.union(_matched(_pairs(left, met), df, text))
+    return firsts.select("place", "line"), found
+
+
+def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of a line of ``left`` and an earlier one of ``right`` whose lengths, positions
+    of a shared word and parities allow a match."""
+    left, right = (frame.select(*[F.col(c).alias(f"{c}_{side}") for c in ("place", "line", "n", "parity", "at", "word")])
+                   for frame, side in ((left, "a"), (right, "b")))
     n, m = F.col("n_a"), F.col("n_b")
     later = (F.col("place_a") > F.col("place_b")) | (
         (F.col("place_a") == F.col("place_b")) & (F.col("line_a") > F.col("line_b")))
@@ -115,8 +127,11 @@ def matches(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     apart = F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b")))
     pairs = left.join(right, (F.col("word_a") == F.col("word_b")) & later & near
                       & (rest >= _shared(n, m)) & (apart <= n + m - 2 * _shared(n, m)))
-    pairs = stored(pairs.select("place_a", "line_a", "place_b", "line_b").distinct(), "line-pairs")
+    return stored(pairs.select("place_a", "line_a", "place_b", "line_b").distinct(), "line-pairs")
 
+
+def _matched(pairs: DataFrame, df: DataFrame, text: str) -> DataFrame:
+    """``place`` and ``line`` of the later lines of the pairs whose sets match, once each."""
     # The words of the lines in pairs, from their rows: rows without one are not taken apart.
     ends = pairs.select(F.col("place_a").alias("place"), F.col("line_a").alias("line")).union(
         pairs.select("place_b", "line_b")).groupBy("place").agg(F.collect_set("line").alias("wanted"))
@@ -129,8 +144,7 @@ def matches(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     joined = F.size("words_a") + F.size("words_b") - shared
     found = pairs.join(one, ["place_a", "line_a"]).join(two, ["place_b", "line_b"]).where(
         shared * DENOMINATOR >= joined * NUMERATOR)
-    found = found.select(F.col("place_a").alias("place"), F.col("line_a").alias("line")).distinct()
-    return firsts.select("place", "line"), found
+    return found.select(F.col("place_a").alias("place"), F.col("line_a").alias("line")).distinct()
 
 
 def without_repeated_lines(df: DataFrame, text: str = "text") -> DataFrame:
