@@ -8,6 +8,7 @@ are dealt out by anchor; each partition sorts all suffixes of its distinct segme
 difference-cover algorithm (sampled triples are sorted and named, the names' suffixes are
 sorted by recursion, the remaining suffixes are merged in) and compares the first 200 bytes
 of suffixes that are neighbours then. Equal segments are folded first and keep their count.
+An anchor with very many distinct segments is a crowd: its strings are counted by digest.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ GRAM = 32
 SPAN = LENGTH - GRAM + 1   # grams in a string
 PART = 1 << 22             # start positions of a text that are handled at once
 CHUNK = 1 << 20            # bytes of segments whose suffixes are sorted at once
-CROWD = 3_000              # distinct segments of one anchor beyond which they are cut up
-CUT = 16                   # start positions of a cut-up segment
+CROWD = 3_000              # distinct segments of one anchor beyond which their strings are counted
+CUT = 16                   # start positions of a range of a crowd's segment
 _PLACE = np.uint64((1 << 23) - 1)
 
 
@@ -183,18 +184,30 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the wanted segments of (place, text, wanted), under the key they meet by.
+    """Bytes of the wanted segments of (place, text, wanted) under their anchor, but of crowds."""
+    for batch in batches:
+        for place, text, wanted in _rows(batch):
+            rows = [(w["anchor"], w["alone"], place, w["start"], text[w["start"]:w["start"] + w["starts"] + LENGTH - 1])
+                    for w in wanted if not w["crowd"]]
+            if rows:
+                key, alone, at, start, piece = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(key, pa.int64()), pa.array(alone), pa.array(at, pa.int64()),
+                    pa.array(start, pa.int64()), pa.array(piece, pa.binary())],
+                    names=["key", "alone", "place", "start", "piece"])
+
 
-    The key is the anchor. Segments of a crowd are cut into ranges of starts counted from the
-    anchor, and the key then tells the range and the bytes that all its strings share.
+def _crowd_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges of starts of a crowd's segments, each with the 128-bit digests of its strings.
+
+    Ranges are counted from the anchor. The key tells the range and the bytes that all its
+    strings share, so equal strings have equal keys.
     """
     for batch in batches:
         for place, text, wanted in _rows(batch):
-            rows = []
+            rows, view = [], memoryview(text)
             for w in wanted:
                 if not w["crowd"]:
-                    rows.append((w["anchor"], w["alone"], place, w["start"],
-                                 text[w["start"]:w["start"] + w["starts"] + LENGTH - 1]))
                     continue
                 anchor_at = w["start"] + w["offset"]
                 start, stop = w["start"], w["start"] + w["starts"]
@@ -204,14 +217,29 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     end = min(stop, high + 1)
                     key = xxhash.xxh3_64_intdigest(text[high:low + LENGTH], w["anchor"] & (2 ** 64 - 1))
                     rows.append((np.uint64(key).view(np.int64).item() ^ group, w["alone"], place, start,
-                                 text[start:end + LENGTH - 1]))
+                                 [xxhash.xxh3_128_digest(view[s:s + LENGTH]) for s in range(start, end)]))
                     start = end
             if rows:
-                key, alone, at, start, piece = zip(*rows, strict=True)
+                key, alone, at, start, digests = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(key, pa.int64()), pa.array(alone), pa.array(at, pa.int64()),
-                    pa.array(start, pa.int64()), pa.array(piece, pa.binary())],
-                    names=["key", "alone", "place", "start", "piece"])
+                    pa.array(start, pa.int64()), pa.array(digests, pa.list_(pa.binary()))],
+                    names=["key", "alone", "place", "start", "digests"])
+
+
+def _crowd_runs(chosen: DataFrame) -> DataFrame:
+    """Repeated starts of the crowds in (place, text, wanted), one a row, of any number.
+
+    Strings are counted by digest, so nothing of a key is ever gathered in a task.
+    """
+    ranges = stored(chosen.mapInArrow(
+        _crowd_ranges, "key long, alone boolean, place long, start long, digests array<binary>"), "suffix-crowds")
+    shared = ranges.groupBy("key").count().where("count > 1").select("key")
+    starts = ranges.join(shared, "key", "left_semi").select(
+        "alone", "place", "start", F.posexplode("digests").alias("at", "digest"))
+    again = starts.groupBy("digest").count().where("count > 1").select("digest")
+    return starts.where("alone").join(again, "digest", "left_semi").select(
+        "place", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("starts"))
 
 
 def _runs(marks: np.ndarray) -> list[tuple[int, int]]:
@@ -222,7 +250,8 @@ def _runs(marks: np.ndarray) -> list[tuple[int, int]]:
 def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of repeated starts (place, start, starts) of pieces that come ordered by key.
 
-    Whole keys are gathered up to ``CHUNK`` bytes and sorted together. Pieces that stand for
+    Whole keys, each at most ``CROWD`` segments, are gathered up to ``CHUNK`` bytes and sorted
+    together. Pieces that stand for
     several copies only serve as partners: all their starts are known to repeat.
     """
     held: list[tuple] = []
@@ -269,12 +298,15 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
         F.collect_list(F.struct(
             "anchor", "one.start", "one.starts", "one.offset", (F.col("copies") == 1).alias("alone"),
             (F.col("n") > CROWD).alias("crowd"))).alias("wanted"))
-    pieces = long.join(wanted, "place").select("place", "text", "wanted").mapInArrow(
+    chosen = long.join(wanted, "place").select("place", "text", "wanted")
+    pieces = chosen.mapInArrow(
         _pieces, "key long, alone boolean, place long, start long, piece binary")
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = pieces.repartition(parts, "key").sortWithinPartitions("key")
-    return copied.union(dealt.mapInArrow(_sorted_runs, "place long, start long, starts int"))
+    alone = copied.union(dealt.mapInArrow(_sorted_runs, "place long, start long, starts int"))
+    crowded = distinct.groupBy("anchor").count().where(F.col("count") > CROWD)
+    return alone if crowded.isEmpty() else alone.union(_crowd_runs(chosen))
 
 
 def remove_repeats(df: DataFrame, text: str = "text") -> DataFrame:
