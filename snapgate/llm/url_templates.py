@@ -36,7 +36,7 @@ RULES = (
     Rule("block", "com", "/de/"),
 )
 FANOUT = 8       # a level with more children than this may be variable,
-VARIED = 0.5     # if children are more than this share of its pages
+VARIED = 0.5     # if children are more than this share of its distinct paths
 SIMILAR = 3.84   # squared z below which two shares do not differ (95 %)
 SMOOTHING = 2.0  # pages' worth of the overall share added to each template
 KEEP = 0.5       # purity from which a template is allowed
@@ -66,11 +66,11 @@ def longest_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def path_templates(paths: DataFrame) -> DataFrame:
-    """``paths`` (``host``, ``path``, ``pages``, ...) with their ``template``.
+    """Distinct ``paths`` (``host``, ``path``, ...) with their ``template``.
 
     At each level of a host's tree, a segment with a digit is variable, and so are all
     children of a node that has more than ``FANOUT`` of them if they are more than
-    ``VARIED`` of its pages. An extension is kept: ``12.html`` becomes ``*.html``. Trailing
+    ``VARIED`` of its distinct paths, however often pages repeat. An extension is kept: ``12.html`` becomes ``*.html``. Trailing
     slashes do not matter.
     """
     at = paths.withColumn("segments", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn(
@@ -79,7 +79,7 @@ def path_templates(paths: DataFrame) -> DataFrame:
     for level in range(depth):
         at = at.withColumn("segment", F.get("segments", F.lit(level)))
         here = at.where("segment IS NOT NULL").groupBy("host", "template", "segment").agg(
-            F.sum("pages").alias("n"))
+            F.count("*").alias("n"))
         nodes = here.groupBy("host", "template").agg(
             F.count("*").alias("children"), F.sum("n").alias("n")).where(
             f"children > {FANOUT} AND children > {VARIED} * n").select(
@@ -111,7 +111,6 @@ def judge(df: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES) -> D
     base = df.drop(*names).withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     base = base.withColumn("fit", longest_rule(F.col("host"), F.col("path"), rules))
     paths = base.groupBy("host", "path").agg(
-        F.count("*").alias("pages"),
         F.count_if(F.col("fit.verdict") == "allow").alias("good"),
         F.count_if(F.col("fit").isNotNull()).alias("labelled"))
     paths = stored(path_templates(paths), "url-templates")
