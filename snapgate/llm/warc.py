@@ -8,6 +8,9 @@ read from WARC/1.1 files by Spark's text source.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +25,11 @@ _BREAKS = (r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fie
            r"|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)"
            r"\b[^>]*>")
 _ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
-# Named character references that are decoded.
+# An attribute's value: in double quotes, in single quotes, or without quotes.
+_VALUE = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
+_HREF = r"""(?i)<a\b[^>]*?(?<=[\s"'/])href""" + _VALUE
+_LANG = r"""(?i)<html\b[^>]*?(?<=[\s"'/:])lang""" + _VALUE
+# Named character references that are met most, and those read as plain text.
 NAMED = {
     "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©",
     "reg": "®", "middot": "·", "laquo": "«", "raquo": "»", "hellip": "…",
@@ -30,6 +37,10 @@ NAMED = {
     "rdquo": "”", "bull": "•", "euro": "€", "trade": "™",
 }
 
+# All references of HTML, by their first letter.
+_ALL_NAMED = {first: {k[:-1]: v for k, v in html5.items() if k[0] == first and k[-1] == ";"}
+              for first in sorted({k[0] for k in html5})}
+
 
 def record_id(kind: Column, *parts: Column) -> Column:
     """A stable ``<urn:uuid:...>`` for what ``kind`` and ``parts`` name."""
@@ -43,7 +54,11 @@ def digest(block: Column) -> Column:
 
 
 def decoded(text: Column) -> Column:
-    """Character references decoded once, left to right; unknown ones stay as they are."""
+    """Character references decoded once, left to right; unknown ones and those without a
+    semicolon stay as they are."""
+    # A literal, which the optimizer folds into one map.
+    every = F.from_json(F.lit(json.dumps(_ALL_NAMED)), "map<string,map<string,string>>")
+
     def one(piece: Column) -> Column:
         name = F.regexp_extract(piece, _ENTITY, 1)
         rest = F.substr(piece, F.length(name) + 2)
@@ -51,7 +66,7 @@ def decoded(text: Column) -> Column:
             F.substr(name, F.lit(2))).try_cast("int")
         point = F.when((number < 1) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF), F.lit(0xFFFD)).otherwise(number)
         letter = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
-        known = F.lit(None).cast("string")
+        known = F.try_element_at(F.try_element_at(every, F.substring(name, 1, 1)), name)
         for k, v in NAMED.items():
             known = F.when(name == k, F.lit(v)).otherwise(known)
         value = F.when(F.startswith(name, F.lit("#")), letter).otherwise(known)
@@ -76,8 +91,12 @@ def plain_text(html: Column) -> Column:
     return _folded(decoded(shown))
 
 
+def _unquoted(value: Column) -> Column:
+    return F.when(F.rlike(value, F.lit("^[\"']")), F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+
+
 def links(html: Column, url: Column) -> Column:
-    """Addresses of the ``<a href="...">`` of a page, in order, made absolute."""
+    """Addresses of the ``<a href=...>`` of a page, quoted or not, in order, made absolute."""
     origin = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
     folder = F.concat(origin, F.coalesce(F.nullif(F.regexp_extract(
@@ -91,8 +110,8 @@ def links(html: Column, url: Column) -> Column:
                       F.concat(F.regexp_extract(url, r"^([^?#]*)", 1), link))
                 .otherwise(F.concat(folder, link)))
 
-    found = F.regexp_extract_all(html, F.lit(r'(?i)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"'), F.lit(1))
-    return F.transform(found, lambda x: whole(decoded(x)))
+    found = F.regexp_extract_all(html, F.lit(_HREF), F.lit(1))
+    return F.transform(found, lambda x: whole(decoded(_unquoted(x))))
 
 
 def responses(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html",
@@ -123,7 +142,7 @@ def derivatives(response: DataFrame) -> DataFrame:
         "refers_to": F.col("record_id"), "payload_digest": digest(payload), "__links": links(payload, uri)})
     title = _folded(F.regexp_replace(decoded(
         F.regexp_extract(payload, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)), r"\n", " "))
-    language = F.regexp_extract(payload, r'(?i)<html\b[^>]*?\blang\s*=\s*"([^"]*)"', 1)
+    language = _unquoted(F.regexp_extract(payload, _LANG, 1))
     # The response's header lines, each under a name of its own.
     headers = F.filter(F.split(F.coalesce("http_headers", F.lit("")), CRLF), lambda h: h != "")
     lines = F.concat(
