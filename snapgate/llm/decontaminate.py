@@ -9,6 +9,7 @@ the bound are aligned within the band, and only what stays in the budget counts.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -24,18 +25,47 @@ Q = 8
 WINDOW = 80        # bytes of a window, about 13 words
 STEP = 40
 BUDGET = 0.08      # edits per byte
-SHORTEST = 24      # items with fewer bytes would occur by chance and are not searched
+SHORTEST = 24      # items with fewer bytes are searched exactly, as whole words
 BAND = 16          # diagonals of a band, besides its overlap with the next
 BLOCK_BYTES = 4 << 20   # benchmark bytes that one pass over the documents searches for
 PIECE = 2 << 20    # document bytes that are scanned at once
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
+_WORD = re.compile(rb"[0-9a-z_\x80-\xff]+")  # of a lower-cased text
+
 
 def normal(text: bytes) -> bytes:
     """A-Z lower-cased, runs of ASCII white space as one space."""
     return b" ".join(text.lower().split())
 
 
+@dataclass
+class ShortItems:
+    """Items too short for windows, by their first word and its offset."""
+
+    worded: dict[bytes, list[tuple[int, int, bytes]]]
+    wordless: list[tuple[int, bytes]]
+
+    def add(self, item: int, flat: bytes) -> None:
+        word = _WORD.search(flat)
+        if word:
+            self.worded.setdefault(word[0], []).append((item, word.start(), flat))
+        elif flat:
+            self.wordless.append((item, flat))
+
+    def within(self, flat: bytes) -> set[int]:
+        """Items that occur in a text and neither start nor end within a word of it."""
+        found = {item for item, text in self.wordless if text in flat}
+        if self.worded:
+            for word in _WORD.finditer(flat):
+                for item, offset, text in self.worded.get(word[0], ()):
+                    start = word.start() - offset
+                    if start >= 0 and flat.startswith(text, start) and (
+                            not _WORD.match(text[-1:]) or not _WORD.match(flat, start + len(text))):
+                        found.add(item)
+        return found
+
+
 @dataclass
 class Windows:
     """The windows of a block of items, and where each q-gram occurs in them."""
@@ -50,13 +80,15 @@ class Windows:
     window: np.ndarray
     offset: np.ndarray
     seen: np.ndarray       # by the hash of a gram: whether it can be one
+    short: ShortItems
 
     @classmethod
     def of(cls, items: list[bytes | None]) -> Windows:
-        item, text = [], []
+        item, text, short = [], [], ShortItems({}, [])
         for k, raw in enumerate(items):
             flat = normal(raw or b"")
             if len(flat) < SHORTEST:
+                short.add(k, flat)
                 continue
             starts = list(range(0, max(1, len(flat) - WINDOW + 1), STEP))
             if starts[-1] + WINDOW < len(flat):
@@ -75,7 +107,7 @@ class Windows:
         seen = np.zeros(1 << 22, dtype=bool)
         seen[_slot(distinct)] = True
         return cls(np.array(item, dtype=np.int64), text, length, edits, length + 1 - Q * (edits + 1),
-                   distinct, np.append(first, len(every)), window[order], offset[order], seen)
+                   distinct, np.append(first, len(every)), window[order], offset[order], seen, short)
 
 
 def _grams(flat: np.ndarray) -> np.ndarray:
@@ -114,8 +146,10 @@ def _candidates(flat: np.ndarray, index: Windows) -> tuple[np.ndarray, np.ndarra
     return keys[enough] // bands, keys[enough] % bands
 
 
-def _align(flat: np.ndarray, index: Windows, window: np.ndarray, band: np.ndarray) -> np.ndarray:
-    """Fewest edits that turn each window into a stretch of ``flat`` in its band.
+def _align(flat: np.ndarray, index: Windows, window: np.ndarray,
+           band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewest edits that turn each window into a stretch of ``flat`` in its band, and the
+    place of that stretch's last byte.
 
     Rows of the alignment are computed for all candidates at once, each over the diagonals
     of its band and as many to both sides as the budget allows.
@@ -129,6 +163,7 @@ def _align(flat: np.ndarray, index: Windows, window: np.ndarray, band: np.ndarra
     steps = np.arange(wide)
     last = np.zeros((len(window), wide), dtype=np.int64)
     best = np.full(len(window), WINDOW, dtype=np.int64)
+    end = np.zeros(len(window), dtype=np.int64)
     for i in range(1, WINDOW + 1):
         at = low[:, None] + i + steps[None, :] - 1
         inside = (at >= 0) & (at < len(flat))
@@ -139,7 +174,8 @@ def _align(flat: np.ndarray, index: Windows, window: np.ndarray, band: np.ndarra
         last = np.minimum.accumulate(row - steps, axis=1) + steps
         ended = index.length[window] == i
         best[ended] = last[ended].min(axis=1)
-    return best
+        end[ended] = at[ended, last[ended].argmin(axis=1)]
+    return best, end
 
 
 def scan(texts: Iterable[bytes | None], index: Windows) -> dict[tuple[int, int], list[int]]:
@@ -159,10 +195,10 @@ def scan(texts: Iterable[bytes | None], index: Windows) -> dict[tuple[int, int],
         window, band = _candidates(flat, index)
         for s in range(0, len(window), 4096):
             w, b = window[s:s + 4096], band[s:s + 4096]
-            edits = _align(flat, index, w, b)
+            edits, end = _align(flat, index, w, b)
             good = edits <= index.edits[w]
-            middle = b[good] * BAND - WINDOW + index.length[w[good]] // 2
-            text = np.clip(np.searchsorted(starts, middle, side="right") - 1, 0, None)
+            # Edits may move the end into the gap behind its text, never before the text.
+            text = np.searchsorted(starts, end[good], side="right") - 1
             for t, win, e in zip(text, w[good], edits[good], strict=True):
                 seen = found.setdefault((owner[t], int(index.item[win])), [set(), WINDOW])
                 seen[0].add(int(win))
@@ -173,6 +209,8 @@ def scan(texts: Iterable[bytes | None], index: Windows) -> dict[tuple[int, int],
 
     for k, raw in enumerate(texts):
         flat = normal(raw or b"")
+        for item in index.short.within(flat):
+            found[k, item] = [{0}, 0]
         if len(flat) < SHORTEST - int(SHORTEST * BUDGET):
             continue
         for start in range(0, len(flat), PIECE):  # very long texts in overlapping parts
@@ -191,8 +229,9 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", t
     """``place``, ``key``, ``item``, ``windows`` and ``edits`` of each benchmark item in each row.
 
     ``windows`` counts the item's windows that occur, ``edits`` is the fewest among them.
-    Rows in which nothing occurs give none. NULL and empty texts hold nothing, NULL, empty
-    and short items (under ``SHORTEST`` bytes) occur nowhere; repeated documents are found
+    Rows in which nothing occurs give none. NULL and empty texts hold nothing, NULL, and
+    empty items occur nowhere; items under ``SHORTEST`` bytes occur where they stand exactly, as
+    whole words, and count as one window without edits; repeated documents are found
     each, repeated item ids once per row of the benchmark. Extra columns do not matter; two
     empty tables give no rows. Both texts are compared lower-cased with white space folded.
 
