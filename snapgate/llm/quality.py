@@ -9,13 +9,18 @@ and runs where the rows are.
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from snapgate.llm.common import stored
+
 FILTERS = 16
 WIDTH = 6          # bytes a filter sees
 SEGMENT = 256      # a chunk is two segments, and the next one starts a segment later
@@ -28,8 +33,6 @@ EXCERPTS = 0.4
 EXCERPT = (12, 400)
 # Labelled documents of each class to train on, at most: those of the smallest key hash.
 SAMPLE = 1200
-# Bytes of a training document that are read, at most; scoring reads all.
-SAMPLE_BYTES = 1 << 18
 THRESHOLD = 0.7
 
 
@@ -87,7 +90,29 @@ class Network:
         return np.stack([made.mean(axis=0), made.min(axis=0), made.max(axis=0)]), made
 
 
-def train(texts: list[bytes], labels: list[int], seed: int = 5) -> Network:
+class Shelf(Sequence):
+    """Whole texts in a local file of this process, of which one at a time is in memory."""
+
+    def __init__(self, texts: Iterable[bytes]) -> None:
+        self.file, self.spans, at = tempfile.TemporaryFile(), [], 0
+        for text in texts:
+            self.file.write(text)
+            self.spans.append((at, len(text)))
+            at += len(text)
+
+    def __len__(self) -> int:
+        return len(self.spans)
+
+    def __getitem__(self, k: int) -> bytes:
+        at, size = self.spans[k]
+        self.file.seek(at)
+        return self.file.read(size)
+
+    def sort(self, order: list[int]) -> None:
+        self.spans = [self.spans[k] for k in order]
+
+
+def train(texts: Sequence[bytes], labels: list[int], seed: int = 5) -> Network:
     """Fit by gradient descent, one document or excerpt a step, in a seeded order.
 
     With labels of one class only, the network is that constant; without labels it is 1.
@@ -158,19 +183,29 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
         label: str = "quality", sample: int = SAMPLE) -> Network:
     """Train on at most ``sample`` labelled documents of each class, drawn by a hash of the key.
 
-    Labels of held-out keys, NULL labels and labels without a document are left out. Without
+    Their whole texts are learned from. Labels of held-out keys, NULL labels and labels without a document are left out. Without
     any label every document scores 1.
     """
     known = labels.where(F.col(key).isNotNull() & ~held_out(key) & F.col(label).isin(0, 1)).select(
         key, label).join(docs.select(key), key, "left_semi")
     chosen = known.where(F.col(label) == 0).orderBy(F.xxhash64(key), key).limit(sample).union(
         known.where(F.col(label) == 1).orderBy(F.xxhash64(key), key).limit(sample))
-    read = F.substring(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 1, SAMPLE_BYTES)
+    read = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     # The sample's keys are bounded by the parameter, so they may be broadcast.
-    rows = docs.select(key, read.alias("bytes")).join(F.broadcast(chosen), key).select(
-        key, "bytes", label).collect()
-    rows.sort(key=lambda r: (str(r[0]), bytes(r[1]), r[2]))
-    return train([bytes(r[1]) for r in rows], [r[2] for r in rows])
+    rows = stored(docs.select(key, read.alias("bytes")).join(F.broadcast(chosen), key).select(
+        key, "bytes", label), "quality-sample")
+    about: list[tuple] = []
+
+    def texts() -> Iterable[bytes]:
+        for r in rows.toLocalIterator():
+            raw = bytes(r[1])
+            about.append((str(r[0]), xxhash.xxh3_128_digest(raw), r[2]))
+            yield raw
+
+    shelf = Shelf(texts())
+    order = sorted(range(len(about)), key=about.__getitem__)
+    shelf.sort(order)
+    return train(shelf, [about[k][2] for k in order])
 
 
 def score(docs: DataFrame, network: Network, *, text: str = "text", name: str = "score") -> DataFrame:
