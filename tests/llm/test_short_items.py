@@ -7,6 +7,7 @@ import pytest
 from snapgate.llm import decontaminate
 
 
+@pytest.mark.parametrize("length", range(24, 41))
 def test_short_item_at_the_start_of_a_document(length):
     rng = random.Random(length)
     item = bytes(rng.choices(b"abcdefghijklmnop", k=length))
