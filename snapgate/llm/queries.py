@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapgate.llm import decontaminate, line_dedup, mixing, pivots, quality, sharding, simhash, suffix_dedup, url_templates, warc
+from snapgate.llm import decontaminate, line_dedup, mixing, packing, pivots, quality, sharding, simhash, suffix_dedup, url_templates, warc
 from snapgate.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -218,6 +219,13 @@ def op10_url_templates(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "host", "path", "rule", "verdict", "template")
 
 
+@query()
+def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence of 4096 tokens."""
+    return packing.packed(
+        table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """All stages of the corpus pipeline."""
