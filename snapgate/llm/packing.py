@@ -10,6 +10,7 @@ group give their pieces to the next round, in which they meet those of all other
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
@@ -29,7 +30,7 @@ END = 1            # the id that ends every document
 GROUP = 16_384     # pieces that one task packs at once, on average
 LOOSE = 40         # free tokens from which a sequence of a group is packed anew
 CHUNK = 1 << 20    # characters of a text that are tokenised at once
-WORDS = 300_000    # words whose ids a task remembers
+WORDS = 200_000    # words whose ids a task remembers
 BATCH = 1 << 20    # ids or pieces that a task hands over at once
 
 # The settings of a tokenizer that lower-cases, splits at white space and drops
@@ -42,7 +43,12 @@ DROPS_WHITE_SPACE = {
          "behavior": "Removed", "invert": True},
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
 }
-_PLAIN_WORD = re.compile(r"([A-Za-z]+)([.,;:!?]*)")
+# Letters that are one composed character each, and Ascii marks behind them.
+_PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+# The byte-level alphabet: printable bytes stand for themselves, the others, in order, for the
+# characters from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 
 
 class Encoder:
@@ -53,6 +59,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # Spark runs a task on every core; threads of its own would only wait for them.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -85,8 +93,11 @@ class Encoder:
                 rest.append(word)
                 continue
             letters, marks = plain.groups()
-            # Ascii letters are one pre-token, marks behind them the next.
-            ids = [t.id for t in self.tokenizer.model.tokenize(letters.lower())]
+            # The letters are one pre-token, the marks the next.
+            letters = letters.lower()
+            if not letters.isascii():
+                letters = letters.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            ids = [t.id for t in self.tokenizer.model.tokenize(letters)]
             self.known[word] = self._packed(ids) + (self._marks(marks) if marks else b"")
         for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.known[word] = self._packed(found.ids)
