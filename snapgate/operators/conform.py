@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from snapgate.contracts import require_columns
 from snapgate.functions.columns import any_of, cast_failed
-from snapgate.operators.joins import balanced_join
+from snapgate.operators.joins import SALT, balanced_join, comparable, heavy_keys, sliced_child, sliced_parent, will_be_broadcast
 
 
 @dataclass(frozen=True)
@@ -68,16 +68,17 @@ class Reference:
 
 
 def reference_flags(
-    child: DataFrame, references: Sequence[Reference], *, salt: bool = False,
-    hint: str | None = None,
+    child: DataFrame, references: Sequence[Reference], *, hint: str | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Add one never-NULL boolean per reference without changing the child's grain.
 
     Each parent is reduced to its distinct keys and left-joined: one broadcast or one shuffle
-    of the child per reference, as sizes have it, and hot child keys are split by AQE. Since
-    the right side is unique, Catalyst drops a join whose flag nobody reads, so counts over
-    the child's own columns never run it. ``salt`` splits hot keys by a count of its own (see
-    ``balanced_join``), ``hint`` asks for a join strategy.
+    of the child per reference, as sizes have it. Keys with a large share of the child are
+    found by a sketch and sliced, rows with a NULL key are spread (see ``balanced_join``).
+    Since the right side is unique, Catalyst drops a join whose flag nobody reads, so counts
+    over the child's own columns never run it. ``hint`` asks for a join strategy, ``parts``
+    overrides the number of shuffle partitions that the slices are made for.
     """
     for reference in references:
         child_keys = [c for c, _ in reference.on]
@@ -85,12 +86,21 @@ def reference_flags(
         require_columns(child, child_keys, "referencing input")
         require_columns(reference.parent, parent_keys, "referenced input")
         names = [f"_referenced_{i}" for i in range(len(parent_keys))]
-        parent = reference.parent.select(
-            *[F.col(p).alias(n) for p, n in zip(parent_keys, names)]
-        ).distinct().withColumn(reference.flag, F.lit(True))
-        child = balanced_join(
-            child, parent.hint(hint) if hint else parent, list(zip(child_keys, names)), salt=salt
-        ).withColumn(reference.flag, F.coalesce(reference.flag, F.lit(False)))
+        keys, typed = comparable(child, child_keys, reference.parent, parent_keys)
+        parent = reference.parent.select(*[p.alias(n) for p, n in zip(typed, names)]).distinct()
+        matches = [k == F.col(n) for k, n in zip(keys, names)]
+        flag = F.coalesce(reference.flag, F.lit(False)).alias(reference.flag)
+        if hint is None and will_be_broadcast(parent):
+            right = parent.withColumn(reference.flag, F.lit(True))
+            child = child.join(right, matches, "left").select(*child.columns, flag)
+            continue
+        heavy = heavy_keys(child, keys, parts)
+        # Distinct once more with the slice, so that Catalyst sees one row per key and slice.
+        right = sliced_parent(parent, names, heavy).distinct().withColumnRenamed(SALT, "_parent_salt")
+        right = right.withColumn(reference.flag, F.lit(True))
+        matches.append(F.col(SALT) == F.col("_parent_salt"))
+        joined = sliced_child(child, keys, heavy).join(right.hint(hint) if hint else right, matches, "left")
+        child = joined.select(*child.columns, flag)
     return child
 
 
@@ -108,12 +118,11 @@ def enrich(
     key: Sequence[str],
     columns: Sequence[str],
     flag: str,
-    *,
-    salt: bool = False,
 ) -> DataFrame:
-    """Left-join lookup columns by key and say in ``flag`` whether the key was found."""
+    """Left-join lookup columns by key and say in ``flag`` whether the key was found; heavy
+    and NULL keys are spread as in ``reference_flags``."""
     require_columns(df, key, "enriched input")
     require_columns(lookup, [*key, *columns], "lookup")
     rows = lookup_rows(lookup, key, columns).withColumn(flag, F.lit(True))
-    joined = balanced_join(df, rows, [(k, k) for k in key], salt=salt)
+    joined = balanced_join(df, rows, [(k, k) for k in key], unique=True)
     return joined.withColumn(flag, F.coalesce(flag, F.lit(False)))
