@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapgate.llm import decontaminate, line_dedup, mixing, packing, pivots, quality, sharding, simhash, suffix_dedup, url_templates, warc
+from snapgate.llm import codes, decontaminate, line_dedup, mixing, packing, pivots, quality, sharding, simhash, suffix_dedup, url_templates, warc
 from snapgate.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -226,6 +226,48 @@ def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
 
+def _codes_sql(rounds: int = 4) -> str:
+    """Lloyd rounds by plain comparison with every entry, one pair of steps a round."""
+    steps = [r"""
+kept AS (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r,
+    list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (
+  SELECT r, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS x FROM kept, range(4) AS t(p)),
+book0 AS (SELECT p, r - 1 AS e, x AS c FROM parts WHERE r <= 256)"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+near{k} AS (
+  SELECT r, a.p, any_value(a.x) AS x, min(struct_pack(
+    d := list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, e := e)) AS n
+  FROM parts a JOIN book{k} b ON a.p = b.p GROUP BY r, a.p)""")
+        if k < rounds:
+            steps.append(f"""
+mean{k} AS (
+  SELECT p, e, list(m ORDER BY i) AS c FROM (
+    SELECT p, n.e AS e, i, floor(sum(x[i]) / count(*))::BIGINT AS m
+    FROM near{k}, range(1, 1 + (SELECT max(len(x)) FROM parts)) AS t(i) GROUP BY ALL)
+  GROUP BY p, e),
+book{k + 1} AS (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN mean{k} m ON b.p = m.p AND b.e = m.e)""")
+    return "WITH" + ",".join(steps) + f""",
+coded AS (
+  SELECT r, string_agg(format('{{:02x}}', n.e), '' ORDER BY p) AS code, sum(n.d)::BIGINT AS error
+  FROM near{rounds} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+FROM kept JOIN coded USING (r)
+"""
+
+
+@query(_codes_sql())
+def op13_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Code and error of every vector, with the digest of the codebooks."""
+    coded, books = codes.compress(table(spark, folder, "embeddings"))
+    return coded.select(F.col("key").alias("vec_id"), codes.hexadecimal("codes").alias("code"), "error",
+                        "label_error", codes.books_digest(books).alias("codebooks_sha256"))
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """All stages of the corpus pipeline."""
