@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapgate.llm import codes, decontaminate, line_dedup, mixing, packing, pivots, quality, sharding, simhash, suffix_dedup, url_templates, warc
+from snapgate.llm import codes, decontaminate, hard_negatives, line_dedup, mixing, packing, pivots, quality, sharding, simhash, suffix_dedup, url_templates, warc
 from snapgate.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -226,6 +226,36 @@ def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
 
+_NEGATIVES_SQL = r"""
+WITH kept AS (
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r,
+    CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+met AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, b.r, b.vec_id, a.label = b.label AS same,
+    list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM kept a JOIN kept b ON a.vec_id % 100 = 0 AND a.r <> b.r AND len(a.v) = len(b.v)),
+positive AS (
+  SELECT * FROM met WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, r) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+  (row_number() OVER (PARTITION BY p.anchor, p.r ORDER BY n.score DESC, n.r))::INT AS rank,
+  n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positive p JOIN met n ON p.anchor = n.anchor AND NOT n.same
+  AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor, p.r ORDER BY n.score DESC, n.r) <= 5
+"""
+
+
+@query(_NEGATIVES_SQL)
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every anchor and positive; a seventh of the labels is moved by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, folder, "embeddings"), relabel=moved)
+
+
 def _codes_sql(rounds: int = 4) -> str:
     """Lloyd rounds by plain comparison with every entry, one pair of steps a round."""
     steps = [r"""
