@@ -74,7 +74,8 @@ def transpose_arrays(
     The day's payload is the response as received, with every list of the block, named or
     not, replaced by its element of that day; all other fields keep their place and type. A
     response whose lists disagree in length, or whose dates do not parse, fails the job when
-    ``check`` is set and otherwise yields no rows.
+    ``check`` is set and otherwise yields no rows. Every list is converted once, so the work
+    grows with the length of the lists.
     """
     parsed = df.withColumn("_response", _fields(F.try_parse_json(payload_json)))
     parsed = parsed.withColumn("_block", _fields(F.try_element_at("_response", F.lit(block))))
@@ -85,29 +86,43 @@ def transpose_arrays(
         ))
     else:
         parsed = parsed.where(usable)
-    days = _as_list(F.element_at("_block", F.lit(index)))
-    rows = parsed.select("*", F.posexplode(days).alias("_pos", "_day"))
-    at = F.coalesce("_pos", F.lit(0))
-
-    def value(name: str, type_: str, *, listed: bool) -> Column:
-        whole = F.try_element_at("_block", F.lit(name))
-        return F.try_variant_get(F.get(_as_list(whole), at) if listed else whole, "$", type_).alias(name)
-
-    daily = F.transform(F.map_entries("_block"), lambda e: F.struct(
-        e["key"].alias("key"),
-        _json(F.when(_as_list(e["value"]).isNotNull(), F.get(_as_list(e["value"]), at))
-              .otherwise(e["value"])).alias("value")))
-    rows = rows.withColumn("_daily", _object(daily))
-    payload = F.transform(F.map_entries("_response"), lambda e: F.struct(
-        e["key"].alias("key"),
-        F.when(e["key"] == block, F.col("_daily")).otherwise(_json(e["value"])).alias("value")))
+    block_fields = F.map_entries("_block")
+
+    def texts(value: Column) -> Column:
+        return F.transform(_as_list(value), _json)
+
+    def typed(name: str, type_: str) -> Column:
+        return F.transform(_as_list(F.try_element_at("_block", F.lit(name))), lambda v: F.try_variant_get(v, "$", type_))
+
+    converted = F.struct(
+        F.transform(_as_list(F.element_at("_block", F.lit(index))), lambda d: F.to_date(
+            F.try_variant_get(d, "$", "string"), "yyyy-MM-dd")).alias("days"),
+        F.transform(block_fields, lambda e: F.struct(
+            e["key"].alias("key"), texts(e["value"]).alias("items"), F.when(
+                _as_list(e["value"]).isNull(), _json(e["value"])).alias("text"))).alias("fields"),
+        F.transform(F.map_entries("_response"), lambda e: F.struct(
+            e["key"].alias("key"), F.when(e["key"] != block, _json(e["value"])).alias("value"))).alias("around"),
+        *[typed(n, t).alias(n) for n, t in lists.items()],
+        *[F.try_variant_get(F.try_element_at("_block", F.lit(n)), "$", t).alias(n) for n, t in (scalars or {}).items()])
+    # Generating one row from one value keeps the conversion above apart from the lambda
+    # below, into which the optimiser would else write it, once for every day.
+    kept = [c for c in df.columns if c != payload_json]
+    whole = parsed.select(*kept, F.explode(F.array(converted)).alias("_whole"))
+
+    def day(i: Column) -> Column:
+        fields = F.transform("_whole.fields", lambda f: F.struct(
+            f["key"].alias("key"), F.coalesce(f["text"], F.get(f["items"], i), F.lit("null")).alias("value")))
+        return F.struct(F.get("_whole.days", i).alias("dt_base"), _object(fields).alias("_daily"),
+                        *[F.get(F.col("_whole")[n], i).alias(n) for n in lists])
+
+    rows = whole.select(
+        *kept, F.col("_whole.around").alias("_around"), *[F.col("_whole")[n].alias(n) for n in scalars or {}],
+        F.explode(F.transform(F.sequence(F.lit(0), F.size("_whole.days") - 1), day)).alias("_day"))
+    payload = F.transform("_around", lambda e: F.struct(
+        e["key"].alias("key"), F.when(e["key"] == block, F.col("_day._daily")).otherwise(e["value"]).alias("value")))
     return rows.select(
-        *[c for c in df.columns if c != payload_json],
-        F.to_date(F.try_variant_get("_day", "$", "string"), "yyyy-MM-dd").alias("dt_base"),
-        *[value(n, t, listed=True) for n, t in lists.items()],
-        *[value(n, t, listed=False) for n, t in (scalars or {}).items()],
-        _object(payload).alias(payload_json),
-    )
+        *kept, "_day.dt_base", *[F.col("_day")[n].alias(n) for n in lists], *(scalars or {}),
+        _object(payload).alias(payload_json))
 
 
 def decode_header_rows(

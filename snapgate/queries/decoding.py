@@ -25,15 +25,18 @@ def transpose_daily(t: Tables) -> DataFrame:
     an object that nobody names stay in each day's payload, with their types.
 
     Events are folded per user and day first, so a response never holds more than the
-    days of a month.
+    days of a month. Decoding costs far more than the bytes of the responses suggest, so they
+    are dealt over all shuffle partitions by number, which run-time coalescing leaves alone.
     """
+    parts = int(t.events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     days = (
         t.events.groupBy("user_id", F.to_date("ts").alias("day"))
         .agg(F.max("value").alias("peak"), F.count(F.lit(1)).alias("events"))
         .withColumn("month", F.date_format("day", "yyyy-MM"))
     )
     lists = F.sort_array(F.collect_list(F.struct("day", "peak", "events")))
-    responses = days.groupBy("user_id", "month").agg(lists.alias("d")).select(
+    dealt = days.repartition(parts, "user_id", "month")
+    responses = dealt.groupBy("user_id", "month").agg(lists.alias("d")).select(
         "user_id",
         F.to_json(F.struct(
             F.col("month").alias("period"),

@@ -1,5 +1,6 @@
 import json
-from datetime import date
+from datetime import date, timedelta
+from time import perf_counter
 
 import pytest
 from conftest import collected
@@ -50,6 +51,25 @@ def test_fields_nobody_named_stay_in_the_payload(rows):
         transpose(short).collect()
 
 
+def test_long_lists_take_time_in_proportion(rows):
+    """Eight times the days cost less than twice eight times the time of the shorter list."""
+    first = date(1980, 1, 1)
+
+    def seconds(days):
+        times = [(first + timedelta(k)).isoformat() for k in range(days)]
+        values = [k / 2 for k in range(days)]
+        daily = {"time": times, "temperature_2m_mean": values, "rain_sum": values, "model": "m", "other": values}
+        df = transpose(responses(rows, {**WEATHER, "daily": daily}))
+        taken = []
+        for _ in range(3):
+            start = perf_counter()
+            assert df.agg(F.count("payload_json"), F.sum("rain_sum")).first() == (days, sum(values))
+            taken.append(perf_counter() - start)
+        return min(taken)
+
+    assert seconds(8000) < 16 * seconds(1000)
+
+
 @pytest.mark.parametrize("text", ['{"error": "x"}', "no json", '[{"name": "x"}]', '[{"id": " "}]', "[1]"])
 def test_malformed_snapshots_are_refused(rows, text):
     df = rows([('[{"id": 1}, {"id": "2"}]',), (text,)], "payload_json string")
