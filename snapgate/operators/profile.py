@@ -294,53 +294,64 @@ def profile_numeric(df: DataFrame, columns: Sequence[str], *, digits: int = 6) -
     ))
 
 
-# Rank error of the brackets, as the reciprocal of a share of the rows.
-BRACKET_ACCURACY = 20_000
+RANGES = 8192  # parts into which the range that holds a rank is cut in each pass
+
+
+def _magnitude(value: Column) -> Column:
+    """Sign and binary exponent of a number as one integer that grows with it."""
+    size = F.when(F.abs(value) == float("inf"), 5000).otherwise(F.floor(F.log2(F.abs(value))) + 1100)
+    return F.when(value == 0, F.lit(0)).otherwise(F.signum(value) * size).cast("int")
 
 
 def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probabilities: Sequence[float] = QUANTILES,
-    *,
-    accuracy: int = BRACKET_ACCURACY,
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = QUANTILES,
 ) -> DataFrame:
     """Exact discrete quantiles (the smallest value whose rank reaches p·n), distributed.
 
-    A sketch first gives every quantile a bracket of two values that surely holds it: the
-    approximate quantiles two errors below and above. A second pass counts what lies below
-    each bracket and the values inside, about 4/accuracy of the rows or fewer, whatever
-    their distribution; only these are ordered. The result does not depend on the sketch.
-    """
-    wanted = [float(p) for p in probabilities]
-    ends = sorted({min(max(p + side * 2 / accuracy, 0.0), 1.0) for p in wanted for side in (-1, 1)})
-    casts = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    sketch = casts.agg(*[
-        F.struct(F.count(c).alias("total"), F.percentile_approx(c, ends, accuracy).alias("ends")).alias(c)
-        for c in columns
-    ])
+    One row per column. NULL and NaN are left out, infinities are the outermost values and
+    -0.0 is 0.0; a column without numbers has NULL quantiles, and one listed twice has one row.
 
-    def bracket(c: str, p: float) -> Column:
-        low, high = (ends.index(min(max(p + side * 2 / accuracy, 0.0), 1.0)) for side in (-1, 1))
-        return F.struct(
-            F.lit(c).alias("column"), F.lit(p).alias("p"), F.col(f"{c}.total").alias("total"),
-            F.get(F.col(f"{c}.ends"), F.lit(low)).alias("low"),
-            F.get(F.col(f"{c}.ends"), F.lit(high)).alias("high"))
-
-    # One row per column and probability.
-    brackets = sketch.select(one_row_per(bracket(c, p) for c in columns for p in wanted))
-    cells = casts.unpivot([], list(columns), "column", "value").where("value IS NOT NULL")
-    held = cells.join(F.broadcast(brackets), "column").where("value <= high")
-    folded = held.groupBy("column", "p", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value")).agg(
-        row_count().alias("n"), F.first("total").alias("total"))
-    # What lies below the bracket is one row with value NULL, which comes first.
-    upto = F.sum("n").over(W.partitionBy("column", "p").orderBy(F.asc_nulls_first("value")))
-    reached = folded.withColumn("upto", upto).where(
-        "value IS NOT NULL AND upto >= greatest(ceil(p * total), 1)")
-    found = reached.groupBy("column", "p").agg(F.min("value").alias("value"))
-    return found.groupBy("column").agg(*[
-        F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"p{round(p * 100)}") for p in wanted
-    ])
+    Selection by histograms: a first pass counts the values by sign and exponent. The range
+    that holds a wanted rank is cut into ``RANGES`` equal parts by the next pass, until it
+    holds one value. The mantissa has 52 bits, so six passes are enough for any numbers, and
+    no task ever orders values: it counts them in partial aggregates of bounded size. The
+    driver sees one range per column and probability after each pass.
+    """
+    columns, wanted = list(dict.fromkeys(columns)), [float(p) for p in probabilities]
+    spark = df.sparkSession
+    casts = df.select(*[(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in columns])
+    cells = casts.unpivot([], columns, "column", "value").where("NOT isnan(value)")
+    found: dict[tuple[str, float], float] = {}
+    # (column, low, high) -> the rank within it of each probability
+    ranges = {(c, float("-inf"), float("inf")): dict.fromkeys(wanted) for c in columns}
+    first = True
+    while ranges:
+        rows = list(enumerate(ranges.items()))
+        known = spark.createDataFrame([(k, *r) for k, (r, _) in rows], "range int, column string, low double, high double")
+        ranks = spark.createDataFrame([(k, p, n) for k, (_, at) in rows for p, n in at.items()], "range int, p double, rank bigint")
+        held = cells.join(F.broadcast(known), "column").where("value BETWEEN low AND high")
+        whole = F.col("high") - F.col("low")
+        # Halved where the distance of the ends is no finite number.
+        share = F.when(whole < float("inf"), (F.col("value") - F.col("low")) / whole).otherwise(
+            (F.col("value") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2))
+        part = _magnitude(F.col("value")) if first else F.floor(share * RANGES).cast("int")
+        parts = held.groupBy("range", part.alias("part")).agg(
+            row_count().alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+        upto = F.sum("n").over(W.partitionBy("range").orderBy("part"))
+        total = F.sum("n").over(W.partitionBy("range"))
+        rank = F.coalesce("rank", F.greatest(F.ceil(F.col("p") * F.col("total")), F.lit(1)))
+        holding = (parts.select("*", upto.alias("upto"), total.alias("total"))
+                   .join(F.broadcast(ranks), "range").withColumn("rank", rank)
+                   .where("upto >= rank AND upto - n < rank")
+                   .select("range", "p", "least", "most", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank")))
+        names, ranges, first = [r[0] for r in ranges], {}, False
+        for r in holding.collect():
+            if r["least"] == r["most"]:
+                found[names[r["range"]], r["p"]] = r["least"]
+            else:
+                ranges.setdefault((names[r["range"]], r["least"], r["most"]), {})[r["p"]] = r["rank"]
+    ddl = ", ".join(["column string", *[f"p{round(p * 100)} double" for p in wanted]])
+    return spark.createDataFrame([(c, *[found.get((c, p)) for p in wanted]) for c in columns], ddl)
 
 
 def approximate_quantiles(

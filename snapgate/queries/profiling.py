@@ -188,6 +188,31 @@ def exact_quantiles(t: Tables) -> DataFrame:
     return profile.exact_quantiles(t.lineitem, ["l_extendedprice", "l_quantity"])
 
 
+_ODD_NUMBERS = {
+    "odd": "CASE l_linenumber WHEN 1 THEN CAST('NaN' AS DOUBLE) WHEN 2 THEN CAST('Infinity' AS DOUBLE) "
+           "WHEN 3 THEN CAST('-Infinity' AS DOUBLE) WHEN 4 THEN -0.0 WHEN 5 THEN NULL ELSE l_extendedprice - 50000 END",
+    "nothing": "CAST(NULL AS DOUBLE)",
+    "no_number": "CAST('NaN' AS DOUBLE)",
+    "constant": "7.5",
+    "spread": "CASE WHEN l_quantity < 25 THEN -1.0 / l_extendedprice ELSE l_extendedprice * l_extendedprice * 1e200 END",
+}
+
+
+@query(_each_column("""
+SELECT '{c}' AS "column", quantile_disc({c}, 0.25) FILTER (NOT isnan({c})) + 0.0 AS p25,
+       quantile_disc({c}, 0.5) FILTER (NOT isnan({c})) + 0.0 AS p50,
+       quantile_disc({c}, 0.75) FILTER (NOT isnan({c})) + 0.0 AS p75,
+       quantile_disc({c}, 0.95) FILTER (NOT isnan({c})) + 0.0 AS p95,
+       quantile_disc({c}, 0.99) FILTER (NOT isnan({c})) + 0.0 AS p99
+FROM s""", tuple(_ODD_NUMBERS),
+    "SELECT " + ", ".join(f"CAST({sql} AS DOUBLE) AS {c}" for c, sql in _ODD_NUMBERS.items()) + " FROM lineitem"))
+def exact_quantiles_of_odd_numbers(t: Tables) -> DataFrame:
+    """Quantiles of columns with NaN, infinities and negative zero, without any number, with
+    one value, and with values from tiny to huge."""
+    odd = t.lineitem.select(*[F.expr(f"CAST({sql} AS DOUBLE)").alias(c) for c, sql in _ODD_NUMBERS.items()])
+    return profile.exact_quantiles(odd, list(_ODD_NUMBERS))
+
+
 _PAYMENTS = f"""
 SELECT *, CASE WHEN payment_type = 'boleto' THEN regexp_extract(payment_value, '^-?[0-9]+')
                ELSE payment_value END AS cents FROM ({snapshot_sql("order_payments")})"""

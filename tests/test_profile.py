@@ -38,15 +38,24 @@ def test_approximate_profile_matches_on_small_data(rows):
     assert collected(profile.approximate_profile(df), *exact.columns) == collected(exact)
 
 
-@PROPERTY
-@given(values=st.lists(st.integers(-5, 5), min_size=1, max_size=40), accuracy=st.sampled_from([5, 100, 20_000]))
-def test_exact_quantiles_against_brute_force(rows, values, accuracy):
-    df = rows([(float(v), float(abs(v))) for v in values], "x double, y double")
-    found = {r["column"]: r for r in profile.exact_quantiles(df, ["x", "y"], accuracy=accuracy).collect()}
-    for name, data in (("x", sorted(values)), ("y", sorted(map(abs, values)))):
-        for p in profile.QUANTILES:
-            rank = max(math.ceil(p * len(data)), 1)
-            assert found[name][f"p{round(p * 100)}"] == data[rank - 1]
+_NUMBERS = st.one_of(
+    st.integers(-5, 5).map(float), st.floats(), st.sampled_from([5e-324, -5e-324, 1e308, -1.7e308, 0.1, 0.1 + 2**-56]), st.none())
+
+
+@settings(PROPERTY, max_examples=12)
+@given(values=st.lists(_NUMBERS, max_size=40), ranges=st.sampled_from([3, 8192]))
+def test_exact_quantiles_against_brute_force(rows, values, ranges):
+    old, profile.RANGES = profile.RANGES, ranges
+    try:
+        df = rows([(v, 1.0) for v in values], "x double, y double")
+        found = {r["column"]: r for r in profile.exact_quantiles(df, ["x", "y"]).collect()}
+    finally:
+        profile.RANGES = old
+    known = sorted(v for v in values if v is not None and not math.isnan(v))
+    for p in profile.QUANTILES:
+        name, rank = f"p{round(p * 100)}", max(math.ceil(p * len(known)), 1)
+        assert found["x"][name] == (known[rank - 1] if known else None)
+        assert found["y"][name] == (1.0 if values else None)
 
 
 def test_exact_quantiles_with_a_hot_value_and_an_outlier(spark):
@@ -59,7 +68,8 @@ def test_exact_quantiles_with_a_hot_value_and_an_outlier(spark):
 
 
 def test_quantiles_of_nothing(rows):
-    assert profile.exact_quantiles(rows([(None,)], "x double"), ["x"]).count() == 0
+    df = rows([(None, float("nan"))], "x double, y double")
+    assert collected(profile.exact_quantiles(df, ["x", "y", "x"])) == [("x", *[None] * 5), ("y", *[None] * 5)]
 
 
 def test_keys(rows):
