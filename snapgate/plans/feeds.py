@@ -80,8 +80,8 @@ def load_fuel_files(
 
     Of several copies of a content the first by name is loaded. A content is one partition
     of the table and is entered in the ledger after it was written, so a load that broke in
-    between is simply repeated. A date or price that does not parse stops the load before
-    anything is written. Every new file is entered, also one without rows. New files are
+    between is simply repeated. A row whose file has other headings, a row of another length,
+    and a date or price that does not parse stop the load before anything is written. Every new file is entered, also one without rows. New files are
     told by a join on their paths; neither paths nor hashes come to the driver.
     """
     if not spark.catalog.tableExists(ledger):
@@ -100,11 +100,12 @@ def load_fuel_files(
     names = fresh.select("content_hash", F.col("file_path").alias("path"))
     rows = sinks.stage(
         balanced_join(prices, names, [("file_path", "path")], "inner"), shared_folder(spark, "prices"))
-    failed = rows.where("cast_failed").groupBy("source_file").count().orderBy("source_file")
-    shown = [tuple(r) for r in failed.limit(20).collect()]
+    fault = F.coalesce("refused", F.when(F.col("cast_failed"), "date or price")).alias("fault")
+    failed = rows.select("source_file", fault).where("fault IS NOT NULL").groupBy("source_file", "fault").count()
+    shown = [tuple(r) for r in failed.orderBy("source_file", "fault").limit(20).collect()]
     if shown:
-        raise ContractError(f"dates or prices of fuel files do not parse, by file: {shown}")
-    loaded = rows.drop("cast_failed", "file_path")
+        raise ContractError(f"rows of fuel files cannot be loaded, by file and fault: {shown}")
+    loaded = rows.drop("cast_failed", "refused", "file_path")
     if spark.catalog.tableExists(table):
         sinks.insert_partitions(loaded, table)
     else:

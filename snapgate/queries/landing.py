@@ -17,6 +17,7 @@ from snapgate.sources.files import (
     cleansing_failed,
     profile_files,
     read_csv_snapshot,
+    read_with_headings,
     unseen_content,
 )
 from snapgate.sources.jdbc import in_window
@@ -77,6 +78,30 @@ def profile_of_written_files(t: Tables) -> DataFrame:
     return found
 
 
+@query("""
+SELECT CASE WHEN NOT long THEN CAST(o_orderkey AS VARCHAR) END AS order_key,
+       CASE WHEN NOT long THEN o_orderstatus END AS status,
+       CASE WHEN NOT long THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END AS price,
+       CASE WHEN long THEN 'row length' END AS refused
+FROM (SELECT *, o_orderkey % 2 = 1 AND o_orderstatus = 'P' AS long FROM orders)
+""")
+def headings_of_written_files(t: Tables) -> DataFrame:
+    """Orders written as files with columns in two orders, read by the headings of each file;
+    a status that holds the separator makes its row one field too long."""
+    headings = {"Order Key": "order_key", "Status": "status", "Total  Price": "price"}
+    orders = t.orders.select(
+        F.col("o_orderkey").alias("order key"), F.col("o_orderstatus").alias("STATUS"),
+        F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("Total price"))
+    long = F.when(F.col("STATUS") == "P", F.concat("STATUS", F.lit(";?"))).otherwise(F.col("STATUS")).alias("STATUS")
+    folder = shared_folder(t.spark, "headed-csv")
+    for part, columns in enumerate((["order key", "STATUS", "Total price"], ["Total price", "order key", long])):
+        orders.where(F.col("order key") % 2 == part).select(*[F.col(c) if isinstance(c, str) else c for c in columns]).write.options(
+            header=True, sep=";", quote="\0").csv(f"{folder}/part={part}")
+    found = read_with_headings(t.spark, [f"{folder}/part={k}" for k in (0, 1)], headings)
+    fits = F.col("refused").isNull()
+    return found.select(*[F.when(fits, F.col(c)).alias(c) for c in headings.values()], "refused")
+
+
 @query("""
 SELECT o_orderkey, CAST(o_orderdate AS DATE) AS dt_base, 'orders_db' AS source_system
 FROM orders

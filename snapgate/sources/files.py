@@ -78,12 +78,26 @@ def is_nothing(name: str) -> Column:
     return F.coalesce(F.trim(name) == "", F.lit(True))
 
 
-# The published layout of the fuel price files.
-FUEL_PRICE_COLUMNS = (
-    "regiao_sigla", "estado_sigla", "municipio", "revenda", "cnpj_revenda", "nome_rua",
-    "numero_rua", "complemento", "bairro", "cep", "produto", "data_coleta", "valor_venda",
-    "valor_compra", "unidade_medida", "bandeira",
-)
+# The headings of the published fuel price files and the columns they fill.
+FUEL_PRICE_HEADINGS = {
+    "Regiao - Sigla": "regiao_sigla",
+    "Estado - Sigla": "estado_sigla",
+    "Municipio": "municipio",
+    "Revenda": "revenda",
+    "CNPJ da Revenda": "cnpj_revenda",
+    "Nome da Rua": "nome_rua",
+    "Numero Rua": "numero_rua",
+    "Complemento": "complemento",
+    "Bairro": "bairro",
+    "Cep": "cep",
+    "Produto": "produto",
+    "Data da Coleta": "data_coleta",
+    "Valor de Venda": "valor_venda",
+    "Valor de Compra": "valor_compra",
+    "Unidade de Medida": "unidade_medida",
+    "Bandeira": "bandeira",
+}
+FUEL_PRICE_COLUMNS = tuple(FUEL_PRICE_HEADINGS.values())
 
 
 def _plain_name(name: Column) -> Column:
@@ -96,24 +110,62 @@ def file_name(path: Column) -> Column:
     return _plain_name(F.element_at(F.split(path, "/"), -1))
 
 
+def _heading(text: Column) -> Column:
+    """A heading without case, accents, marks and byte order mark."""
+    plain = F.translate(F.lower(text), "áàâãéêíóôõúüç", "aaaaeeiooouuc")
+    return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
+
+
+def read_with_headings(
+    spark: SparkSession, path: str | Sequence[str], headings: Mapping[str, str], *,
+    sep: str = ";", glob: str = "*",
+) -> DataFrame:
+    """Delimited files whose heading record names the columns, file by file.
+
+    ``headings`` gives the column of each heading; case, accents and marks do not matter, and
+    every file may have its columns in an order of its own. The heading record is a row of the
+    file like any other, found by its content, so files are split at will; it is joined back to
+    the rows of its file. Columns are texts as they are. ``refused`` is NULL for a row that fits
+    and otherwise says why it does not: ``headings`` if the file has no record of exactly these
+    headings, or several in different orders, ``row length`` for more or fewer fields than
+    headings. ``source_file`` is the file's name and ``file_path`` its path.
+    """
+    names = [f"_field_{i}" for i in range(len(headings))]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_broken"]])
+    raw = (
+        spark.read.schema(schema).option("header", False).option("sep", sep).option("encoding", "UTF-8")
+        .option("pathGlobFilter", glob).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken")
+        # All fields are parsed, so that a row's length shows whichever columns are read.
+        .option("columnPruning", False).csv(path)
+        .select(F.array(*names).alias("_fields"), "_broken", F.col("_metadata.file_name").alias("_name"),
+                F.col("_metadata.file_path").alias("file_path"))
+    )
+    labels = [_heading(F.lit(h)) for h in headings]
+    order = F.transform("_fields", lambda f: _heading(F.coalesce(f, F.lit(""))))
+    # A null-safe test: a short row is broken whatever its fields say.
+    is_record = F.col("_broken").isNull() & (F.array_sort(order) == F.array_sort(F.array(*labels)))
+    marked = raw.withColumn("_record", is_record)
+    records = marked.where("_record").groupBy("file_path").agg(
+        F.min(order).alias("_order"), F.max(order).alias("_other"))
+    records = records.select("file_path", F.when(F.col("_order") == F.col("_other"), F.col("_order")).alias("_order"))
+    rows = balanced_join(marked.where("NOT _record"), records, [("file_path", "file_path")], unique=True)
+    refused = F.when(F.col("_order").isNull(), "headings").when(F.col("_broken").isNotNull(), "row length")
+    at = [F.array_position("_order", x).cast("int") - 1 for x in labels]
+    return rows.select(
+        *[F.get("_fields", place).alias(c) for place, c in zip(at, headings.values(), strict=True)],
+        refused.alias("refused"), _plain_name(F.col("_name")).alias("source_file"), "file_path")
+
+
 def read_fuel_prices(
-    spark: SparkSession, path: str | Sequence[str], glob: str = "*"
+    spark: SparkSession, path: str | Sequence[str], glob: str = "*",
+    headings: Mapping[str, str] = FUEL_PRICE_HEADINGS,
 ) -> DataFrame:
     """Semicolon-separated fuel price files, typed, with the name of their file.
 
-    The files carry display headings, so columns are named by position. ``cast_failed``
-    says whether a date or price of the row does not parse.
+    Columns follow the headings of each file (see ``read_with_headings``, also for ``refused``).
+    ``cast_failed`` says whether a date or price of the row does not parse.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in FUEL_PRICE_COLUMNS])
-    raw = (
-        spark.read.schema(schema).option("header", True).option("sep", ";")
-        .option("pathGlobFilter", glob)
-        .option("encoding", "UTF-8").option("enforceSchema", True).csv(path)
-        .select(
-            "*", _plain_name(F.col("_metadata.file_name")).alias("source_file"),
-            F.col("_metadata.file_path").alias("file_path"),
-        )
-    )
+    raw = read_with_headings(spark, path, headings, glob=glob)
     dates = {"data_coleta": "dd/MM/yyyy"}
     decimals = {"valor_venda": "decimal(38,18)", "valor_compra": "decimal(38,18)"}
     flagged = raw.withColumn("cast_failed", cleansing_failed(dates=dates, decimals=decimals))

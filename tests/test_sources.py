@@ -43,7 +43,7 @@ def test_multiline_reviews(spark, tmp_path):
         ('say "hi"', "first line\nsecond line")]
 
 
-FUEL_HEADING = ";".join(f"Column {i}" for i in range(16))
+FUEL_HEADING = ";".join(files.FUEL_PRICE_HEADINGS)
 
 
 def test_fuel_prices(spark, tmp_path):
@@ -60,6 +60,48 @@ def test_fuel_prices(spark, tmp_path):
         ("LOJA 1", None, None, 2.1, "fuel.csv", "decimal(38,18)")], key=repr)
 
 
+_ROW = ["SE", "SP", "SÃO PAULO", "POSTO", "1", "RUA", "10", "", "CENTRO", "1", "GASOLINA", "04/01/2016", "3,5", "", "R$", "BRANCA"]
+
+
+def fuel_file(path, order, *rows, mark=""):
+    headings = list(files.FUEL_PRICE_HEADINGS)
+    lines = [mark + ";".join(headings[i].upper() for i in order)]
+    return write(path, "\n".join(lines + [";".join(r) for r in rows]) + "\n")
+
+
+def test_headings_name_the_columns_of_each_file(spark, tmp_path):
+    swapped = [2, 1, 0, *range(3, 16)]
+    fuel_file(tmp_path / "in" / "plain.csv", range(16), _ROW)
+    fuel_file(tmp_path / "in" / "swapped.csv", swapped, [_ROW[i] for i in swapped], mark="\ufeff")
+    fuel_file(tmp_path / "in" / "both.csv", swapped, [_ROW[i] for i in swapped], [_ROW[i] for i in swapped])
+    df = files.read_fuel_prices(spark, str(tmp_path / "in"))
+    found = collected(df.select("source_file", "regiao_sigla", "municipio", "refused", "cast_failed"))
+    assert found == sorted([(f, "SE", "SÃO PAULO", None, False) for f in ("plain.csv", "swapped.csv", "both.csv", "both.csv")], key=repr)
+
+
+def test_rows_that_do_not_fit_are_refused(spark, tmp_path):
+    fuel_file(tmp_path / "in" / "short.csv", range(16), _ROW, _ROW[:12])
+    fuel_file(tmp_path / "in" / "long.csv", range(16), [*_ROW, "more"])
+    write(tmp_path / "in" / "other.csv", ";".join(f"c{i}" for i in range(16)) + "\n" + ";".join(_ROW) + "\n")
+    write(tmp_path / "in" / "twice.csv", "\n".join([FUEL_HEADING, ";".join(reversed(FUEL_HEADING.split(";"))), ";".join(_ROW)]) + "\n")
+    df = files.read_fuel_prices(spark, str(tmp_path / "in"))
+    assert collected(df.groupBy("source_file", "refused").count()) == sorted([
+        ("short.csv", None, 1), ("short.csv", "row length", 1), ("long.csv", "row length", 1),
+        ("other.csv", "headings", 2), ("twice.csv", "headings", 1)], key=repr)
+    # The same whichever columns are read.
+    assert df.where("refused = 'row length'").select("refused").count() == 2
+
+
+@pytest.mark.parametrize("name, row", [("short", _ROW[:15]), ("long", [*_ROW, ""])])
+def test_load_stops_at_rows_of_another_length(spark, tmp_path, name, row):
+    from snapgate.plans.feeds import load_fuel_files
+
+    fuel_file(tmp_path / "in" / "odd.csv", range(16), _ROW, row)
+    with pytest.raises(ContractError, match="row length"):
+        load_fuel_files(spark, str(tmp_path / "in"), f"fuel_{name}", f"fuel_{name}_ledger")
+    assert not spark.catalog.tableExists(f"fuel_{name}") and _ledger_rows(spark, f"fuel_{name}_ledger") == []
+
+
 def test_ledger_skips_loaded_content_and_keeps_copies(spark, tmp_path, rows):
     folder = str(tmp_path / "in")
     write(tmp_path / "in" / "a.csv", "same")
