@@ -28,6 +28,7 @@ from snapgate.sources.files import (
     LEDGER_SCHEMA,
     file_hashes,
     file_name,
+    literal_path,
     read_fuel_prices,
     unseen_content,
 )
@@ -95,7 +96,8 @@ def load_fuel_files(
     count = fresh.count()
     if not count:
         return 0
-    prices = read_fuel_prices(spark, folder, glob)
+    paths = [literal_path(r["file"]) for r in fresh.select("file").toLocalIterator()]
+    prices = read_fuel_prices(spark, paths)
     # One row per new file, next to rows of prices; rows of other files find no partner.
     names = fresh.select("content_hash", F.col("file_path").alias("path"))
     rows = sinks.stage(

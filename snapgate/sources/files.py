@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -116,6 +117,11 @@ def _heading(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
 
+def literal_path(path: str) -> str:
+    """A path for a reader, its pattern characters standing for themselves."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
 def read_with_headings(
     spark: SparkSession, path: str | Sequence[str], headings: Mapping[str, str], *,
     sep: str = ";", glob: str = "*",

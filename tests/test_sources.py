@@ -102,6 +102,22 @@ def test_load_stops_at_rows_of_another_length(spark, tmp_path, name, row):
     assert not spark.catalog.tableExists(f"fuel_{name}") and _ledger_rows(spark, f"fuel_{name}_ledger") == []
 
 
+def test_only_new_files_are_parsed(spark, tmp_path, monkeypatch):
+    from snapgate.plans import feeds
+
+    asked = []
+    read = feeds.read_fuel_prices
+    monkeypatch.setattr(feeds, "read_fuel_prices", lambda session, paths: asked.append(paths) or read(session, paths))
+    folder = tmp_path / "in"
+    names = ["a.csv", "b [1]{x} %20.csv"]
+    for n, name in enumerate(names):
+        fuel_file(folder / name, range(16), *[_ROW] * (n + 1))
+        assert feeds.load_fuel_files(spark, str(folder), "fuel_new", "fuel_new_ledger") == 1
+        assert feeds.load_fuel_files(spark, str(folder), "fuel_new", "fuel_new_ledger") == 0
+    assert [len(paths) for paths in asked] == [1, 1]
+    assert collected(spark.table("fuel_new").groupBy("source_file").count()) == [("a.csv", 1), ("b [1]{x} %20.csv", 2)]
+
+
 def test_ledger_skips_loaded_content_and_keeps_copies(spark, tmp_path, rows):
     folder = str(tmp_path / "in")
     write(tmp_path / "in" / "a.csv", "same")
