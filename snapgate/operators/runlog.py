@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, replace
 from datetime import UTC, datetime
 from enum import StrEnum
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapgate.contracts import ContractError
+from snapgate.operators.joins import balanced_join
 from snapgate.quality.rules import Outcome
 
 MESSAGE_LIMIT = 2000
@@ -140,6 +142,63 @@ def latest_runs(states: DataFrame, order: str = "state_number") -> DataFrame:
     )
 
 
+COUNTS = ("records_extracted", "records_evaluated", "records_written")
+
+
+def transition_faults(
+    states: DataFrame, counts: Sequence[str] = COUNTS, *, gapless: bool = True
+) -> DataFrame:
+    """``run_id``, ``state_number`` and ``fault`` of every stored state that no legal run has.
+
+    A run starts with number 0 at the source, numbers its states without gaps, moves at most
+    one stage ahead at a time and never back (but a rejected run ends at the quality stage, a
+    succeeded one complete), has counts that are NULL or not negative, and no state after its
+    first end. NULL names, numbers and stages are faults like unknown ones; repeated rows are
+    one number used twice. States of a legal run give no row. Without ``gapless`` a writer may
+    have left states out: missing numbers are no fault, and stages are compared only between
+    numbers that follow each other.
+
+    A state meets its predecessor and what is known of its run by joins on keys, so a run with
+    very many states is never gathered.
+    """
+    stages = [str(x) for x in Stage]
+    place = F.array_position(F.array(*[F.lit(x) for x in stages]), F.col("last_stage"))
+    known = F.coalesce(F.col("status").isin([str(x) for x in RunStatus]) & (place > 0), F.lit(False))
+    succeeded, complete = F.col("status") == str(RunStatus.SUCCEEDED), F.col("last_stage") == str(Stage.COMPLETE)
+    rejected = F.col("status") == str(RunStatus.REJECTED)
+    wrong_end = (succeeded != complete) | (rejected & (F.col("last_stage") != str(Stage.QUALITY)))
+    negative = F.lit(False)
+    for c in counts:
+        negative = negative | F.coalesce(F.col(c) < 0, F.lit(False))
+    folded = states.groupBy("run_id", "state_number").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(place).alias("_least"), F.max(place).alias("_most"),
+        F.bool_and(known).alias("_known"), F.bool_or(F.coalesce(wrong_end, F.lit(False))).alias("_wrong_end"),
+        F.bool_or(negative).alias("_negative"),
+        F.bool_or(F.coalesce(rejected, F.lit(False))).alias("_rejected"),
+        F.bool_or(F.coalesce(F.col("status") != str(RunStatus.RUNNING), F.lit(False))).alias("_ended"))
+    number = F.col("state_number")
+    runs = folded.groupBy("run_id").agg(
+        F.min("state_number").alias("_first"), F.min(F.when(F.col("_ended"), number)).alias("_end"))
+    before = folded.select("run_id", (number + 1).alias("state_number"), F.col("_most").alias("_before"))
+    met = balanced_join(folded, runs, [("run_id", "run_id")], unique=True)
+    met = balanced_join(met, before, [("run_id", "run_id"), ("state_number", "state_number")], unique=True)
+    faults = {
+        "unknown run or number": F.col("run_id").isNull() | number.isNull(),
+        "unknown status or stage": ~F.col("_known"),
+        "number repeated": F.col("_n") > 1,
+        "no first state": F.lit(gapless) & (number == F.col("_first")) & (number != 0),
+        "number skipped": F.lit(gapless) & (number > F.col("_first")) & F.col("_before").isNull(),
+        "not from the source": (number == 0) & (F.col("_most") > 1),
+        "stage skipped": (F.col("_most") > F.col("_before") + 1) & (F.col("_before") > 0),
+        "stage reversed": (F.col("_least") < F.col("_before")) & (F.col("_least") > 0) & ~F.col("_rejected"),
+        "end at another stage": F.col("_wrong_end"),
+        "state after the end": number > F.col("_end"),
+        "negative count": F.col("_negative"),
+    }
+    found = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in faults.items()]))
+    return met.select("run_id", "state_number", F.explode(found).alias("fault"))
+
+
 def run_evidence(runs: DataFrame, results: DataFrame) -> DataFrame:
     """Each run's latest state beside its evidence: rules evaluated, failed, blocking."""
     failed = F.col("status") == "FAIL"

@@ -1,4 +1,5 @@
 import pytest
+from conftest import collected
 
 from snapgate.contracts import ContractError
 from snapgate.operators.runlog import (
@@ -8,6 +9,7 @@ from snapgate.operators.runlog import (
     run_evidence,
     run_states,
     start_run,
+    transition_faults,
 )
 
 
@@ -58,3 +60,43 @@ def test_evidence_is_joined_by_run(spark, rows):
                    "run_id string, status string, severity string")
     assert [tuple(r) for r in run_evidence(runs, results).collect()] == [
         ("a", "SUCCEEDED", "COMPLETE", 3, 2, 1)]
+
+
+def faults(rows, *states):
+    ddl = "run_id string, state_number bigint, status string, last_stage string, records_written bigint"
+    return collected(transition_faults(rows(list(states), ddl), ["records_written"]))
+
+
+def test_a_legal_run_has_no_faults(rows):
+    assert faults(rows) == []
+    assert faults(
+        rows, ("r", 0, "RUNNING", "SOURCE", None), ("r", 1, "RUNNING", "SOURCE", 5), ("r", 2, "RUNNING", "QUALITY", 5),
+        ("r", 3, "RUNNING", "WRITE", 5), ("r", 4, "SUCCEEDED", "COMPLETE", 5), ("s", 0, "RUNNING", "SOURCE", 0),
+        ("s", 1, "RUNNING", "QUALITY", 0), ("s", 2, "RUNNING", "WRITE", 0), ("s", 3, "REJECTED", "QUALITY", 0),
+        ("f", 0, "RUNNING", "SOURCE", None), ("f", 1, "FAILED", "SOURCE", None)) == []
+
+
+def test_two_ends_a_skipped_stage_and_a_negative_count(rows):
+    assert faults(
+        rows, ("r", 0, "RUNNING", "SOURCE", None), ("r", 1, "RUNNING", "WRITE", -3), ("r", 2, "FAILED", "WRITE", None),
+        ("r", 3, "SUCCEEDED", "COMPLETE", None)) == [
+            ("r", 1, "negative count"), ("r", 1, "stage skipped"), ("r", 3, "state after the end")]
+
+
+def test_repeated_missing_and_null_states(rows):
+    same = ("r", 1, "RUNNING", "SOURCE", 1)
+    assert faults(
+        rows, same, same, ("r", 3, "RUNNING", None, None), (None, 0, "RUNNING", "SOURCE", 1),
+        ("n", None, "RUNNING", "SOURCE", 1)) == sorted([
+            ("r", 1, "number repeated"), ("r", 1, "no first state"), ("r", 3, "number skipped"),
+            ("r", 3, "unknown status or stage"), (None, 0, "unknown run or number"), ("n", None, "unknown run or number")], key=repr)
+
+
+def test_states_written_by_runs_are_legal(spark):
+    run = opened()
+    states = [run, run.at(Stage.QUALITY), run.at(Stage.QUALITY).at(Stage.WRITE)]
+    states.append(states[-1].succeed())
+    assert transition_faults(run_states(spark, *states)).count() == 0
+    few = run_states(spark, states[0], states[-1])
+    assert collected(transition_faults(few, gapless=False)) == []
+    assert [r.fault for r in transition_faults(few).collect()] == ["number skipped"]
