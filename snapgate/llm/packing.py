@@ -15,6 +15,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ END = 1            # the id that ends every document
 GROUP = 16_384     # pieces that one task packs at once, on average
 LOOSE = 40         # free tokens from which a sequence of a group is packed anew
 CHUNK = 1 << 20    # characters of a text that are tokenised at once
-WORDS = 200_000    # words whose ids a task remembers
+WORDS = 400_000    # words whose ids a task remembers
 BATCH = 1 << 20    # ids or pieces that a task hands over at once
 
 # The settings of a tokenizer that lower-cases, splits at white space and drops
@@ -45,6 +46,7 @@ DROPS_WHITE_SPACE = {
 }
 # Letters that are one composed character each, and Ascii marks behind them.
 _PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+_LATIN = re.compile(r"[\x00-\xff]*")
 # The byte-level alphabet: printable bytes stand for themselves, the others, in order, for the
 # characters from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -83,25 +85,31 @@ class Encoder:
             at = end
 
     def _words(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        if len(self.known) > WORDS:
-            self.known.clear()
+        text = text.replace("\n", " ")
+        # Lower case of composed letters is one letter each; a special token's name is not text.
+        if text.isascii() or _LATIN.fullmatch(text):
+            text = text if "<|" in text else text.lower()
+        words = text.split(" ")
+        known = self.known
+        if len(known) > WORDS:
+            known.clear()
         rest = []
-        for word in set(words).difference(self.known):
+        for word in set(words).difference(known):
             plain = _PLAIN_WORD.fullmatch(word)
             if plain is None:
                 rest.append(word)
                 continue
+            # The letters are one pre-token, the marks behind them the next.
             letters, marks = plain.groups()
-            # The letters are one pre-token, the marks the next.
             letters = letters.lower()
-            if not letters.isascii():
-                letters = letters.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            ids = [t.id for t in self.tokenizer.model.tokenize(letters)]
-            self.known[word] = self._packed(ids) + (self._marks(marks) if marks else b"")
+            ids = known.get(letters)
+            if ids is None:
+                spelt = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                ids = known[letters] = self._packed([t.id for t in self.tokenizer.model.tokenize(spelt)])
+            known[word] = ids + self._marks(marks) if marks else ids
         for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[word] = self._packed(found.ids)
-        return b"".join(map(self.known.__getitem__, words))
+            known[word] = self._packed(found.ids)
+        return b"".join(map(known.__getitem__, words))
 
     def _marks(self, marks: str) -> bytes:
         if marks not in self.known:
@@ -113,6 +121,12 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for each worker process, which outlives a task and keeps its words."""
+    return Encoder(path)
+
+
 def _cut(parts: Iterator[bytes], size: int) -> Iterator[bytes]:
     """Bytes in pieces of ``size``, the last one shorter."""
     held = b""
@@ -127,7 +141,7 @@ def _cut(parts: Iterator[bytes], size: int) -> Iterator[bytes]:
 
 def _pieces(path: str, limit: int, end: int, keep_ids: bool, key_type: pa.DataType):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        tokens = encoder(path)
         names = ["row", "key", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
         made: list[tuple] = []
         held: list[bytes] = []
@@ -148,7 +162,7 @@ def _pieces(path: str, limit: int, end: int, keep_ids: bool, key_type: pa.DataTy
             for n in range(given.num_rows):
                 row, key = given["row"][n].as_py(), given["key"][n].as_py()
                 text = given["text"][n].as_py() or ""
-                parts = (p for source in (encoder.chunks(text), [struct.pack("<I", end)]) for p in source)
+                parts = (p for source in (tokens.chunks(text), [struct.pack("<I", end)]) for p in source)
                 for k, ids in enumerate(_cut(parts, 4 * limit)):
                     made.append((row, key, k, k * limit, len(ids) // 4, zlib.crc32(ids)))
                     if keep_ids:

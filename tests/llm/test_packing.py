@@ -16,7 +16,7 @@ from snapgate.llm.queries import QUERIES
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
     None, "", " ", "\n\t \x0b", "Don't stop, don't!", "ΑΣ ΟΔΟΣ σ x y\u0085z", "é ́x İstanbul", "a<|endoftext|> b <|startoftext|>",
-    "x" * 5000, "word, WORD; (word) w0rd 12345", "\x1c\x1d sep", "日本語 テスト。", "ok?! no... yes.", "café. CAFÉ,", "ÿÀß×÷ªºµ_a'b''s '. ÀÖ'. straße&&& (a) a) £ÀÖ µm ĳ ǅ ﬁ",
+    "x" * 5000, "word, WORD; (word) w0rd 12345", "\x1c\x1d sep", "日本語 テスト。", "ok?! no... yes.", "café. CAFÉ,", "<|ENDOFTEXT|> A", "ÀÉ <|EndOfText|> ÉA", "ÿÀß×÷ªºµ_a'b''s '. ÀÖ'. straße&&& (a) a) £ÀÖ µm ĳ ǅ ﬁ",
 ]
 
 
