@@ -31,8 +31,8 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     the first every node ties its larger neighbours to its smallest one, in the second every
     node ties itself and its smaller neighbours to the smallest. Edges stay as many as at
     the start or fewer, the number of rounds is logarithmic, and each round is stored. A node
-    with very many edges is only ever a join key, which AQE splits; its neighbours are never
-    gathered. NULL ends and loops are ignored; an empty input gives no rows.
+    with very many edges is only ever a join key; its neighbours are never gathered, but its
+    edges, two numbers each, pass through one task of a join, which AQE does not split. NULL ends and loops are ignored; an empty input gives no rows.
     """
     at = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
     at = stored(at.distinct(), purpose)
