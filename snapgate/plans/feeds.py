@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +26,7 @@ from snapgate.plans.publish import ControlTables, Published, merge_checked
 from snapgate.session import shared_folder
 from snapgate.sources.files import (
     LEDGER_SCHEMA,
-    file_hashes,
+    file_digests,
     file_name,
     literal_path,
     read_fuel_prices,
@@ -75,7 +75,8 @@ def _replace_fuel_prices(
 
 
 def load_fuel_files(
-    spark: SparkSession, folder: str, table: str, ledger: str, glob: str = "*.csv"
+    spark: SparkSession, folder: str, table: str, ledger: str, glob: str = "*.csv",
+    digests: Callable[[SparkSession, str, str], DataFrame] = file_digests,
 ) -> int:
     """Load the files whose content was not loaded before; returns how many.
 
@@ -83,12 +84,13 @@ def load_fuel_files(
     of the table and is entered in the ledger after it was written, so a load that broke in
     between is simply repeated. A row whose file has other headings, a row of another length,
     and a date or price that does not parse stop the load before anything is written. Every new file is entered, also one without rows. New files are
-    told by a join on their paths; neither paths nor hashes come to the driver.
+    told by a join on their paths; neither paths nor hashes come to the driver. ``digests`` is
+    ``file_hashes`` for a ledger that holds the SHA-256 of whole files.
     """
     if not spark.catalog.tableExists(ledger):
         spark.createDataFrame([], LEDGER_SCHEMA).write.format("parquet").saveAsTable(ledger)
     fresh = sinks.stage(
-        unseen_content(file_hashes(spark, folder, glob), spark.table(ledger))
+        unseen_content(digests(spark, folder, glob), spark.table(ledger))
         .groupBy("content_hash").agg(F.min(F.struct("source_file", "file_path")).alias("first"))
         .select("content_hash", F.col("first.source_file").alias("file"), "first.file_path"),
         shared_folder(spark, "fresh"),

@@ -15,6 +15,7 @@ from snapgate.session import shared_folder
 from snapgate.sources.files import (
     cleansed,
     cleansing_failed,
+    ordered_digests,
     profile_files,
     read_csv_snapshot,
     read_with_headings,
@@ -162,6 +163,24 @@ def unseen_content_of_documents(t: Tables) -> DataFrame:
     return unseen_content(hashed.drop("lang"), ledger)
 
 
+_TREE = """
+SELECT doc_id, i - 1 AS number, sha256(line) AS digest FROM (
+  SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))"""
+for _ in range(4):
+    _TREE = f"""
+SELECT doc_id, number // 64 AS number, sha256(string_agg(digest, '' ORDER BY number)) AS digest
+FROM ({_TREE}) GROUP BY ALL"""
+
+
+@query(f"SELECT doc_id, digest FROM ({_TREE})")
+def line_tree_of_documents(t: Tables) -> DataFrame:
+    """A digest of each document from blocks of its lines, as files of any size are digested."""
+    lines = t.documents.select(
+        "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("number", "line"))
+    return ordered_digests(lines, "doc_id", "number", "line", fanout=64)
+
+
 @query("SELECT event_id, replace(props, ' ', '') AS payload_json FROM events")
 def variant_landing(t: Tables) -> DataFrame:
     """JSON text landed as VARIANT, shown as canonical JSON."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -195,6 +195,65 @@ def file_hashes(spark: SparkSession, path: str | Sequence[str], glob: str = "*")
     )
 
 
+FANOUT, LEVELS = 8192, 4  # a file may have 8192 ** 4 lines
+
+
+def ordered_digests(
+    items: DataFrame, group: str, number: str, value: str, *, fanout: int = FANOUT, levels: int = LEVELS,
+) -> DataFrame:
+    """``(group, digest)``: one SHA-256 for each group, over its values in the order of ``number``.
+
+    Numbers count from 0 without gaps. The digest is the root of a tree: ``fanout`` neighbours
+    are digested together, their digests again, ``levels`` times, so no task gathers more than
+    ``fanout`` digests of a group. A NULL value counts as an empty one; a NULL group is a group;
+    more than ``fanout ** levels`` values raise an error. A group without rows has no digest.
+    """
+    at = items.select(F.col(group).alias("group"), F.col(number).cast("bigint").alias("number"),
+                      F.sha2(F.coalesce(F.col(value).cast("binary"), F.lit(b"")), 256).alias("digest"))
+    for _ in range(levels):
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", "digest"))),
+                                          lambda x: x["digest"]), "")
+        at = at.groupBy("group", F.floor(F.col("number") / fanout).alias("block")).agg(
+            F.sha2(joined, 256).alias("digest")).withColumnRenamed("block", "number")
+    root = F.when(F.col("number") == 0, F.col("digest")).otherwise(
+        F.raise_error(F.lit(f"a group has more than {fanout} ** {levels} values")))
+    return at.select(F.col("group").alias(group), root.alias("digest"))
+
+
+def numbered_lines(spark: SparkSession, path: str | Sequence[str], glob: str = "*") -> DataFrame:
+    """``file_path``, ``number`` (from 0) and ``value`` of every line of text files.
+
+    Files are read in splits. Lines are counted for each split, and a split's first number is
+    the sum of those before it in its file, so neither size nor number of splits matters. Lines
+    end with a line feed; a carriage return belongs to its line.
+    """
+    lines = (
+        spark.read.option("lineSep", "\n").option("pathGlobFilter", glob).text(path)
+        .select(F.col("_metadata.file_path").alias("file_path"),
+                F.col("_metadata.file_block_start").alias("_start"),
+                F.monotonically_increasing_id().alias("_id"), "value")
+    )
+    before = Window.partitionBy("file_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("file_path", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return lines.join(splits, ["file_path", "_start"]).select(
+        "file_path", (F.col("_before") + F.col("_id") - F.col("_first")).alias("number"), "value")
+
+
+def file_digests(spark: SparkSession, path: str | Sequence[str], glob: str = "*") -> DataFrame:
+    """A digest of each text file, of any size: a tree over its lines, and its size in bytes.
+
+    Columns as those of ``file_hashes``, which gives the SHA-256 of the bytes. Files are read
+    in splits by as many tasks as they have; equal files have equal digests however they are
+    split. Files without bytes are not listed by Spark's readers and have no row.
+    """
+    roots = ordered_digests(numbered_lines(spark, path, glob), "file_path", "number", "value")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select(
+        F.col("path").alias("source_file"), F.col("_metadata.file_path").alias("file_path"), "length")
+    whole = F.sha2(F.concat_ws(":", F.col("length").cast("string"), F.coalesce("digest", F.lit(""))), 256)
+    return files.join(roots, "file_path", "left").select("source_file", "file_path", whole.alias("content_hash"))
+
+
 def unseen_content(
     candidates: DataFrame, ledger: DataFrame, hash_column: str = "content_hash",
 ) -> DataFrame:

@@ -257,3 +257,51 @@ def test_files_are_loaded_once_by_content(spark, tmp_path):
     assert spark.table("fuel_source").count() == 3
     assert collected(spark.table("fuel_source").select("source_file").distinct()) == [
         ("a.csv",), ("b ção+1.csv",)]
+
+
+def _tree(values, fanout, levels):
+    import hashlib
+    at = [hashlib.sha256(v).hexdigest() for v in values]
+    for _ in range(levels):
+        at = [hashlib.sha256("".join(at[k:k + fanout]).encode()).hexdigest() for k in range(0, len(at), fanout)]
+    return at[0]
+
+
+def test_digests_of_files_do_not_depend_on_their_splits(spark, tmp_path):
+    import hashlib
+    many = b"".join(b"line %d\r\n" % (k % 50) for k in range(9000))
+    contents = {"a.csv": many, "b.csv": many, "c.csv": many[:-1], "d.csv": b"", "e.csv": b"\n", "f.csv": b"x\xff\n\ny",
+                "g.csv": b"line 1\r\nline 0\r\n" + many[18:], "[h] 1.csv": b"short"}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    found = []
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("7000", "1000000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            found.append({r.source_file.rsplit("/", 1)[1]: r.content_hash
+                          for r in files.file_digests(spark, str(tmp_path), "*.csv").collect()})
+            numbers = files.numbered_lines(spark, str(tmp_path), "a.csv").collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert [r.value for r in sorted(numbers, key=lambda r: r.number)] == [f"line {k % 50}\r" for k in range(9000)]
+        assert sorted(r.number for r in numbers) == list(range(9000))
+    del contents["d.csv"]  # Spark lists no file without bytes
+    assert found[0] == found[1] and len(found[0]) == len(contents)
+    for name, content in contents.items():
+        lines = content.split(b"\n")[:-1] if content.endswith(b"\n") else content.split(b"\n")
+        root = _tree(lines, files.FANOUT, files.LEVELS) if content else ""
+        assert found[0][name] == hashlib.sha256(f"{len(content)}:{root}".encode()).hexdigest(), name
+    assert len(set(found[0].values())) == len(contents) - 1
+
+
+def test_ordered_digests_of_odd_groups(rows):
+    data = [(None, 0, "a"), (None, 1, None), (1, 0, ""), (1, 1, "a"), (2, 0, "b")]
+    made = {r.k: r.digest for r in files.ordered_digests(
+        rows(data, "k int, n int, v string"), "k", "n", "v", fanout=2, levels=1).collect()}
+    assert made == {None: _tree([b"a", b""], 2, 1), 1: _tree([b"", b"a"], 2, 1), 2: _tree([b"b"], 2, 1)}
+    assert files.ordered_digests(rows([], "k int, n int, v string"), "k", "n", "v").count() == 0
+    too_many = files.ordered_digests(rows([(1, k, "x") for k in range(3)], "k int, n int, v string"),
+                                     "k", "n", "v", fanout=2, levels=1)
+    with pytest.raises(Exception, match="more than 2"):
+        too_many.collect()
