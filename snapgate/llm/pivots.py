@@ -122,9 +122,10 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding")
 
     Two rows link if the cosine of their vectors is at least 0.95 and the index brings them
     together (see ``SHARED``). Equal vectors are folded before the index and always link.
-    ``component_id`` is the smallest key reachable. Rows whose key or vector is NULL, whose
-    vector is empty, zero, or holds a NULL or a number that is not finite, link with nothing:
-    they form a component of their own. Vectors of different lengths never link. Repeated
+    ``component_id`` is the smallest key reachable. Rows whose vector is NULL, empty, zero, or
+    holds a NULL or a number that is not finite, link with nothing: they form a component of
+    their own. A NULL key links like any other and is counted; it names its component only if
+    no row of it has a key, and is kept only there. Vectors of different lengths never link. Repeated
     keys are rows of their own that share a component if linked. An empty table gives no rows.
 
     Lists are cut into blocks by a hash and met pair of blocks by pair of blocks, each task
@@ -133,8 +134,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding")
     """
     rows = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"))
     odd = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    fit = (F.col("key").isNotNull() & F.col("vector").isNotNull() & ~odd
-           & F.exists("vector", lambda x: x != 0))
+    fit = F.col("vector").isNotNull() & ~odd & F.exists("vector", lambda x: x != 0)
     fit = F.coalesce(fit, F.lit(False))
     valid = rows.where(fit)
     folded = valid.groupBy("vector").agg(F.count("*").alias("copies"), F.min("key").alias("least"))
@@ -172,4 +172,4 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding")
     whole = valid.join(found, "vector").select("key", "n_links", "component_id").union(
         rows.where(~fit).select("key", F.lit(0).cast("bigint"), "key"))
     return whole.select(F.col("key").alias(key), "n_links", "component_id",
-                        F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)).alias("kept"))
+                        F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
