@@ -31,7 +31,7 @@ RATE = 0.01
 # and the excerpt's bytes.
 EXCERPTS = 0.4
 EXCERPT = (12, 400)
-# Labelled documents of each class to train on, at most: those of the smallest key hash.
+# Labelled rows of each class to train on, at most: those of the smallest key hash.
 SAMPLE = 1200
 THRESHOLD = 0.7
 
@@ -181,19 +181,26 @@ def held_out(key) -> F.col:
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text",
         label: str = "quality", sample: int = SAMPLE) -> Network:
-    """Train on at most ``sample`` labelled documents of each class, drawn by a hash of the key.
+    """Train on at most ``sample`` labelled rows of each class, drawn by a hash of the key.
 
-    Their whole texts are learned from. Labels of held-out keys, NULL labels and labels without a document are left out. Without
-    any label every document scores 1.
+    A key that several rows of ``docs`` share stands for the first of them, so the bound is on
+    rows, whatever repeats. Their whole texts are learned from. Labels of held-out keys, NULL
+    labels and labels without a document are left out, repeated labels count once. Without any
+    label every document scores 1. ``docs`` must be read from files, so that positions agree
+    between two reads.
     """
     known = labels.where(F.col(key).isNotNull() & ~held_out(key) & F.col(label).isin(0, 1)).select(
-        key, label).join(docs.select(key), key, "left_semi")
-    chosen = known.where(F.col(label) == 0).orderBy(F.xxhash64(key), key).limit(sample).union(
-        known.where(F.col(label) == 1).orderBy(F.xxhash64(key), key).limit(sample))
+        F.col(key).alias("key"), F.col(label).alias("label")).distinct()
+    place = F.monotonically_increasing_id()
+    first = docs.select(F.col(key).alias("key"), place.alias("place")).where("key IS NOT NULL").groupBy(
+        "key").agg(F.min("place").alias("place"))
+    known = first.join(known, "key")
+    chosen = known.where("label = 0").orderBy(F.xxhash64("key"), "key").limit(sample).union(
+        known.where("label = 1").orderBy(F.xxhash64("key"), "key").limit(sample))
     read = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    # The sample's keys are bounded by the parameter, so they may be broadcast.
-    rows = stored(docs.select(key, read.alias("bytes")).join(F.broadcast(chosen), key).select(
-        key, "bytes", label), "quality-sample")
+    # Twice ``sample`` places at most, so they may be broadcast.
+    rows = stored(docs.select(read.alias("bytes"), place.alias("place")).join(
+        F.broadcast(chosen), "place").select("key", "bytes", "label"), "quality-sample")
     about: list[tuple] = []
 
     def texts() -> Iterable[bytes]:
