@@ -6,7 +6,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from enum import StrEnum
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapgate.contracts import ContractError, TableContract, checked_names
@@ -115,3 +115,48 @@ def apply_policies(
     return df.select(*[
         F.expr(masks[c]).alias(c) if c in masks else F.col(c) for c in df.columns
     ])
+
+
+def effective_policies(
+    policies: DataFrame, principals: DataFrame, members: DataFrame, tags: DataFrame,
+) -> DataFrame:
+    """Which policies hold for whom on which columns, for all members and tables at once.
+
+    ``policies``: ``policy, kind, expression, scope, scope_name, tag_key, tag_value``;
+    ``principals``: ``policy, principal, excepted``; ``members``: ``member, principal``;
+    ``tags``: ``table_name, column_name, tag_key, tag_value``, with names like ``catalog.schema.table``.
+    Returns ``member, table_name, column_name, kind, policy, expression, scope, conflict``.
+
+    A policy holds for a member who has one of its principals and none of its exceptions. It
+    covers the tables of its scope, all of them with scope name ``*``. It applies to the columns
+    that carry its tag; one without a tag applies to the table, with a NULL column. Where masks
+    of several scopes meet on a column, the narrowest scope wins, ``*`` being the widest;
+    ``conflict`` marks masks of one scope that still meet. Filters all apply. Repeated rows count
+    once; NULL members, tables, principals and scope names match nothing.
+
+    Scopes are equi-join keys: a table stands for itself, its schema, its catalog and ``*``.
+    """
+    name = F.col("table_name")
+    levels = F.array(*[
+        F.struct(F.lit(depth).alias("depth"), scope.alias("scope_name")) for depth, scope in (
+            (0, F.lit("*")), (1, F.substring_index(name, ".", 1)), (2, F.substring_index(name, ".", 2)), (3, name))])
+    depth = F.when(F.col("scope_name") == "*", 0)
+    for k, scope in enumerate(PolicyScope, 1):
+        depth = depth.when(F.col("scope") == str(scope), k)
+    placed = policies.dropDuplicates().withColumn("depth", depth)
+    tables = tags.where(name.isNotNull()).select("table_name").distinct().select("table_name", F.inline(levels))
+    tagged = tags.where(name.isNotNull()).distinct().select("table_name", "column_name", "tag_key", "tag_value", F.inline(levels))
+    known = ["policy", "kind", "expression", "scope", "depth"]
+    untagged = placed.where("tag_key IS NULL").join(tables, ["depth", "scope_name"]).select(
+        *known, "table_name", F.lit(None).cast("string").alias("column_name"))
+    covered = placed.join(tagged, ["depth", "scope_name", "tag_key", "tag_value"]).select(
+        *known, "table_name", "column_name").distinct().unionByName(untagged)
+    held = members.where("member IS NOT NULL").distinct().join(principals, "principal").groupBy(
+        "policy", "member").agg(F.bool_or("excepted").alias("out"), F.bool_or(~F.col("excepted")).alias("in"))
+    met = covered.join(held.where("in AND NOT out").select("policy", "member"), "policy")
+    # A partition holds the policies of one kind on one column for one member.
+    spot = Window.partitionBy("member", "table_name", "column_name", "kind")
+    mask = F.col("kind") == str(PolicyKind.COLUMN_MASK)
+    won = met.withColumn("_narrowest", F.max("depth").over(spot)).where(~mask | (F.col("depth") == F.col("_narrowest")))
+    return won.withColumn("conflict", mask & (F.count("*").over(spot) > 1)).select(
+        "member", "table_name", "column_name", "kind", "policy", "expression", "scope", "conflict")

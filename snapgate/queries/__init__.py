@@ -4,6 +4,7 @@ from snapgate.queries import (  # noqa: F401
     conforming,
     decoding,
     landing,
+    policies,
     profiling,
     quality,
     relations,

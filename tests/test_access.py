@@ -8,6 +8,7 @@ from snapgate.operators.access import (
     PolicyScope,
     apply_policies,
     contract_tags,
+    effective_policies,
 )
 
 CONTRACT = TableContract("t", (
@@ -80,3 +81,33 @@ def test_two_masks_on_one_column_are_refused(df):
 def test_malformed_policies(build):
     with pytest.raises(ContractError):
         build()
+
+
+POLICIES = "policy string, kind string, expression string, scope string, scope_name string, tag_key string, tag_value string"
+TAGS = "table_name string, column_name string, tag_key string, tag_value string"
+
+
+def test_effective_policies_of_odd_rows(rows):
+    mask, row_filter = "COLUMN_MASK", "ROW_FILTER"
+    policies = rows([
+        ("wide", mask, "1", "TABLE", "*", "k", "v"), ("catalog", mask, "2", "CATALOG", "c", "k", "v"),
+        ("catalog", mask, "2", "CATALOG", "c", "k", "v"), ("twin", mask, "3", "CATALOG", "c", "k", "v"),
+        ("table", mask, "4", "TABLE", "c.s.t", "k", "v"), ("schema", mask, "5", "SCHEMA", "c", "k", "v"),
+        ("f", row_filter, "a", "TABLE", "*", None, None), ("g", row_filter, "b", "SCHEMA", "c.s", None, None),
+        ("lost", mask, "6", "TABLE", None, "k", "v")], POLICIES)
+    who = [("wide", "all", False), ("catalog", "all", False), ("catalog", "all", False), ("twin", "two", False),
+           ("table", "one", False), ("table", "not", True), ("schema", "all", False), ("f", "all", False),
+           ("g", "one", False), ("g", None, False), ("lost", "all", False)]
+    principals = rows(who, "policy string, principal string, excepted boolean")
+    members = rows([("a", "all"), ("a", "one"), ("a", "one"), ("b", "all"), ("b", "one"), ("b", "not"), ("b", "two"),
+                    (None, "all"), ("z", None)], "member string, principal string")
+    tags = rows([("c.s.t", "x", "k", "v"), ("c.s.t", "x", "k", "v"), ("c.s.t", "y", None, None), ("d.s.t", "x", "k", "v"),
+                 (None, "x", "k", "v")], TAGS)
+    found = collected(effective_policies(policies, principals, members, tags).drop("kind", "expression", "scope"))
+    assert found == sorted([
+        ("a", "c.s.t", "x", "table", False), ("b", "c.s.t", "x", "catalog", True), ("b", "c.s.t", "x", "twin", True),
+        ("a", "d.s.t", "x", "wide", False), ("b", "d.s.t", "x", "wide", False),
+        ("a", "c.s.t", None, "f", False), ("b", "c.s.t", None, "f", False), ("a", "d.s.t", None, "f", False),
+        ("b", "d.s.t", None, "f", False), ("a", "c.s.t", None, "g", False), ("b", "c.s.t", None, "g", False)], key=repr)
+    assert effective_policies(policies, principals, members.limit(0), tags).count() == 0
+    assert effective_policies(policies, principals, members, tags.limit(0)).count() == 0
