@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from enum import StrEnum
 
@@ -196,6 +196,10 @@ class TableContract:
                   if want[n] != have[n]),
         )
 
+    def drift(self, df: DataFrame) -> DataFrame:
+        """How the schema of ``df`` departs from this contract, nested fields included, as rows."""
+        return diff_fields(field_rows(df.sparkSession, self.schema), field_rows(df.sparkSession, df.schema))
+
     def check_batch(self, df: DataFrame) -> None:
         """Refuse a batch that lacks a column or has another type; no job is run."""
         have = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -246,3 +250,61 @@ class TableContract:
 def stamp_ingestion(df: DataFrame) -> DataFrame:
     """Add the managed ingestion time, one value for the whole write."""
     return df.withColumn(INGESTED_AT.name, F.current_timestamp())
+
+
+def schema_fields(schema: T.StructType) -> list[tuple[str, str]]:
+    """Path and type of every field at any depth, in order.
+
+    A path is ``parent.child``, ``list[]`` for the elements of a list, ``map{key}`` and
+    ``map{value}``; a name that holds one of these marks stands between backticks. Containers
+    have the type ``struct``, ``array`` or ``map``, as their parts have rows of their own.
+    """
+    found: list[tuple[str, str]] = []
+
+    def visit(path: str, kind: T.DataType) -> None:
+        if isinstance(kind, T.StructType):
+            found.append((path, "struct"))
+            for field in kind.fields:
+                visit(f"{path}.{quoted(field.name)}", field.dataType)
+        elif isinstance(kind, T.ArrayType):
+            found.append((path, "array"))
+            visit(f"{path}[]", kind.elementType)
+        elif isinstance(kind, T.MapType):
+            found.append((path, "map"))
+            visit(f"{path}{{key}}", kind.keyType)
+            visit(f"{path}{{value}}", kind.valueType)
+        else:
+            found.append((path, kind.simpleString()))
+
+    def quoted(name: str) -> str:
+        return "`" + name.replace("`", "``") + "`" if set(name) & set(".[]{}`") else name
+
+    for field in schema.fields:
+        visit(quoted(field.name), field.dataType)
+    return found
+
+
+def field_rows(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """``schema_fields`` as rows ``path, type``."""
+    return spark.createDataFrame(schema_fields(schema), "path string, type string")
+
+
+def diff_fields(expected: DataFrame, actual: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, path, problem, expected, actual)`` where two lists of fields differ.
+
+    Both have ``path`` and ``type``, and ``by`` columns such as the table, so that the fields of
+    a whole catalog are compared at once. ``problem`` is ``missing`` (from ``actual``),
+    ``unexpected`` or ``mismatched``; equal fields have no row. The sides are grouped together
+    instead of joined: one shuffle, and NULLs in ``by`` are a value. A path that a side lists
+    several times has all its types, in order, separated by ``|``; repeated rows count once.
+    """
+    keys = [*by, "path"]
+
+    def side(df: DataFrame, own: str, other: str) -> DataFrame:
+        return df.select(*keys, F.col("type").alias(own), F.lit(None).cast("string").alias(other))
+
+    both = side(expected, "expected", "actual").unionByName(side(actual, "actual", "expected"))
+    types = [F.nullif(F.array_join(F.sort_array(F.collect_set(c)), "|"), F.lit("")).alias(c) for c in ("expected", "actual")]
+    problem = F.when(F.col("actual").isNull(), "missing").when(F.col("expected").isNull(), "unexpected").otherwise("mismatched")
+    return both.groupBy(*keys).agg(*types).where("NOT expected <=> actual").select(
+        *keys, problem.alias("problem"), "expected", "actual")

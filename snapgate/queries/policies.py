@@ -1,9 +1,12 @@
-"""Policies, principals and tags as rows, derived from regions, nations and suppliers."""
+"""Policies, tags and schemas as rows, derived from regions, nations and suppliers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from snapgate.contracts import diff_fields, schema_fields
 from snapgate.operators.access import effective_policies
 from snapgate.queries.registry import Tables, query
 
@@ -80,3 +83,39 @@ def effective_policies_of_suppliers(t: Tables) -> DataFrame:
     """Masks and filters of nested scopes for every supplier, some of them excepted."""
     frames = {n: getattr(t, n) for n in _NAMES}
     return effective_policies(*[t.spark.sql(sql, **frames) for sql in (_POLICIES, _PRINCIPALS, _MEMBERS, _TAGS)])
+
+
+_DECLARED = (
+    "id bigint, address struct<city: string, geo: struct<lat: double, lon: double>>, "
+    "orders array<struct<day: date, parts: array<int>>>, notes map<string, struct<text: string>>")
+
+
+@query("""
+WITH declared(path, type) AS (VALUES ('id', 'bigint'), ('address', 'struct'), ('address.city', 'string'),
+  ('address.geo', 'struct'), ('address.geo.lat', 'double'), ('address.geo.lon', 'double'), ('orders', 'array'),
+  ('orders[]', 'struct'), ('orders[].day', 'date'), ('orders[].parts', 'array'), ('orders[].parts[]', 'int'),
+  ('notes', 'map'), ('notes{key}', 'string'), ('notes{value}', 'struct'), ('notes{value}.text', 'string')),
+actual AS (
+  SELECT s_suppkey AS feed, path, CASE WHEN s_nationkey % 5 = 1 AND path = 'orders[].parts[]' THEN 'bigint'
+    WHEN s_nationkey % 5 = 2 AND path = 'address.geo' THEN 'string' ELSE type END AS type
+  FROM supplier, declared
+  WHERE NOT (s_nationkey % 5 = 2 AND path LIKE 'address.geo.%') AND NOT (s_nationkey % 5 = 3 AND path = 'notes{value}.text')
+  UNION ALL SELECT s_suppkey, 'orders[].' || s_name, 'string' FROM supplier WHERE s_nationkey % 5 = 4),
+expected AS (SELECT s_suppkey AS feed, path, type FROM supplier, declared)
+SELECT feed, path, CASE WHEN a.type IS NULL THEN 'missing' WHEN e.type IS NULL THEN 'unexpected' ELSE 'mismatched' END AS problem,
+       e.type AS expected, a.type AS actual
+FROM expected e FULL JOIN actual a USING (feed, path) WHERE e.type IS DISTINCT FROM a.type
+""")
+def nested_schema_drift(t: Tables) -> DataFrame:
+    """Fields at any depth in which the suppliers' feeds depart from the declared schema."""
+    feeds = t.supplier.select(F.col("s_suppkey").alias("feed"), (F.col("s_nationkey") % 5).alias("kind"), "s_name")
+    declared = [F.struct(F.lit(p).alias("path"), F.lit(x).alias("type"))
+                for p, x in schema_fields(T.StructType.fromDDL(_DECLARED))]
+    expected = feeds.select("feed", "kind", F.inline(F.array(*declared)))
+    kind, path = F.col("kind"), F.col("path")
+    type_ = F.when((kind == 1) & (path == "orders[].parts[]"), "bigint").when(
+        (kind == 2) & (path == "address.geo"), "string").otherwise(F.col("type"))
+    left = expected.where(~((kind == 2) & path.startswith("address.geo.")) & ~((kind == 3) & (path == "notes{value}.text")))
+    added = feeds.where(kind == 4).select("feed", F.concat(F.lit("orders[]."), "s_name").alias("path"), F.lit("string").alias("type"))
+    return diff_fields(expected.select("feed", "path", "type"),
+                       left.select("feed", "path", type_.alias("type")).unionByName(added), ["feed"])

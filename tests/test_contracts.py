@@ -135,3 +135,25 @@ def test_catalogue_is_complete():
             assert set(getattr(rule, "columns", ())) <= names, rule.rule_id
     assert "product_name_lenght" in datasets.PRODUCTS.column_names
     assert len(datasets.CLOSED_DEALS.columns) == 15
+
+
+def test_nested_drift_as_rows(spark, rows):
+    from snapgate.contracts import diff_fields, schema_fields
+
+    schema = spark.createDataFrame([], "id int, `a.b` struct<x: int, `y``z`: array<map<string, array<double>>>>").schema
+    assert schema_fields(schema) == [
+        ("id", "int"), ("`a.b`", "struct"), ("`a.b`.x", "int"), ("`a.b`.`y``z`", "array"), ("`a.b`.`y``z`[]", "map"),
+        ("`a.b`.`y``z`[]{key}", "string"), ("`a.b`.`y``z`[]{value}", "array"), ("`a.b`.`y``z`[]{value}[]", "double")]
+    one = rows([(None, "p", "int"), (None, "p", "int"), (1, "p", "int"), (1, "q", "int")], "t int, path string, type string")
+    two = rows([(None, "p", "int"), (1, "p", "date"), (1, "p", "int"), (2, "q", "int")], "t int, path string, type string")
+    assert collected(diff_fields(one, two, ["t"])) == [
+        (1, "p", "mismatched", "int", "date|int"), (1, "q", "missing", "int", None), (2, "q", "unexpected", None, "int")]
+    assert diff_fields(one.limit(0), two.limit(0), ["t"]).count() == 0
+
+
+def test_contract_drift_reaches_nested_fields(spark):
+    contract = TableContract("t", (Column("id", "int", False, "Key."), Column("n", "string", True, "Name.")), keys=("id",))
+    actual = spark.createDataFrame([], "id bigint, extra struct<a: int>")
+    assert collected(contract.drift(actual)) == [
+        ("extra", "unexpected", None, "struct"), ("extra.a", "unexpected", None, "int"),
+        ("id", "mismatched", "int", "bigint"), ("n", "missing", "string", None)]
