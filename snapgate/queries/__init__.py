@@ -6,6 +6,7 @@ from snapgate.queries import (  # noqa: F401
     landing,
     policies,
     profiling,
+    publishing,
     quality,
     relations,
     runs,
