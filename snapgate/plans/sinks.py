@@ -112,13 +112,13 @@ def insert_partitions(rows: DataFrame, table: str) -> None:
     """Replace exactly the partitions that occur in ``rows``.
 
     Dynamic overwrite stages in a folder of its own job, so jobs on other partitions of the
-    table may run at the same time. ``rows`` must not read the table.
+    table may run at the same time. ``rows`` must not read the table. The statement says that
+    it is dynamic: ``insertInto`` drops a writer's options, so a session that sets no mode
+    would empty the table.
     """
-    columns = rows.sparkSession.table(table).columns
-    (
-        rows.select(*columns).write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic").insertInto(table)
-    )
+    spark = rows.sparkSession
+    spark.sql(f"INSERT OVERWRITE TABLE {table} WITH ('partitionOverwriteMode' = 'dynamic') "
+              "SELECT * FROM {rows}", rows=rows.select(*spark.table(table).columns))
 
 
 def overwrite_partitions(spark: SparkSession, rows: DataFrame, table: str) -> DataFrame:
