@@ -40,16 +40,17 @@ def month_of(column: str = "dt_base") -> Column:
 
 
 def table_folder(spark: SparkSession, table: str) -> str:
-    """A new folder for one version of a table, below the warehouse.
+    """A new folder for one version of a table, below the folder of its schema.
 
-    A cluster must name a warehouse that all executors share: the default lies in the
-    driver's working folder and is refused.
+    A cluster must name a warehouse that all executors share, or a schema with such a folder:
+    the default lies in the driver's working folder and is refused.
     """
-    root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    *schema, name = table.split(".")
+    root = spark.catalog.getDatabase(schema[-1] if schema else spark.catalog.currentDatabase()).locationUri.rstrip("/")
     default = f"{Path.cwd()}/spark-warehouse"
-    if not spark.sparkContext.master.startswith("local") and root.removeprefix("file:") == default:
+    if not spark.sparkContext.master.startswith("local") and f"{root.removeprefix('file:')}/".startswith(f"{default}/"):
         raise ValueError("set spark.sql.warehouse.dir to a folder all executors share")
-    return f"{root}/{table.replace('.', '/')}-{uuid.uuid4().hex}"
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, folder: str) -> DataFrame:

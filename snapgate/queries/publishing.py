@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,13 +32,15 @@ def sellers_after_each_landing(t: Tables) -> DataFrame:
     """What the sellers' table holds after each of three landings, beside the state of the run.
 
     The first snapshot is published. The second repeats keys, so it is refused and the table
-    keeps the first. The third replaces it. Every call has tables of its own.
+    keeps the first. The third replaces it. A landing after which there is no table, as none was
+    published yet, gives no rows. Every call has a schema of its own below the shared folder.
     """
-    own = uuid.uuid4().hex
-    table, control = f"sellers_{own}", ControlTables(f"evidence_{own}", f"runs_{own}")
+    own = f"sellers_{uuid.uuid4().hex}"
+    t.spark.sql(f"CREATE SCHEMA {own} LOCATION '{shared_folder(t.spark, 'sellers-schema')}'")
+    table, control = f"{own}.sellers", ControlTables(f"{own}.evidence", f"{own}.runs")
     clean = snapshot(t, "sellers").where(_CLEAN).selectExpr(*_SELLER.split(", "))
     snapshots = {"1-odd": clean.where(_ODD), "2-repeated": clean.union(clean.where(_EVEN)), "3-even": clean.where(_EVEN)}
-    held = []
+    held = [clean.where("false").select(F.lit("").alias("run_id"), *_SELLER.split(", "))]
     for run_id, df in snapshots.items():
         folder = shared_folder(t.spark, "sellers-csv")
         df.write.option("header", True).csv(folder)
@@ -45,11 +48,11 @@ def sellers_after_each_landing(t: Tables) -> DataFrame:
             land_csv(t.spark, folder, datasets.SELLERS, catalog.SELLERS, table, control=control, run_id=run_id)
         except QualityRejected:
             pass  # the run log says so
-        # A copy, as the next landing replaces what the table holds.
-        read = t.spark.table(table).select(F.lit(run_id).alias("run_id"), *_SELLER.split(", "))
-        held.append(stage(read, shared_folder(t.spark, "sellers-held")))
+        if t.spark.catalog.tableExists(table):
+            # A copy, as the next landing replaces what the table holds.
+            read = t.spark.table(table).select(F.lit(run_id).alias("run_id"), *_SELLER.split(", "))
+            held.append(stage(read, shared_folder(t.spark, "sellers-held")))
     states = stage(runlog.latest_runs(t.spark.table(control.runs)).select("run_id", "status", "last_stage"),
                    shared_folder(t.spark, "sellers-runs"))
-    for name in (table, control.evidence, control.runs):
-        t.spark.sql(f"DROP TABLE {name}")
-    return held[0].union(held[1]).union(held[2]).join(states, "run_id")
+    t.spark.sql(f"DROP SCHEMA {own} CASCADE")
+    return reduce(DataFrame.union, held).join(states, "run_id")

@@ -39,3 +39,19 @@ def test_every_landing_keeps_its_rows_and_state(static, rows, tmp_path):
     assert Counter(tuple(r) for r in found.select("run_id", "status", "last_stage").collect()) == {
         ("1-odd", "SUCCEEDED", "COMPLETE"): 4, ("2-repeated", "REJECTED", "QUALITY"): 4,
         ("3-even", "SUCCEEDED", "COMPLETE"): 3}
+
+
+def test_landings_that_are_all_refused_leave_no_table(spark, rows, tmp_path):
+    assert landings(spark, rows, tmp_path / "none").count() == 0
+    same = [(1, "N", 1, 5.0)] * 2 + [(2, "N", 1, 5.0)] * 2
+    assert landings(spark, rows, tmp_path / "same", *same).count() == 0
+
+
+def test_landings_do_not_need_a_warehouse(spark, rows, tmp_path, monkeypatch):
+    """The tables lie below the shared folder, not in the warehouse."""
+    seen = []
+    made = sinks.table_folder
+    monkeypatch.setattr(sinks, "table_folder", lambda s, t: seen.append(made(s, t)) or seen[-1])
+    assert landings(spark, rows, tmp_path, (1, "N", 1, 5.0), (2, "N", 1, 5.0)).count() == 3
+    shared = spark.conf.get("spark.checkpoint.dir")
+    assert len(seen) == 3 and all(f.removeprefix("file:").startswith(shared) for f in seen)
