@@ -7,11 +7,10 @@ from dataclasses import asdict, dataclass, replace
 from datetime import UTC, datetime
 from enum import StrEnum
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from snapgate.contracts import ContractError
-from snapgate.operators.joins import balanced_join
 from snapgate.quality.rules import Outcome
 
 MESSAGE_LIMIT = 2000
@@ -142,6 +141,27 @@ def latest_runs(states: DataFrame, order: str = "state_number") -> DataFrame:
     )
 
 
+BLOCK = 1024  # numbers of a run that one window takes in
+
+
+def _earlier_blocks(states: DataFrame, block: Column, place: Column, ended: Column) -> DataFrame:
+    """What came before every block of a run with any block but the first: the block before,
+    whether it holds its last number and at which stage, and whether a state had ended the run."""
+    edge = F.pmod(F.col("state_number"), F.lit(BLOCK)) == BLOCK - 1
+    blocks = states.where("run_id IS NOT NULL AND state_number IS NOT NULL").groupBy(
+        "run_id", block.alias("_block")).agg(
+        F.bool_or(edge).alias("_edge"), F.max(F.when(edge, place)).alias("_edge_most"),
+        F.bool_or(ended).alias("_ended"))
+    several = blocks.join(blocks.where("_block <> 0").select("run_id").distinct(), "run_id", "left_semi")
+    run = Window.partitionBy("run_id").orderBy("_block")
+    last = F.lag(F.struct("_block", "_edge", "_edge_most")).over(run)
+    over = F.bool_or("_ended").over(run.rowsBetween(Window.unboundedPreceding, -1))
+    return several.select("run_id", "_block", last.alias("_last"), over.alias("_ended_before")).select(
+        "run_id", "_block", F.col("_last._block").alias("_block_before"),
+        (F.col("_last._edge") & (F.col("_last._block") == F.col("_block") - 1)).alias("_edge"),
+        F.col("_last._edge_most").alias("_edge_most"), "_ended_before")
+
+
 COUNTS = ("records_extracted", "records_evaluated", "records_written")
 
 
@@ -158,8 +178,9 @@ def transition_faults(
     have left states out: missing numbers are no fault, and stages are compared only between
     numbers that follow each other.
 
-    A state meets its predecessor and what is known of its run by joins on keys, so a run with
-    very many states is never gathered.
+    The numbers of a run are cut into blocks of 1,024. States meet those before them in their
+    block by running windows, and blocks meet earlier blocks of runs that have several by one
+    row each, so a run with very many states is never gathered.
     """
     stages = [str(x) for x in Stage]
     place = F.array_position(F.array(*[F.lit(x) for x in stages]), F.col("last_stage"))
@@ -170,29 +191,39 @@ def transition_faults(
     negative = F.lit(False)
     for c in counts:
         negative = negative | F.coalesce(F.col(c) < 0, F.lit(False))
-    folded = states.groupBy("run_id", "state_number").agg(
+    number, block = F.col("state_number"), F.floor(F.col("state_number") / BLOCK)
+    ended = F.coalesce(F.col("status") != str(RunStatus.RUNNING), F.lit(False))
+    folded = states.groupBy("run_id", block.alias("_block"), "state_number").agg(
         F.count(F.lit(1)).alias("_n"), F.min(place).alias("_least"), F.max(place).alias("_most"),
         F.bool_and(known).alias("_known"), F.bool_or(F.coalesce(wrong_end, F.lit(False))).alias("_wrong_end"),
         F.bool_or(negative).alias("_negative"),
-        F.bool_or(F.coalesce(rejected, F.lit(False))).alias("_rejected"),
-        F.bool_or(F.coalesce(F.col("status") != str(RunStatus.RUNNING), F.lit(False))).alias("_ended"))
-    number = F.col("state_number")
-    runs = folded.groupBy("run_id").agg(
-        F.min("state_number").alias("_first"), F.min(F.when(F.col("_ended"), number)).alias("_end"))
-    before = folded.select("run_id", (number + 1).alias("state_number"), F.col("_most").alias("_before"))
-    met = balanced_join(folded, runs, [("run_id", "run_id")], unique=True)
-    met = balanced_join(met, before, [("run_id", "run_id"), ("state_number", "state_number")], unique=True)
+        F.bool_or(F.coalesce(rejected, F.lit(False))).alias("_rejected"), F.bool_or(ended).alias("_ended"))
+    inside = Window.partitionBy("run_id", "_block").orderBy("state_number")
+    past = inside.rowsBetween(Window.unboundedPreceding, -1)
+    folded = folded.withColumns({
+        "_last": F.lag(F.struct("state_number", "_most")).over(inside),
+        "_after_end": F.bool_or("_ended").over(past)})
+    met = folded.join(_earlier_blocks(states, block, place, ended), ["run_id", "_block"], "left")
+    # NULL ids are no run, so their states have none before them.
+    named = F.col("run_id").isNotNull()
+    next_to = named & F.coalesce(F.col("_last.state_number") == number - 1, F.lit(False))
+    at_edge = F.coalesce(F.col("_edge") & (F.pmod(number, F.lit(BLOCK)) == 0), F.lit(False))
+    met = met.select(
+        "*", (next_to | at_edge).alias("_follows"),
+        F.when(next_to, F.col("_last._most")).when(at_edge, F.col("_edge_most")).alias("_before"),
+        (F.col("_last").isNotNull() | F.col("_block_before").isNotNull()).alias("_later"),
+        (F.coalesce("_after_end", F.lit(False)) | F.coalesce("_ended_before", F.lit(False))).alias("_over"))
     faults = {
         "unknown run or number": F.col("run_id").isNull() | number.isNull(),
         "unknown status or stage": ~F.col("_known"),
         "number repeated": F.col("_n") > 1,
-        "no first state": F.lit(gapless) & (number == F.col("_first")) & (number != 0),
-        "number skipped": F.lit(gapless) & (number > F.col("_first")) & F.col("_before").isNull(),
+        "no first state": F.lit(gapless) & named & ~F.col("_later") & (number != 0),
+        "number skipped": F.lit(gapless) & named & F.col("_later") & ~F.col("_follows"),
         "not from the source": (number == 0) & (F.col("_most") > 1),
         "stage skipped": (F.col("_most") > F.col("_before") + 1) & (F.col("_before") > 0),
         "stage reversed": (F.col("_least") < F.col("_before")) & (F.col("_least") > 0) & ~F.col("_rejected"),
         "end at another stage": F.col("_wrong_end"),
-        "state after the end": number > F.col("_end"),
+        "state after the end": named & F.col("_over"),
         "negative count": F.col("_negative"),
     }
     found = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in faults.items()]))
