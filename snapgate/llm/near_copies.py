@@ -4,6 +4,10 @@ A text is the set of its five-word shingles. Min-wise hashes bring texts togethe
 filed under one key for each of 32 bands of four minima, and two texts of similarity 0.8 share
 no key once in 20 million times. Texts that share a key are only candidates; a pair counts if
 the exact similarity of the two whole sets is at least 0.8.
+
+Each set has a parity sketch: every shingle flips one of 512 bits, so shared shingles cancel and
+two sketches differ in at most as many bits as their sets have shingles apart. Candidates whose
+sketches differ too much for 0.8 never leave the join; that bound refuses no similar pair.
 """
 
 from __future__ import annotations
@@ -20,7 +24,9 @@ WIDTH = 5
 BANDS, ROWS = 32, 4
 SEED = 42
 STARS = 2          # rounds that meet one text of each key before all others do
+WORDS = 8          # longs of a parity sketch
 PART = 4096        # shingles that are hashed at once
+ODD = [f"odd{i}" for i in range(WORDS)]
 _RNG = np.random.default_rng(SEED)
 _MASK = _RNG.integers(0, 2 ** 64, (BANDS * ROWS, 1), dtype=np.uint64)
 _FACTOR = _RNG.integers(0, 2 ** 64, (BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)
@@ -49,16 +55,25 @@ def bands(found: np.ndarray) -> list[int]:
     return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
 
 
+def parities(found: np.ndarray) -> list[int]:
+    """The parity sketch of a set, as signed numbers."""
+    spots = (found * _FACTOR[0, 0] >> np.uint64(32)) % np.uint64(64 * WORDS)
+    odd = (np.bincount(spots.astype(np.int64), minlength=64 * WORDS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
+
+
 def _sketch(texts: pa.Array) -> pa.Array:
-    digests, sizes, keys = [], [], []
+    digests, sizes, keys, odd = [], [], [], []
     for t in texts:
         found = shingles(t.as_py())
         digests.append(xxhash.xxh3_128_digest(found.tobytes()))
         sizes.append(len(found))
         keys.append(bands(found) if len(found) else [])
+        odd.append(parities(found))
     return pa.StructArray.from_arrays(
-        [pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
-        names=["digest", "n", "bands"])
+        [pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())),
+         *[pa.array([o[i] for o in odd], pa.int64()) for i in range(WORDS)]],
+        names=["digest", "n", "bands", *ODD])
 
 
 def _set(texts: pa.Array) -> pa.Array:
@@ -76,19 +91,22 @@ def _similar(one: pa.Array, two: pa.Array) -> pa.Array:
 
 
 def _links(df: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
-    """Verified edges ``(a, b)`` between ``nodes`` (``node``, ``n``, ``bands``), which are
-    positions in ``df``: every two candidates that are similar end up in one component.
+    """Verified edges ``(a, b)`` between ``nodes`` (``node``, ``n``, ``bands``, sketch), which
+    are positions in ``df``: every two candidates that are similar end up in one component.
 
     In the first rounds one text of each key meets the others, so that most of a crowd of near
     copies is settled by few pairs; then all pairs of a key that are not connected yet meet.
     """
-    keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
+    keyed = nodes.select("node", "n", *ODD, F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").count().where("count > 1").select("key")
     filed = stored(keyed.join(shared, "key", "left_semi"), "near-filed")
     texts = df.select(F.monotonically_increasing_id().alias("node"), F.col(text).cast("string").cast("binary").alias("t"))
     sets = stored(texts.join(filed.select("node").distinct(), "node", "left_semi").select(
         "node", F.arrow_udf(_set, "binary")("t").alias("s")), "near-sets")
     similar = F.arrow_udf(_similar, "boolean")
+    # Sets of similar texts differ by a fifth of the larger at most. Sets apart by d shingles are
+    # similar if 9 d <= n + na; their sketches differ in d bits at most.
+    apart = " + ".join(f"bit_count({o} ^ star_{o})" for o in ODD)
     edges = tried = None
     for turn in range(STARS + 1):
         at = filed.withColumn("root", F.col("node"))
@@ -97,15 +115,16 @@ def _links(df: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
                 "root", F.coalesce("root", "node"))
         mixed = at.groupBy("key").agg(
             F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("a"), F.col("n").alias("na"),
-                           F.col("root").alias("ra"))).alias("star"),
+                           F.col("root").alias("ra"), *[F.col(o).alias(f"star_{o}") for o in ODD])).alias("star"),
             F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
         if turn < STARS:
-            first = mixed.select("key", "star.a", "star.na", "star.ra")
+            first = mixed.select("key", "star.a", "star.na", "star.ra", *[f"star.star_{o}" for o in ODD])
         else:
             first = at.join(mixed.select("key"), "key", "left_semi").select(
-                "key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-        # Sets of similar texts differ by a fifth of the larger at most.
-        met = at.join(first, "key").where("ra <> root AND 5 * least(n, na) >= 4 * greatest(n, na)").select(
+                "key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"),
+                *[F.col(o).alias(f"star_{o}") for o in ODD])
+        met = at.join(first, "key").where(
+            f"ra <> root AND 5 * least(n, na) >= 4 * greatest(n, na) AND 9 * ({apart}) <= n + na").select(
             F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         if tried is not None:
             met = met.join(tried, ["a", "b"], "left_anti")
@@ -126,13 +145,13 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     repeated rows stay repeated, an empty table gives no rows. ``df`` must be read from files,
     so that positions agree between two reads.
     """
-    sketch = F.arrow_udf(_sketch, "struct<digest:binary,n:int,bands:array<bigint>>")
+    sketch = F.arrow_udf(_sketch, "struct<digest:binary,n:int,bands:array<bigint>," + ",".join(f"{o}:bigint" for o in ODD) + ">")
     made = df.select(F.monotonically_increasing_id().alias("place"), F.col(key).alias("key"),
                      sketch(F.col(text).cast("string").cast("binary")).alias("made"))
-    made = stored(made.select("place", "key", "made.digest", "made.n", "made.bands"), "near-sketches")
+    made = stored(made.select("place", "key", "made.digest", "made.n", "made.bands", *[f"made.{o}" for o in ODD]), "near-sketches")
     folded = stored(made.groupBy("digest").agg(F.min("place").alias("node")), "near-distinct")
     nodes = made.join(folded.select(F.col("node").alias("place")), "place", "left_semi").select(
-        F.col("place").alias("node"), "n", "bands")
+        F.col("place").alias("node"), "n", "bands", *ODD)
     tied = components(_links(df, text, nodes), "near-components")
     rooted = folded.join(tied, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     return made.join(rooted, "digest").select("place", F.col("key").alias(key), "root")
