@@ -59,8 +59,8 @@ def decoded(text: Column) -> Column:
     # A literal, which the optimizer folds into one map.
     every = F.from_json(F.lit(json.dumps(_ALL_NAMED)), "map<string,map<string,string>>")
 
-    def one(piece: Column) -> Column:
-        name = F.regexp_extract(piece, _ENTITY, 1)
+    def one(cut: Column) -> Column:
+        piece, name = cut["piece"], cut["name"]
         rest = F.substr(piece, F.length(name) + 2)
         number = F.when(F.startswith(F.lower(name), F.lit("#x")), F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(
             F.substr(name, F.lit(2))).try_cast("int")
@@ -70,11 +70,14 @@ def decoded(text: Column) -> Column:
         for k, v in NAMED.items():
             known = F.when(name == k, F.lit(v)).otherwise(known)
         value = F.when(F.startswith(name, F.lit("#")), letter).otherwise(known)
-        return F.coalesce(F.concat(value, rest), F.concat(F.lit("&"), piece))
+        return F.when(name.isNull(), piece).otherwise(
+            F.coalesce(F.concat(value, rest), F.concat(F.lit("&"), piece)))
 
-    pieces = F.split(text, "&")
-    return F.concat(F.get(pieces, F.lit(0)), F.array_join(
-        F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), one), ""))
+    # The functions of arrays work out an argument anew wherever it is named, so the text is
+    # named once, and each name is bound before it is looked up. What leads has no name.
+    cut = F.transform(F.split(text, "&"), lambda piece, i: F.struct(
+        piece.alias("piece"), F.when(i > 0, F.regexp_extract(piece, _ENTITY, 1)).alias("name")))
+    return F.array_join(F.transform(cut, one), "")
 
 
 def _folded(text: Column) -> Column:
@@ -111,7 +114,7 @@ def links(html: Column, url: Column) -> Column:
                 .otherwise(F.concat(folder, link)))
 
     found = F.regexp_extract_all(html, F.lit(_HREF), F.lit(1))
-    return F.transform(found, lambda x: whole(decoded(_unquoted(x))))
+    return F.transform(F.transform(found, lambda x: decoded(_unquoted(x))), whole)
 
 
 def responses(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html",

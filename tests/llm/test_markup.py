@@ -17,3 +17,11 @@ def test_attributes_in_any_quotes_and_all_named_references(spark):
     assert "language: fr" in about[2] and "outlink: http://h.org/" in about[2]
     assert "language: it" in about[3] and {r.link_count for r in rows if r.page_id == 3} == {0}
     assert next(r.block for r in rows if r.page_id == 1 and r.record_type == "conversion").endswith("ñ≂̸&uuml &bogus;")
+
+
+def test_a_text_is_named_once_and_pieces_are_decoded_in_order(spark):
+    made = spark.createDataFrame([("a&amp;b&&lt;&x;&#65;&#x42;&",), ("",), ("plain",), (None,), ("&amp;lt;",), ("amp;x",)], "held string")
+    assert [r[0] for r in made.select(warc.decoded(made["held"])).collect()] == [
+        "a&b&<&x;AB&", "", "plain", None, "&lt;", "amp;x"]
+    # An argument that is named twice is worked out twice: the whole page, for each of its names.
+    assert str(warc.decoded(made["held"])).count("held") == 1
