@@ -227,13 +227,23 @@ def _crowd_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     names=["key", "alone", "place", "start", "digests"])
 
 
-def _crowd_runs(chosen: DataFrame) -> DataFrame:
-    """Repeated starts of the crowds in (place, text, wanted), one a row, of any number.
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``_pieces`` and of ``_crowd_ranges``, from one pass over the texts."""
+    for batch in batches:
+        for made in _pieces(iter([batch])):
+            none = pa.nulls(made.num_rows, pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([*made.columns, none], names=[*made.schema.names, "digests"])
+        for made in _crowd_ranges(iter([batch])):
+            *columns, digests = made.columns
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.nulls(made.num_rows, pa.binary()), digests], names=[*made.schema.names[:-1], "piece", "digests"])
+
+
+def _crowd_runs(ranges: DataFrame) -> DataFrame:
+    """Repeated starts of the crowds, one a row, of any number, from ``ranges`` of their starts.
 
     Strings are counted by digest, so nothing of a key is ever gathered in a task.
     """
-    ranges = stored(chosen.mapInArrow(
-        _crowd_ranges, "key long, alone boolean, place long, start long, digests array<binary>"), "suffix-crowds")
     shared = ranges.groupBy("key").count().where("count > 1").select("key")
     starts = ranges.join(shared, "key", "left_semi").select(
         "alone", "place", "start", F.posexplode("digests").alias("at", "digest"))
@@ -299,14 +309,18 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
             "anchor", "one.start", "one.starts", "one.offset", (F.col("copies") == 1).alias("alone"),
             (F.col("n") > CROWD).alias("crowd"))).alias("wanted"))
     chosen = long.join(wanted, "place").select("place", "text", "wanted")
-    pieces = chosen.mapInArrow(
-        _pieces, "key long, alone boolean, place long, start long, piece binary")
+    crowded = not distinct.groupBy("anchor").count().where(F.col("count") > CROWD).isEmpty()
+    row = "key long, alone boolean, place long, start long, piece binary"
+    if crowded:   # whole texts are shuffled for the pieces; the crowds' ranges come with them
+        parts = stored(chosen.mapInArrow(_parts, f"{row}, digests array<binary>"), "suffix-parts")
+        pieces = parts.where("piece IS NOT NULL").drop("digests")
+    else:
+        pieces = chosen.mapInArrow(_pieces, row)
     spark = texts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pieces.repartition(parts, "key").sortWithinPartitions("key")
+    parted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pieces.repartition(parted, "key").sortWithinPartitions("key")
     alone = copied.union(dealt.mapInArrow(_sorted_runs, "place long, start long, starts int"))
-    crowded = distinct.groupBy("anchor").count().where(F.col("count") > CROWD)
-    return alone if crowded.isEmpty() else alone.union(_crowd_runs(chosen))
+    return alone.union(_crowd_runs(parts.where("digests IS NOT NULL").drop("piece"))) if crowded else alone
 
 
 def remove_repeats(df: DataFrame, text: str = "text") -> DataFrame:

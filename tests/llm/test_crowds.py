@@ -47,3 +47,14 @@ def test_footer_of_many_texts_is_removed(spark, monkeypatch):
         want.add((k, len(gone), 1, "".join(c for b, c in enumerate(t) if b not in gone)))
     got = suffix_dedup.remove_repeats(docs).select("doc_id", "n_removed", "n_spans", F.col("text").cast("string").alias("t"))
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_whole_texts_are_joined_once_for_pieces_and_crowds(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CROWD", 5)
+    rng = random.Random(4)
+    footer = bytes(rng.choices(range(97, 123), k=280))
+    rows = [(k, bytes(rng.choices(range(97, 123), k=90)) + footer + bytes(rng.choices(range(97, 123), k=90))) for k in range(30)]
+    texts = suffix_dedup.stored(spark.createDataFrame(rows, "place long, text binary"), "test-texts")
+    runs = suffix_dedup.repeated_runs(texts)
+    assert "wanted" not in runs._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.place for r in runs.collect()} == set(range(30))
