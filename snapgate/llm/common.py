@@ -7,16 +7,27 @@ from pyspark.sql import functions as F
 
 from snapgate.session import shared_folder
 
+# Session setting: shuffle files go when the query that wrote them ends, not when the driver
+# happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read of Parquet, never a recomputation of
-    what led here, and values that depend on row positions are frozen.
+    what led here, and values that depend on row positions are frozen. The shuffle files of the
+    write are removed at its end, since nothing reads them again.
     """
-    path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = shared_folder(spark, purpose)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(text):
