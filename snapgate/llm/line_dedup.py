@@ -9,16 +9,23 @@ Only Spark functions run.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapgate.llm.common import stored
 
 # The similarity as a fraction: sets match if DENOMINATOR * shared >= NUMERATOR * joined.
 NUMERATOR, DENOMINATOR = 4, 5
-# Words are counted by hash into so many classes; the table of counts has this fixed size.
+# Words are counted by hash into so many classes, a power of two; the table of counts has this fixed size.
 COUNTERS = 1 << 16
 HASH_BITS = 58
+SHORT = (1 << 31) - 1
+# Longs of the parities that candidates must pass before their sets are joined, a power of two.
+PARTS = 4
+# What a line brings to where it meets others by a word.
+MET = ("place", "line", "n", "parity", "at")
 
 
 def _split(text: Column) -> Column:
@@ -41,7 +48,7 @@ def words(line: Column, rarity: Column | None = None) -> Column:
         h = _word_hash(word)
         if rarity is None:
             return h
-        rare = F.get(rarity, F.pmod(h, F.lit(COUNTERS)).cast("int")).cast("bigint")
+        rare = F.get(rarity, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")).cast("bigint")
         return F.shiftleft(rare, HASH_BITS).bitwiseOR(h)
 
     return F.sort_array(F.array_remove(
@@ -56,24 +63,34 @@ def _placed(df: DataFrame, text: str) -> DataFrame:
 def _rarity(df: DataFrame, text: str) -> Column:
     """Logarithms of the counts of words by class, as one constant array."""
     counted = df.select(F.explode(_split(F.col(text).cast("string"))).alias("word")).groupBy(
-        F.pmod(_word_hash(F.col("word")), F.lit(COUNTERS)).alias("at")).agg(F.count("*").alias("n"))
+        _word_hash(F.col("word")).bitwiseAND(F.lit(COUNTERS - 1)).alias("at")).agg(F.count("*").alias("n"))
     none = df.sparkSession.range(COUNTERS).select(
         F.col("id").alias("at"), F.lit(0).cast("bigint").alias("n"))
     counts = sorted(counted.union(none).groupBy("at").agg(F.sum("n").alias("n")).collect())
     return F.split(F.lit(",".join(str(n.bit_length()) for _, n in counts)), ",").cast("array<int>")
 
 
-def _shared(n: Column, m: Column) -> Column:
-    """The least number of shared words with which sets of n and m words match."""
-    return F.ceil(NUMERATOR * (n + m) / (NUMERATOR + DENOMINATOR))
+def _may_match(apart: Column) -> Column:
+    """Whether sets a and b of n words that differ in ``apart`` words or more can match. As whole
+    numbers: n + m - shared words are joined, and two words are apart for each not shared."""
+    return apart * F.lit(NUMERATOR + DENOMINATOR).cast("bigint") <= (
+        (DENOMINATOR - NUMERATOR) * (F.col("n_a").cast("bigint") + F.col("n_b")))
 
 
-def _parity(sets: Column) -> Column:
+def _parity(sets: Column, part: int = 0) -> Column:
     """64 bits, each the parity of how many words fall on it. Two sets differ in at least as
-    many words as their parities in bits."""
+    many words as their parities in bits. With ``part``, of the words of that part only: the
+    parities of all parts together obey the same bound."""
     one, none = (F.lit(x).cast("bigint") for x in (1, 0))
-    return F.aggregate(sets, none, lambda seen, w: seen.bitwiseXOR(
-        F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))))
+
+    def flipped(seen: Column, w: Column) -> Column:
+        bit = F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))
+        if part:
+            own = F.shiftright(w, 6).bitwiseAND(F.lit(PARTS - 1)) == part - 1
+            bit = F.when(own, bit).otherwise(none)
+        return seen.bitwiseXOR(bit)
+
+    return F.aggregate(sets, none, flipped)
 
 
 def matches(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
@@ -85,49 +102,62 @@ def matches(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """
     lines = _placed(df, text).select("place", F.posexplode("lines").alias("line", "text"))
     sets = lines.select("place", "line", words(F.col("text"), _rarity(df, text)).alias("words"))
-    sets = sets.where("size(words) > 0").select(
+    # As many of the rarest words as a match cannot do without, each as a short hash: two words
+    # of one hash only give more candidates.
+    prefix = F.slice("words", F.lit(1), F.size("words") - F.ceil(
+        F.size("words") * NUMERATOR / DENOMINATOR).cast("int") + 1)
+    sets = sets.select(
         "place", "line", F.size("words").alias("n"),
         F.xxhash64("words").alias("h"), F.xxhash64(F.lit("again"), "words").alias("g"),
         _parity(F.col("words")).alias("parity"),
-        # As many of the rarest words as a match cannot do without.
-        F.slice("words", F.lit(1), F.size("words") - F.ceil(
-            F.size("words") * NUMERATOR / DENOMINATOR).cast("int") + 1).alias("prefix"))
+        F.transform(prefix, lambda w: w.bitwiseAND(F.lit(SHORT)).cast("int")).alias("prefix"))
     # A place and a line as one number, which folds where the rows are.
     at = F.col("place").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("line")
     folded = sets.groupBy("h", "g", "n", "parity", "prefix").agg(F.min(at.cast("decimal(38,0)")).alias("at"))
     turn = F.lit(1 << 31).cast("decimal(11,0)")
     place = F.floor(F.col("at") / turn).cast("bigint")
+    # Lines without words are left out only here: a filter above would have Spark make every
+    # line's set twice, once for the filter.
     firsts = stored(folded.select(
         place.alias("place"), (F.col("at") % turn).cast("int").alias("line"),
-        "n", "parity", "prefix"), "line-sets")
+        "n", "parity", "prefix"), "line-sets").where("n > 0")
 
-    # Lines meet by a short hash of the word; two words of one hash only give more candidates.
-    met = firsts.select("place", "line", "n", "parity", F.posexplode("prefix").alias("at", "word")).withColumn(
-        "word", F.hash("word"))
+    met = firsts.select("place", "line", "n", "parity", F.posexplode("prefix").alias("at", "word"))
     # First every line meets only the earliest line that files each of its words: in a crowd
-    # of near-equal lines nearly all match that one. What is left meets all lines.
-    earliest = met.groupBy("word").agg(F.min(F.struct("place", "line", "n", "parity", "at")).alias("e"))
-    crowd = stored(_matched(_pairs(met, earliest.select("e.*", "word")), df, text), "line-first")
+    # of near-equal lines nearly all match that one. What is left meets all lines. A window
+    # names the earliest, so the words are shuffled once.
+    earliest = F.min(F.struct("place", "line", "n", "parity", "at")).over(Window.partitionBy("word"))
+    first = met.withColumn("e", earliest).select(
+        *[F.col(c).alias(f"{c}_a") for c in MET], *[F.col(f"e.{c}").alias(f"{c}_b") for c in MET])
+    crowd = _matched(_pairs(first.where(_near())), df, text)
     left = met.join(crowd, ["place", "line"], "left_anti")
-    found = crowd.union(_matched(_pairs(left, met), df, text))
+    found = crowd.union(_matched(_pairs(_meet(left, met)), df, text))
     return firsts.select("place", "line"), found
 
 
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of a line of ``left`` and an earlier one of ``right`` whose lengths, positions
-    of a shared word and parities allow a match."""
-    left, right = (frame.select(*[F.col(c).alias(f"{c}_{side}") for c in ("place", "line", "n", "parity", "at", "word")])
+def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of a line of ``left`` and one of ``right`` that share a word and may match."""
+    left, right = (frame.select(*[F.col(c).alias(f"{c}_{side}") for c in (*MET, "word")])
                    for frame, side in ((left, "a"), (right, "b")))
-    n, m = F.col("n_a"), F.col("n_b")
+    return left.join(right, (F.col("word_a") == F.col("word_b")) & _near())
+
+
+def _near() -> Column:
+    """Whether line b is earlier than line a, and their lengths, the positions of a shared
+    word and their parities allow a match."""
+    n, m = F.col("n_a").cast("bigint"), F.col("n_b").cast("bigint")
     later = (F.col("place_a") > F.col("place_b")) | (
         (F.col("place_a") == F.col("place_b")) & (F.col("line_a") > F.col("line_b")))
     near = (m * DENOMINATOR >= n * NUMERATOR) & (n * DENOMINATOR >= m * NUMERATOR)
     # Taken as the first word that both share, this one and those behind it must suffice.
     rest = F.least(n - F.col("at_a"), m - F.col("at_b"))
     apart = F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b")))
-    pairs = left.join(right, (F.col("word_a") == F.col("word_b")) & later & near
-                      & (rest >= _shared(n, m)) & (apart <= n + m - 2 * _shared(n, m)))
-    return stored(pairs.select("place_a", "line_a", "place_b", "line_b").distinct(), "line-pairs")
+    return _may_match(apart) & near & _may_match(n + m - 2 * rest) & later
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """The distinct pairs of lines that met, stored."""
+    return stored(met.select("place_a", "line_a", "place_b", "line_b").distinct(), "line-pairs")
 
 
 def _matched(pairs: DataFrame, df: DataFrame, text: str) -> DataFrame:
@@ -135,16 +165,27 @@ def _matched(pairs: DataFrame, df: DataFrame, text: str) -> DataFrame:
     # The words of the lines in pairs, from their rows: rows without one are not taken apart.
     ends = pairs.select(F.col("place_a").alias("place"), F.col("line_a").alias("line")).union(
         pairs.select("place_b", "line_b")).groupBy("place").agg(F.collect_set("line").alias("wanted"))
-    held = _placed(df, text).join(ends, "place").select(
-        "place", "lines", F.explode("wanted").alias("line"))
-    held = stored(held.select("place", "line", words(F.get("lines", "line")).alias("words")), "line-candidates")
-    one, two = (held.select(*[F.col(c).alias(f"{c}_{side}") for c in ("place", "line", "words")])
-                for side in "ab")
+    held = _placed(df, text).join(ends, "place").select("place", F.explode(F.transform(
+        "wanted", lambda i: F.struct(i.alias("line"), F.get("lines", i).alias("text")))).alias("at"))
+    held = held.select("place", "at.line", words(F.col("at.text")).alias("words"))
+    odd = [f"odd{k}" for k in range(1, PARTS + 1)]
+    held = stored(held.select("*", F.size("words").alias("n"), *[
+        _parity(F.col("words"), k + 1).alias(o) for k, o in enumerate(odd)]), "line-candidates")
+
+    def ends_of(columns: list[str]) -> tuple[DataFrame, DataFrame]:
+        return tuple(held.select(*[F.col(c).alias(f"{c}_{side}") for c in ("place", "line", *columns)]) for side in "ab")
+
+    # Long sets go only to pairs that wider parities allow.
+    one, two = ends_of(["n", *odd])
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"{o}_a").bitwiseXOR(F.col(f"{o}_b"))) for o in odd])
+    pairs = stored(pairs.join(one, ["place_a", "line_a"]).join(two, ["place_b", "line_b"]).where(
+        _may_match(apart)).select("place_a", "line_a", "place_b", "line_b"), "line-near")
+    one, two = ends_of(["words"])
     shared = F.size(F.array_intersect("words_a", "words_b"))
     joined = F.size("words_a") + F.size("words_b") - shared
     found = pairs.join(one, ["place_a", "line_a"]).join(two, ["place_b", "line_b"]).where(
         shared * DENOMINATOR >= joined * NUMERATOR)
-    return found.select(F.col("place_a").alias("place"), F.col("line_a").alias("line")).distinct()
+    return stored(found.select(F.col("place_a").alias("place"), F.col("line_a").alias("line")).distinct(), "line-found")
 
 
 def without_repeated_lines(df: DataFrame, text: str = "text") -> DataFrame:
