@@ -51,10 +51,11 @@ def land_csv_snapshot(t: Tables) -> DataFrame:
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS text_md5 FROM documents")
 def land_multiline_csv(t: Tables) -> DataFrame:
-    """Whole documents with line breaks and quotes written as CSV and landed unchanged."""
+    """Whole documents with line breaks and quotes written as CSV and landed unchanged; an empty
+    text, written as two quotes, is told apart from NULL."""
     folder = _written_csv(t, t.documents.select("doc_id", "text"), "documents-csv")
     landed = read_csv_snapshot(
-        t.spark, folder, ["doc_id", "text"], multiline=True, escape='"'
+        t.spark, folder, ["doc_id", "text"], multiline=True, escape='"', keep_empty=True
     )
     return landed.select("doc_id", F.md5("text").alias("text_md5"))
 

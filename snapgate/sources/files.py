@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,6 +22,7 @@ def read_csv_snapshot(
     multiline: bool = False,
     escape: str | None = None,
     sep: str = ",",
+    keep_empty: bool = False,
 ) -> DataFrame:
     """A delimited snapshot with header, every value as the text it is, plus ``source_file``.
 
@@ -28,12 +30,19 @@ def read_csv_snapshot(
     kept. The same names become an explicit schema of texts against which the reader holds
     the header of every file, so a file whose columns stand in another order fails the read
     instead of landing values under wrong names. Multi-line files are read by one task each,
-    which the format forces, so large snapshots should come as many files.
+    which the format forces, so large snapshots should come as many files. Empty fields are
+    NULL; with ``keep_empty`` those written as two quotes are empty texts.
     """
     checked_names("required", required)
     options = {"header": True, "sep": sep, "encoding": "UTF-8", "multiLine": multiline}
     if escape is not None:
         options["escape"] = escape
+    if escape == '"':
+        # Unset, it is NUL for doubled quotes, and the parser drops NULs from texts.
+        options["charToEscapeQuoteEscaping"] = '"'
+    if keep_empty:
+        # Unset, it is the empty text, quoted or not; a fresh name stands in no file.
+        options["nullValue"] = uuid.uuid4().hex
     header = spark.read.options(inferSchema=False, **options).csv(path).schema
     texts = T.StructType([T.StructField(name, T.StringType()) for name in header.names])
     landed = spark.read.schema(texts).options(enforceSchema=False, **options).csv(path)
